@@ -87,7 +87,7 @@ class Model:
             spans = [m.span() for m in _SENTENCE.finditer(text)]
             hot = [self.sentence(text[a:b].lower()) for a, b in spans]
             found = [(a, b, 1 / (1 + math.exp(-z))) for (a, b), z in zip(spans, hot) if z > 0]
-        return -math.expm1(left), found
+        return abs(math.expm1(left)), found
 
 
 def fit(texts: list[str], labels: list[int], prior: float, rounds: int = 400) -> Model:
