@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import market, signals
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return market.QUERIES | signals.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return market.SQL | signals.SQL
