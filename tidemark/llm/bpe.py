@@ -29,7 +29,7 @@ from tidemark.llm.common import map_texts
 INF = np.int64(1) << 62
 #: Entries that a worker's memo of encoded pieces holds before it starts anew.
 #: It only saves time: results don't depend on it.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 #: Longer pieces aren't kept in the memo.
 MEMO_CHARS = 64
 

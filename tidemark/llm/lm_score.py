@@ -19,29 +19,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.bpe import word_level
-from tidemark.llm.common import slices
+from tidemark.llm.common import materialise, slices
 
 BACKOFF = 0.4
 #: Stands before the first token of a document; no vocabulary here has the id.
 START = 65535
-#: (document, bigram) pairs that a hash range is meant to hold.
-RANGE_PAIRS = 1_500_000
-#: Text characters that one task joins into rows of a hash range.
-GATHER = 8_000_000
+#: Characters of the corpus for which there is one hash range more.
+RANGE_CHARS = 15_000_000
+#: Tokens and documents of a run: what one row of a hash range gathers.
+RUN_TOKENS, RUN_DOCS = 700_000, 60_000
+#: Pairs of a range that are joined at once.
+STRETCH = 300_000
+#: An odd number and its inverse modulo 2^32: multiplying scrambles bigrams, and back.
+MIX = 0x9E3779B1
+UNMIX = pow(MIX, -1, 1 << 32)
 
 PAIRS = T.StructType([
-    T.StructField("part", T.IntegerType()),
-    T.StructField("bigrams", T.BinaryType()),
+    T.StructField("part", T.LongType()),
+    T.StructField("run", T.LongType()),
+    T.StructField("hashes", T.BinaryType()),
     T.StructField("rows", T.BinaryType()),
     T.StructField("times", T.BinaryType()),
-    T.StructField("docs", T.ArrayType(T.LongType())),
 ])
+RUNS = T.StructType([T.StructField("run", T.LongType()), T.StructField("docs", T.ArrayType(T.LongType())), T.StructField("tokens", T.ArrayType(T.LongType()))])
+
+
+def planes(x: np.ndarray, kind: str) -> bytes:
+    """Little-endian numbers byte plane by byte plane: high bytes are mostly
+    zeros and compress away."""
+    return x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unplanes(b: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _token_lists(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -53,50 +70,33 @@ def _token_lists(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator
                 yield keys[first : first + len(texts)], [np.frombuffer(b, dtype="<u4") for b in coder.encode_many(texts)]
 
 
-def unigrams(docs: DataFrame, vocabulary: str) -> np.ndarray:
-    """Counts of all tokens over the whole corpus; at START, of the documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(START + 1, dtype=np.int64)
-        for _, lists in _token_lists(batches, vocabulary):
-            total += np.bincount(np.concatenate([*lists, np.zeros(0, dtype=np.uint32)]), minlength=START + 1)
-            total[START] += sum(len(x) > 0 for x in lists)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"token": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())})
-
-    table = docs.select("doc_id", "text").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    out = np.zeros(START + 1, dtype=np.int64)
-    for row in table.collect():  # at most one row an entry of the vocabulary
-        out[row.token] = row.n
-    return out
-
-
 def explode_bigrams(docs: DataFrame, vocabulary: str, parts: int) -> DataFrame:
-    """(document, bigram, times) triples, packed by hash range and gathered
-    documents: a row holds what one run of documents has in one range."""
-    target = to_arrow_schema(PAIRS)
-
-    def pack(keys: list, lists: list[np.ndarray]) -> pa.RecordBatch:
+    """(document, bigram, times) triples by hash range, packed: a row has what
+    one run of documents has in one range, sorted by the bigram's hash, and a row of range
+    -1 has the run's documents and their token counts.  A run is made by one
+    task, so its documents are numbered within it."""
+    schema = T.StructType([*PAIRS.fields, *RUNS.fields[1:]])
+    target = to_arrow_schema(schema)
+
+    def pack(run: int, keys: list, lists: list[np.ndarray]) -> pa.RecordBatch:
         before = np.concatenate([np.concatenate([[START], x[:-1]]) for x in lists if len(x)] or [np.zeros(0)]).astype(np.uint64)
         token = np.concatenate([*lists, np.zeros(0, dtype=np.uint32)]).astype(np.uint64)
         row = np.repeat(np.arange(len(lists), dtype=np.uint64), list(map(len, lists)))
-        bigram = before << np.uint64(16) | token
-        packed, times = np.unique(bigram << np.uint64(32) | row, return_counts=True)
-        bigram = (packed >> np.uint64(32)).astype("<u4")
-        part = (bigram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        part, bigram, row, times = part[order], bigram[order], (packed & np.uint64(0xFFFFFFFF)).astype("<u4")[order], times.astype("<u4")[order]
+        hashed = ((before << np.uint64(16) | token) * np.uint64(MIX)) & np.uint64(0xFFFFFFFF)
+        packed, times = np.unique(hashed << np.uint64(32) | row, return_counts=True)
+        hashed = packed >> np.uint64(32)
+        part = (hashed * np.uint64(parts)) >> np.uint64(32)  # ranges of the hash, so they stand in order
         names, starts = np.unique(part, return_index=True)
-        made: dict[str, list] = {f.name: [] for f in PAIRS}
+        made: dict[str, list] = {f.name: [] for f in schema}
+        add = lambda *values: [made[k].append(v) for k, v in zip(made, values)]
         for name, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]):
-            own, local = np.unique(row[a:b], return_inverse=True)
-            for key, value in zip(made, (name, bigram[a:b].tobytes(), local.astype("<u4").tobytes(), times[a:b].tobytes(), [keys[i] for i in own.tolist()])):
-                made[key].append(value)
-        for key, value in zip(made, (len(keys) % parts, b"", b"", b"", keys)):  # so that documents without tokens stay
-            made[key].append(value)
+            steps = np.diff(hashed[a:b], prepend=np.uint64(0))
+            add(name, run, planes(steps, "<u4"), planes(packed[a:b] & np.uint64(0xFFFF), "<u2"), planes(times[a:b], "<u4"), None, None)
+        add(-1, run, None, None, None, keys, list(map(len, lists)))
         return pa.RecordBatch.from_pydict(made, schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         keys: list = []
         lists: list[np.ndarray] = []
         size = 0
@@ -104,13 +104,42 @@ def explode_bigrams(docs: DataFrame, vocabulary: str, parts: int) -> DataFrame:
             keys += more
             lists += tokens
             size += sum(map(len, tokens))
-            if size > GATHER // 4:
-                yield pack(keys, lists)
-                keys, lists, size = [], [], 0
+            if size > RUN_TOKENS or len(keys) > RUN_DOCS - 4096:
+                yield pack(number, keys, lists)
+                keys, lists, size, number = [], [], 0, number + 1
         if keys:
-            yield pack(keys, lists)
+            yield pack(number, keys, lists)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PAIRS)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def unigrams(pairs: DataFrame, runs: DataFrame) -> np.ndarray:
+    """Counts of all tokens over the whole corpus; at START, of the documents
+    that have any."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(START + 1, dtype=np.int64)
+        for batch in batches:
+            for h, t in zip(batch.column(0), batch.column(1)):
+                bigram = bigrams_of(h.as_py())
+                total += np.bincount(bigram & 0xFFFF, weights=unplanes(t.as_py(), "<u4"), minlength=START + 1).astype(np.int64)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"token": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())})
+
+    table = pairs.select("hashes", "times").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    out = np.zeros(START + 1, dtype=np.int64)
+    for row in table.collect():  # at most one row an entry of the vocabulary
+        out[row.token] = row.n
+    out[START] = runs.agg(F.sum(F.size(F.filter("tokens", lambda n: n > 0)))).first()[0] or 0
+    return out
+
+
+def hashes_of(b: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(b, "<u4"), dtype=np.uint64)
+
+
+def bigrams_of(b: bytes) -> np.ndarray:
+    return ((hashes_of(b) * np.uint64(UNMIX)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -121,39 +150,74 @@ def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
     Null texts count as empty: no tokens, log_score 0.  Rows of one doc_id
     (null too) are scored apart and summed as one document.  An empty table
     gives an empty one.
+
+    The pairs are written once to the shared folder; what is shuffled after are
+    the packed pairs and, for each run and range, one partial score a document.
     """
     spark = docs.sparkSession
-    counts = unigrams(docs, vocabulary)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / RANGE_CHARS))
+    made = materialise(explode_bigrams(docs, vocabulary, parts), "lm-pairs")
+    pairs, runs = made.where("part >= 0").select(*PAIRS.names), made.where("part < 0").select(*RUNS.names)
+    counts = unigrams(pairs, runs)
     total = int(counts[:START].sum())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / RANGE_PAIRS))
     shared = spark.sparkContext.broadcast(counts)  # START + 1 numbers, whatever the corpus
-    target = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64())])
 
     def score(table: pa.Table) -> pa.Table:
+        """One hash range: its count table, joined to its pairs a stretch of
+        hashes at a time, so that few of them are held unpacked."""
         c1 = shared.value
-        rows = [(np.frombuffer(b, "<u4"), np.frombuffer(r, "<u4"), np.frombuffer(t, "<u4").astype(np.int64), d) for b, r, t, d in zip(*(table.column(c).to_pylist() for c in ("bigrams", "rows", "times", "docs")))]
-        keys, place = np.unique(np.concatenate([x[0] for x in rows]), return_inverse=True)
-        times = np.concatenate([x[2] for x in rows])
-        c2 = np.bincount(place, weights=times, minlength=len(keys)).astype(np.int64)
-        ids, n, backed, logs = [], [], [], []
-        at = 0
-        for bigram, row, own, docs_ in rows:
-            others = c2[place[at : at + len(bigram)]] - own
-            at += len(bigram)
-            word, context = c1[bigram & 0xFFFF], c1[bigram >> 16]
+        hashes = [hashes_of(b.as_py()).astype(np.uint32) for b in table.column("hashes")]
+        rows = [unplanes(b.as_py(), "<u2") for b in table.column("rows")]
+        times = [unplanes(b.as_py(), "<u4") for b in table.column("times")]
+        logs = [np.zeros(int(r.max()) + 1) for r in rows]
+        backed = [np.zeros(len(x), dtype=np.int64) for x in logs]
+        low, high = min(int(h[0]) for h in hashes), max(int(h[-1]) for h in hashes) + 1
+        steps = -(-sum(map(len, hashes)) // STRETCH)
+        bounds = [low + (high - low) * k // steps for k in range(steps + 1)]
+        cuts = [[*np.searchsorted(h, np.array(bounds[:-1], dtype=np.uint32)).tolist(), len(h)] for h in hashes]
+        for k in range(steps):
+            spans = [slice(c[k], c[k + 1]) for c in cuts]
+            flat = np.concatenate([h[x] for h, x in zip(hashes, spans)])
+            own = np.concatenate([t[x] for t, x in zip(times, spans)]).astype(np.int64)
+            keys, place = np.unique(flat, return_inverse=True)
+            others = np.bincount(place, weights=own, minlength=len(keys)).astype(np.int64)[place] - own
+            bigram = ((flat.astype(np.uint64) * np.uint64(UNMIX)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             off = others == 0
-            value = np.where(off, BACKOFF * word / total, others / np.maximum(context, 1)) if total else np.ones(0)
-            size = len(docs_)
-            ids += docs_
-            n.append(np.bincount(row, weights=own, minlength=size))
-            backed.append(np.bincount(row, weights=own * off, minlength=size))
-            logs.append(np.bincount(row, weights=own * np.log(value), minlength=size))
-        flat = lambda x, kind: pa.array(np.concatenate(x), type=pa.float64()).cast(kind)
-        return pa.table([pa.array(ids, pa.int64()), flat(n, pa.int64()), flat(backed, pa.int64()), flat(logs, pa.float64())], schema=target)
-
-    scored = explode_bigrams(docs, vocabulary, parts).groupBy("part").applyInArrow(score, "doc_id long, n long, n_backoff long, log_score double")
+            value = own * np.log(np.where(off, BACKOFF * c1[bigram & 0xFFFF] / total, others / np.maximum(c1[bigram >> 16], 1)))
+            at = 0
+            for i, x in enumerate(spans):
+                n = x.stop - x.start
+                own_rows = rows[i][x]
+                logs[i] += np.bincount(own_rows, weights=value[at : at + n], minlength=len(logs[i]))
+                backed[i] += np.bincount(own_rows, weights=(own * off)[at : at + n], minlength=len(logs[i])).astype(np.int64)
+                at += n
+        out: dict[str, list] = {"run": table.column("run").to_pylist(), "rows": [], "backed": [], "logs": []}
+        for r, n, x in zip(rows, backed, logs):
+            names = np.unique(r)
+            out["rows"].append(planes(np.diff(names, prepend=np.uint16(0)), "<u2"))
+            out["backed"].append(planes(n[names], "<u4"))
+            out["logs"].append(x[names].tobytes())
+        return pa.table(out, schema=pa.schema([("run", pa.int64()), ("rows", pa.binary()), ("backed", pa.binary()), ("logs", pa.binary())]))
+
+    partial = pairs.groupBy("part").applyInArrow(score, "run long, rows binary, backed binary, logs binary")
+    target = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("n_backoff", pa.int64()), ("s", pa.float64())])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        """One run: the row with its documents, and its partial scores."""
+        head = next((d, n) for d, n in zip(table.column("docs").to_pylist(), table.column("tokens").to_pylist()) if d is not None)
+        logs, backed = np.zeros(len(head[0])), np.zeros(len(head[0]))
+        for r, b, x in zip(table.column("rows"), table.column("backed"), table.column("logs")):
+            if r.is_valid:
+                rows = np.cumsum(unplanes(r.as_py(), "<u2"), dtype=np.int64)
+                logs[rows] += np.frombuffer(x.as_py(), dtype=np.float64)
+                backed[rows] += unplanes(b.as_py(), "<u4")
+        return pa.table([pa.array(head[0], pa.int64()), pa.array(head[1], pa.int64()), pa.array(backed.astype(np.int64)), pa.array(logs)], schema=target)
+
+    both = partial.unionByName(runs, allowMissingColumns=True)
+    scored = both.groupBy("run").applyInArrow(add_up, "doc_id long, n long, n_backoff long, s double")
     return (
         scored.groupBy("doc_id")
-        .agg(F.sum("n").alias("n_tokens"), F.sum("n_backoff").alias("n_backoff"), F.sum("log_score").alias("s"))
+        .agg(F.sum("n").alias("n_tokens"), F.sum("n_backoff").alias("n_backoff"), F.sum("s").alias("s"))
         .select("doc_id", "n_tokens", "n_backoff", F.round("s", 6).alias("log_score"), F.when(F.col("n_tokens") > 0, F.round(F.col("s") / F.col("n_tokens"), 6)).alias("per_token"))
     )
