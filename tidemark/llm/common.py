@@ -35,11 +35,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, block_mb: int = 128) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that what follows
-    doesn't repeat the work and a lost executor costs nothing but a re-read."""
+    doesn't repeat the work and a lost executor costs nothing but a re-read.
+
+    A row group of ``block_mb`` is buffered while it is written, and read in
+    batches of rows that stay within one: tables of wide rows take small ones."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", block_mb << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -157,7 +157,7 @@ def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / RANGE_CHARS))
-    made = materialise(explode_bigrams(docs, vocabulary, parts), "lm-pairs")
+    made = materialise(explode_bigrams(docs, vocabulary, parts), "lm-pairs", block_mb=4)
     pairs, runs = made.where("part >= 0").select(*PAIRS.names), made.where("part < 0").select(*RUNS.names)
     counts = unigrams(pairs, runs)
     total = int(counts[:START].sum())
