@@ -23,3 +23,12 @@ def latest_snapshot(bars: DataFrame) -> DataFrame:
     change = lambda n: (F.col("close") / F.lag("close", n).over(by_time()) - 1) * 100
     d = bars.select("symbol", "ts", "close", *[change(n).alias(f"change_{n}") for n in (1, 5, 20)], (F.col("volume") / F.avg("volume").over(rows(-20, -1))).alias("volume_ratio"))
     return d.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("_n = 1").drop("_n")
+
+
+def coarsen(bars: DataFrame, days: int) -> DataFrame:
+    """Daily bars as bars of ``days`` calendar days, counted from 1970-01-01;
+    each has the time of its last day."""
+    slot = F.floor(F.datediff("ts", F.lit("1970-01-01").cast("date")) / days).alias("_slot")
+    return bars.groupBy("symbol", slot).agg(
+        F.max("ts").alias("ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")
+    ).drop("_slot")

@@ -15,6 +15,15 @@ def best_per(df: DataFrame, keys: list[str], by: str, tie: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def top_per(df: DataFrame, keys: list[str], by: str, tie: str, k: int) -> DataFrame:
+    """The k best rows of each key with their rank, cut first within 64 parts of
+    a key so that no key is sorted whole in one task."""
+    order = [F.desc_nulls_last(by), F.col(tie)]
+    part = Window.partitionBy(*keys, F.pmod(F.xxhash64(tie), F.lit(64))).orderBy(*order)
+    d = df.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
+    return d.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def quota(df: DataFrame, group: str, by: str, tie: str, cap: int) -> DataFrame:
     """Rank within the group, and whether the row is beyond the group's cap (overflow goes last)."""
     w = Window.partitionBy(group).orderBy(F.desc_nulls_last(by), tie)

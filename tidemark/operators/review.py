@@ -75,14 +75,21 @@ def price_alerts(picks: DataFrame, latest: DataFrame) -> DataFrame:
     return d.where("exit in ('STOP', 'TARGET')").drop("held_days")
 
 
-def admit(picks: DataFrame, open_positions: DataFrame, capacity: int = 6, least: float = 80.0) -> DataFrame:
-    """The best picks that aren't open yet, up to the free places."""
-    free = F.greatest(F.lit(0), F.lit(capacity) - F.col("held"))
-    fresh = picks.where(F.col("score") >= least).join(open_positions.select("symbol"), "symbol", "left_anti")
-    held = open_positions.agg(F.count("*").alias("held"))
-    top = fresh.orderBy(F.desc("score"), "id").limit(capacity)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # over ``capacity`` rows
-    return ranked.join(F.broadcast(held)).where(F.col("rank") <= free).drop("held")
+def admit(picks: DataFrame, open_positions: DataFrame, book: str, capacity: int = 6, least: float = 80.0) -> DataFrame:
+    """The best picks of each book, one a symbol and none that is open in it, up
+    to the book's free places."""
+    fresh = picks.where(F.col("score") >= least).join(open_positions.select(book, "symbol"), [book, "symbol"], "left_anti")
+    best = Window.partitionBy(book, "symbol").orderBy(F.desc("score"), "id")
+    fresh = fresh.withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy(book).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= capacity)
+    held = open_positions.select(book, "symbol").distinct().groupBy(book).agg(F.count("*").alias("held"))
+    return ranked.join(held, book, "left").where(F.col("rank") <= capacity - F.coalesce("held", F.lit(0))).drop("held")
+
+
+def signal_coverage(signals: DataFrame) -> DataFrame:
+    """Symbols, signals, those that can't be evaluated, and symbols that never crossed the threshold."""
+    g = signals.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "WATCH").alias("watch"), F.max((F.col("score") >= 80).cast("int")).alias("crossed"))
+    return g.agg(F.count("*").alias("symbols"), F.sum("n").alias("signals"), F.sum("watch").alias("unevaluable"), F.count_if(F.col("crossed") == 0).alias("never_crossed"))
 
 
 def upsert_signals(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -87,11 +87,12 @@ def repeat_counts(spark, d):
 
 @query(f"""{ENTRY}, z AS (SELECT *, CASE WHEN side = 'LONG' THEN entry * 0.9 ELSE entry * 1.1 END AS stop, CASE WHEN side = 'LONG' THEN entry * 1.15 ELSE entry * 0.85 END AS target FROM oc WHERE side <> 'WATCH')
     SELECT id, symbol, side, CASE WHEN side = 'LONG' AND price <= stop OR side = 'SHORT' AND price >= stop THEN 'STOP' WHEN side = 'LONG' AND price >= target OR side = 'SHORT' AND price <= target THEN 'TARGET'
-    WHEN id % 14 >= 7 THEN 'TIMEOUT' ELSE 'OPEN' END AS exit FROM z""")
+    WHEN (SELECT max(created_at) FROM signals) - created_at >= 7 THEN 'TIMEOUT' ELSE 'OPEN' END AS exit FROM z""")
 def position_exit(spark, d):
     long = F.col("side") == "LONG"
+    asof = signals(spark, d).agg(F.max("created_at")).first()[0]
     o = outcomes(spark, d).where("side <> 'WATCH'").withColumn("stop", F.when(long, F.col("entry") * 0.9).otherwise(F.col("entry") * 1.1))
-    o = o.withColumn("target", F.when(long, F.col("entry") * 1.15).otherwise(F.col("entry") * 0.85)).withColumn("held_days", F.col("id") % 14)
+    o = o.withColumn("target", F.when(long, F.col("entry") * 1.15).otherwise(F.col("entry") * 0.85)).withColumn("held_days", F.datediff(F.lit(asof), "ts"))
     return review.position_exit(o).select("id", "symbol", "side", "exit")
 
 
@@ -105,23 +106,22 @@ def price_alerts(spark, d):
     return review.price_alerts(o, review.latest_price(daily_bars(spark, d))).select("id", "symbol", "side", F.col("exit").alias("alert"))
 
 
-@query(f"""{SIG}, op AS (SELECT DISTINCT symbol FROM signals WHERE side = 'WATCH' AND score >= 75 AND symbol % 7 = 1), f AS (SELECT * FROM signals WHERE side <> 'WATCH' AND score >= 80 AND symbol NOT IN (SELECT symbol FROM op)),
-    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f)
-    SELECT id, symbol, round(score, 6) AS score, rank FROM r WHERE rank <= 6 - least(6, (SELECT count(*) FROM op) % 5)""")
+@query(f"""{with_tables('symbols', 'signals')}, g AS (SELECT signals.*, sector FROM signals JOIN symbols ON symbols.symbol = signals.symbol), op AS (SELECT DISTINCT sector, symbol FROM g WHERE side = 'WATCH' AND score >= 75 AND (SELECT max(created_at) FROM signals) - created_at < 30),
+    f AS (SELECT *, row_number() OVER (PARTITION BY sector, symbol ORDER BY score DESC, id) AS k FROM g WHERE side <> 'WATCH' AND score >= 80 AND symbol NOT IN (SELECT symbol FROM op)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY score DESC, id) AS rank FROM f WHERE k = 1), hd AS (SELECT sector, count(*) AS held FROM op GROUP BY sector)
+    SELECT id, symbol, r.sector, round(score, 6) AS score, rank FROM r LEFT JOIN hd ON hd.sector = r.sector WHERE rank <= 6 - coalesce(held, 0)""")
 def position_admission(spark, d):
-    s = signals(spark, d)
-    held = s.where("side = 'WATCH' and score >= 75 and symbol % 7 = 1").select("symbol").distinct()
-    # a portfolio holds a handful of symbols; their number modulo 5 stands for it here
-    n = held.count() % 5
-    fresh = s.where("side <> 'WATCH'").join(held, "symbol", "left_anti")
-    few = held.orderBy("symbol").limit(n)
-    return review.admit(fresh, few).select("id", "symbol", F.round("score", 6).alias("score"), "rank")
+    """One book a sector; symbols with a strong WATCH signal in the last 30 days stand for open positions."""
+    s = signals(spark, d).join(symbols(spark, d).select("symbol", "sector"), "symbol")
+    last = signals(spark, d).agg(F.max("created_at").alias("last_day"))
+    held = s.where("side = 'WATCH' and score >= 75").join(F.broadcast(last)).where("datediff(last_day, created_at) < 30").select("sector", "symbol").distinct()
+    return review.admit(s.where("side <> 'WATCH'"), held, "sector").select("id", "symbol", "sector", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""{SIG} SELECT symbol, side, created_at, count(*) AS seen_count, min(id) AS first_id, max(id) AS last_id, round(max(score), 6) AS max_score FROM signals GROUP BY symbol, side, created_at""")
 def upsert_signals(spark, d):
     s = signals(spark, d)
-    return review.upsert_signals(s.where("id % 2 = 0"), s.where("id % 2 = 1")).withColumn("max_score", F.round("max_score", 6))
+    return review.upsert_signals(s.where("created_at < '1998-01-01'"), s.where("created_at >= '1998-01-01'")).withColumn("max_score", F.round("max_score", 6))
 
 
 @query(f"""{SIG} SELECT id, symbol, side, min(id) OVER (PARTITION BY symbol, side) AS keep_id, count(*) OVER (PARTITION BY symbol, side) AS seen, max(created_at) OVER (PARTITION BY symbol, side) AS last_seen,

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import market, signals
+from tidemark.plans import market, scoring, signals
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return market.QUERIES | signals.QUERIES
+    return market.QUERIES | signals.QUERIES | scoring.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return market.SQL | signals.SQL
+    return market.SQL | signals.SQL | scoring.SQL
