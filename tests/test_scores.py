@@ -82,3 +82,30 @@ def test_theme_sections_keep_one_leader_a_sector(spark):
     df = spark.createDataFrame([(1, "s", 2.5, 1.5, "LEADER", 70.0), (2, "s", 2.5, 1.5, "LEADER", 80.0), (3, "t", -3.0, 1.5, "VICTIM", 20.0)], "symbol long, sector string, return_pct double, volume_ratio double, role string, theme_score double")
     got = {(r.section, r.symbol) for r in scores.sections(df).collect()}
     assert got == {("surge", 1), ("surge", 2), ("beneficiary", 1), ("beneficiary", 2), ("leader", 2), ("crash", 3), ("victim", 3)}
+
+
+def test_side_needs_evidence_and_agreement(spark):
+    fields = "mood string, score double, direct int, rsi double, trend string, obv string, catalysts int, risks int"
+    rows = [
+        ("positive", 60.0, 1, 50.0, "UP", "UP", 1, 0, "LONG"), ("positive", 60.0, 0, 50.0, "UP", "UP", 1, 0, "WATCH"), ("positive", 60.0, 1, 85.0, "UP", "UP", 1, 0, "WATCH"), ("positive", 44.0, 1, None, None, None, 1, 0, "WATCH"),
+        ("negative", 60.0, 1, None, None, None, 0, 1, "SHORT"), ("negative", 60.0, 1, 50.0, "UP", "UP", 0, 1, "WATCH"), ("negative", 10.0, 1, 50.0, "DOWN", "DOWN", 0, 1, "SHORT"),
+        ("mixed", 60.0, 1, 50.0, "DOWN", "UP", 2, 1, "LONG"), ("mixed", 60.0, 1, 50.0, "DOWN", "UP", 1, 2, "SHORT"), ("mixed", 60.0, 1, 50.0, "UP", "UP", 1, 2, "WATCH"), ("neutral", 99.0, 1, 50.0, "UP", "UP", 9, 0, "WATCH"),
+    ]
+    df = spark.createDataFrame(rows, fields + ", want string")
+    assert df.withColumn("got", scores.decide_side(df)).where("got <> want").count() == 0
+
+
+def test_setups_and_levels(spark):
+    df = spark.createDataFrame([(50.0, "UP", 0.5, 2.0, True, False, 1.0), (85.0, "DOWN", 0.9, 1.4, False, True, 20.0), (20.0, "DOWN", 0.1, 2.0, False, True, 0.0)],
+                               "rsi_h double, obv_h string, bb_h double, vr_h double, strong_reason boolean, weak_reason boolean, return_pct double")
+    assert [(r.surge, r.crash) for r in scores.setup_scores(df).collect()] == [(100, 0), (0, 95), (25, 0)]
+    df = spark.createDataFrame([(100.0, None, None, None, None, None, None), (100.0, 90.0, 110.0, 5.0, 100.0, 120.0, 80.0)], "close double, support double, resistance double, atr double, bb_mid double, bb_up double, bb_low double")
+    a, b = scores.price_levels(df).collect()
+    assert (a.entry_low, a.entry_high, a.stop, a.target) == pytest.approx((94.05, 101.0, 93.0, 110.0))
+    assert (b.entry_low, b.entry_high, b.stop, b.target) == pytest.approx((80.4, 100.0, 78.8, 120.0))
+
+
+def test_spillover_follows_the_strongest_source(spark):
+    moved = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, -4.0)], "symbol long, return_pct double")
+    edges = spark.createDataFrame([("r", 1, 9, "BENEFICIARY"), ("r", 2, 9, "BENEFICIARY"), ("r", 3, 9, "BENEFICIARY"), ("r", 3, 8, "VICTIM"), ("r", 2, 2, "BENEFICIARY")], "rule string, source long, target long, relation string")
+    assert sorted(map(tuple, pairs.spillover_targets(moved, edges).select("target", "source").collect())) == [(8, 3), (9, 2)]

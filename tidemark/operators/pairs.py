@@ -82,3 +82,13 @@ def quiet(events: DataFrame, hours: float = 2.0) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     gap = micros - F.lag(micros).over(Window.partitionBy("symbol").orderBy("ts", "id"))
     return events.withColumn("_g", gap).where((F.col("_g").isNull()) | (F.col("_g") >= int(hours * 3_600_000_000))).drop("_g")
+
+
+def spillover_targets(moved: DataFrame, edges: DataFrame) -> DataFrame:
+    """rule, target, source, relation, source_return: beneficiaries of rising
+    sources and victims of falling ones; the strongest source of each (rule,
+    target).  ``edges`` has rule, source, target, relation (BENEFICIARY, VICTIM)."""
+    m = moved.select(F.col("symbol").alias("source"), F.col("return_pct").alias("source_return"), F.when(F.col("return_pct") > 0, "BENEFICIARY").otherwise("VICTIM").alias("relation"))
+    d = edges.where("source <> target").join(m, ["source", "relation"])
+    w = Window.partitionBy("rule", "target").orderBy(F.desc(F.abs("source_return")), "source")
+    return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("rule", "target", "source", "relation", "source_return")

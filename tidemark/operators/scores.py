@@ -204,3 +204,59 @@ def sections(cands: DataFrame, k: int = 5) -> DataFrame:
     d = d.withColumn("_n", F.row_number().over(local)).where(F.col("_n") <= k)
     place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("theme_score"), "symbol"))
     return d.withColumn("place", place).where(F.col("place") <= k).drop("_n")
+
+
+# Conditions and points of the setup scores (before a surge, before a crash).
+SURGE_SETUP: Rules = [
+    [("rsi_h between 45 and 65", 20), ("rsi_h < 40", 10), ("rsi_h > 80", -20)],
+    [("obv_h = 'UP'", 25), ("obv_h = 'DOWN'", -10)],
+    [("bb_h between 0.4 and 0.65", 20), ("bb_h > 0.85", 5), ("bb_h < 0.15", 5)],
+    [("vr_h >= 2.0", 20), ("vr_h >= 1.5", 15)],
+    [("strong_reason", 15)],
+    [("return_pct > 15", -10)],
+]
+CRASH_SETUP: Rules = [
+    [("rsi_h > 80", 25), ("rsi_h > 70", 20)],
+    [("obv_h = 'DOWN'", 25), ("obv_h = 'UP'", -15)],
+    [("bb_h > 0.85", 20), ("bb_h < 0.35", 15)],
+    [("vr_h >= 1.3", 10)],
+    [("weak_reason", 15)],
+]
+
+
+def setup_scores(df: DataFrame) -> DataFrame:
+    """surge and crash: how ready a symbol is for either; an oversold one can't crash."""
+    crash = F.when(F.col("rsi_h") < 30, 0.0).otherwise(rule_score(CRASH_SETUP, 0))
+    return df.withColumn("surge", rule_score(SURGE_SETUP, 0)).withColumn("crash", crash)
+
+
+def decide_side(df: DataFrame, least: float = 45.0, hot: float = 85.0) -> Column:
+    """LONG, SHORT or WATCH of a candidate: mood, score, direct (evidence count),
+    rsi, trend, obv, catalysts and risks (counts).
+
+    Without direct evidence nothing is traded; an overheated symbol isn't
+    bought; what rises on rising volume isn't sold."""
+    enough = F.col("score") >= least
+    cool = F.coalesce(F.col("rsi") < hot, F.lit(True))
+    trend, obv = F.coalesce("trend", F.lit("")), F.coalesce("obv", F.lit(""))
+    buy = (F.col("mood") == "positive") & enough & cool
+    sell = (F.col("mood") == "negative") & ((enough & (trend != "UP")) | ((trend == "DOWN") & (obv == "DOWN")))
+    torn = (F.col("mood") == "mixed") & enough & cool
+    long = F.when(F.col("direct") <= 0, "WATCH").when(buy | (torn & (F.col("catalysts") > F.col("risks"))), "LONG")
+    return long.when(sell | (torn & (F.col("risks") > F.col("catalysts")) & (trend == "DOWN")), "SHORT").otherwise("WATCH")
+
+
+def price_levels(df: DataFrame) -> DataFrame:
+    """entry_low, entry_high, stop and target from the bands where they are
+    known, else from support, resistance and ATR (5, 10 and 2 % of the close
+    where those are missing)."""
+    c = F.col("close")
+    part = lambda name, share: F.coalesce(F.nullif(F.col(name), F.lit(0.0)), c * share)
+    support, resistance, atr = part("support", 0.95), part("resistance", 1.10), part("atr", 0.02)
+    bands = F.col("bb_mid").isNotNull() & F.col("bb_up").isNotNull() & F.col("bb_low").isNotNull()
+    return (
+        df.withColumn("entry_low", F.when(bands, F.col("bb_low") * 1.005).otherwise(support * 0.99))
+        .withColumn("entry_high", F.when(bands, F.col("bb_mid")).otherwise(F.least(c * 1.01, resistance * 0.97)))
+        .withColumn("stop", F.when(bands, F.col("bb_low") * 0.985).otherwise(support - atr))
+        .withColumn("target", F.when(bands, F.col("bb_up")).otherwise(resistance))
+    )

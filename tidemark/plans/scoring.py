@@ -357,3 +357,60 @@ def referential_audit(spark, d):
 @query(f"""{with_tables('signals')}, x AS (SELECT symbol, count(*) AS n, count(*) FILTER (side = 'WATCH') AS watch, bool_or(score >= 80) AS crossed FROM signals GROUP BY symbol) SELECT count(*) AS symbols, CAST(sum(n) AS BIGINT) AS signals, CAST(sum(watch) AS BIGINT) AS unevaluable, count(*) FILTER (NOT crossed) AS never_crossed FROM x""")
 def signal_coverage(spark, d):
     return review.signal_coverage(signals(spark, d))
+
+
+# ---- setups, sides and levels ----
+
+LATEST = f"""dl AS (SELECT symbol, ts, close, (close - lag(close) {O}) / lag(close) {O} * 100 AS r, {full(f'avg(close) {over(-19)}', 20)} AS m20, {full(f'avg(close) {over(-59)}', 60)} AS m60, {full(f'stddev_pop(close) {over(-19)}', 20)} AS sp,
+    {full(f'min(close) {over(-19)}', 20)} AS support, {full(f'max(close) {over(-19)}', 20)} AS resistance, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM daily_bars),
+    lv AS (SELECT *, CASE WHEN m20 IS NULL OR m60 IS NULL THEN 'NO_DATA' WHEN close > m20 AND m20 > m60 THEN 'UP' WHEN close < m20 AND m20 < m60 THEN 'DOWN' ELSE 'MIXED' END AS trend FROM dl WHERE n = 1)"""
+
+
+def with_latest(spark, d, c: DataFrame) -> DataFrame:
+    last = ind.snapshot(daily_bars(spark, d), need=1)
+    return c.join(last.select("symbol", "close", "support", "resistance", "atr", "bb_mid", "bb_up", "bb_low", F.col("pct1").alias("return_pct"), F.col("trend_daily").alias("trend")), "symbol")
+
+
+@query(f"""{CAND}, {LATEST}, su AS (SELECT c.*, r AS return_pct, sentiment > 52 AS strong_reason, sentiment < 48 AS weak_reason FROM cand c JOIN lv ON lv.symbol = c.symbol WHERE side = 'LONG')
+    SELECT symbol, round({rules_sql(scores.SURGE_SETUP, 0)}, 6) AS surge, round(CASE WHEN rsi_h < 30 THEN 0 ELSE {rules_sql(scores.CRASH_SETUP, 0)} END, 6) AS crash FROM su""")
+def setup_scores(spark, d):
+    c = with_latest(spark, d, candidates(spark, d).where("side = 'LONG'")).withColumn("strong_reason", F.col("sentiment") > 52).withColumn("weak_reason", F.col("sentiment") < 48)
+    return rounded(scores.setup_scores(c), "symbol", "surge", "crash")
+
+
+@query(f"""{COMP}, {LATEST}, dec AS (SELECT f.symbol, final, rsi_h AS rsi, obv_h AS obv, trend, sentiment AS up, 100 - sentiment AS dn, CASE WHEN sentiment > 52 THEN 'positive' WHEN sentiment < 48 THEN 'negative' ELSE 'mixed' END AS mood, evidence = 'DIRECT' AS direct
+      FROM fin f JOIN lv ON lv.symbol = f.symbol WHERE side = 'LONG')
+    SELECT symbol, mood, CASE WHEN NOT direct THEN 'WATCH' WHEN mood = 'positive' THEN CASE WHEN final < 45 OR coalesce(rsi >= 85, false) THEN 'WATCH' ELSE 'LONG' END
+      WHEN mood = 'negative' THEN CASE WHEN trend = 'UP' AND obv = 'UP' THEN 'WATCH' WHEN final >= 45 AND trend <> 'UP' THEN 'SHORT' WHEN trend = 'DOWN' AND obv = 'DOWN' THEN 'SHORT' ELSE 'WATCH' END
+      WHEN final < 45 OR coalesce(rsi >= 85, false) THEN 'WATCH' WHEN up > dn THEN 'LONG' WHEN dn > up AND trend = 'DOWN' THEN 'SHORT' ELSE 'WATCH' END AS decision FROM dec""")
+def side_decision(spark, d):
+    c = with_latest(spark, d, scored(spark, d).where("side = 'LONG'"))
+    s = F.col("sentiment")
+    c = c.withColumn("mood", F.when(s > 52, "positive").when(s < 48, "negative").otherwise("mixed")).withColumn("direct", (F.col("evidence") == "DIRECT").cast("int"))
+    c = c.withColumn("score", F.col("final")).withColumn("rsi", F.col("rsi_h")).withColumn("obv", F.col("obv_h")).withColumn("catalysts", s).withColumn("risks", 100 - s)
+    return c.withColumn("decision", scores.decide_side(c)).select("symbol", "mood", "decision")
+
+
+@query(f"""{CAND}, {LATEST} SELECT l.symbol, round(CASE WHEN m20 IS NOT NULL THEN (m20 - 2 * sp) * 1.005 ELSE coalesce(support, close * 0.95) * 0.99 END, 6) AS entry_low, round(CASE WHEN m20 IS NOT NULL THEN m20 ELSE least(close * 1.01, coalesce(resistance, close * 1.1) * 0.97) END, 6) AS entry_high,
+    round(CASE WHEN m20 IS NOT NULL THEN (m20 - 2 * sp) * 0.985 ELSE coalesce(support, close * 0.95) - coalesce(nullif(atr_h, 0), close * 0.02) END, 6) AS stop, round(CASE WHEN m20 IS NOT NULL THEN m20 + 2 * sp ELSE coalesce(resistance, close * 1.1) END, 6) AS target FROM lv l JOIN fh ON fh.symbol = l.symbol JOIN symbols y ON y.symbol = l.symbol""")
+def price_levels(spark, d):
+    return rounded(scores.price_levels(with_latest(spark, d, symbols(spark, d))), "symbol", "entry_low", "entry_high", "stop", "target")
+
+
+@query(f"{CAND} SELECT symbol, sector, round(rsi_h, 6) AS rsi FROM cand WHERE side = 'LONG' AND rsi_h >= 70")
+def overheated(spark, d):
+    """Symbols whose RSI is 70 or more (the report's own bound is 85)."""
+    c = symbols(spark, d).join(ind.screen(daily_bars(spark, d)).select("symbol", "rsi"), "symbol")
+    return rounded(c.where("rsi >= 70"), "symbol", "sector", "rsi")
+
+
+@query(f"""{with_tables('symbols', 'daily_bars', 'neighbours')}, {LATEST}, ed AS (SELECT a.sector AS rule, n.source, n.target, CASE WHEN a.market = b.market THEN 'BENEFICIARY' ELSE 'VICTIM' END AS relation FROM neighbours n JOIN symbols a ON a.symbol = n.source JOIN symbols b ON b.symbol = n.target),
+    sp AS (SELECT rule, target, source, relation, r AS source_return, row_number() OVER (PARTITION BY rule, target ORDER BY abs(r) DESC, source) AS k FROM ed JOIN lv ON lv.symbol = ed.source AND relation = CASE WHEN r > 0 THEN 'BENEFICIARY' ELSE 'VICTIM' END WHERE r IS NOT NULL)
+    SELECT rule, target, source, relation, round(source_return, 6) AS source_return FROM sp WHERE k = 1""")
+def spillover_targets(spark, d):
+    """Edges within a market stand for beneficiaries, those across for victims; a rule is the source's sector."""
+    y = symbols(spark, d)
+    e = neighbours(spark, d).join(y.select(F.col("symbol").alias("source"), F.col("sector").alias("rule"), F.col("market").alias("_a")), "source").join(y.select(F.col("symbol").alias("target"), F.col("market").alias("_b")), "target")
+    e = e.select("rule", "source", "target", F.when(F.col("_a") == F.col("_b"), "BENEFICIARY").otherwise("VICTIM").alias("relation"))
+    move = ind.snapshot(daily_bars(spark, d), need=1).select("symbol", F.col("pct1").alias("return_pct")).where("return_pct is not null")
+    return pairs.spillover_targets(move, e).withColumn("source_return", F.round("source_return", 6))
