@@ -16,11 +16,16 @@ def _line(events: DataFrame, bars: DataFrame, event_rank: int) -> DataFrame:
     return e.unionByName(b)
 
 
+def _backwards():
+    """From the latest row to the current one: a running frame, whose cost grows
+    with the rows; one from the current row to the last grows with their square."""
+    return Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def asof_forward(events: DataFrame, bars: DataFrame, tolerance_days: int = 8) -> DataFrame:
     """Each event (symbol, ts, ...) with the close of the first bar on or after its
     day: price, price_ts and match (exact, nearest within the tolerance, failed)."""
-    w = Window.partitionBy("symbol").orderBy("ts", "kind").rowsBetween(0, Window.unboundedFollowing)
-    d = _line(events, bars, 0).withColumn("hit", F.first("bar", ignorenulls=True).over(w)).where("event is not null")
+    d = _line(events, bars, 0).withColumn("hit", F.last("bar", ignorenulls=True).over(_backwards())).where("event is not null")
     days = F.datediff(F.col("hit.ts"), F.col("ts"))
     near = F.when(days <= tolerance_days, F.col("hit"))
     return d.select("event.*", near["close"].alias("price"), near["ts"].alias("price_ts"), F.when(days == 0, "exact").when(days <= tolerance_days, "nearest").otherwise("failed").alias("match"))
@@ -37,11 +42,10 @@ def event_forward(events: DataFrame, bars: DataFrame, lags: list[int]) -> DataFr
     """Each event at each lag: base is the first bar on or after it, forward the
     bar ``lag`` positions later.  Both are looked up by (symbol, position)."""
     at = bars.withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")))
-    w = Window.partitionBy("symbol").orderBy("ts", "kind").rowsBetween(0, Window.unboundedFollowing)
     cols = events.columns
     e = events.select("symbol", "ts", F.struct(*cols).alias("event"), F.lit(None).cast("struct<pos:int,close:double>").alias("bar"), F.lit(0).alias("kind"))
     b = at.select("symbol", "ts", F.lit(None).cast(e.schema["event"].dataType).alias("event"), F.struct("pos", "close").alias("bar"), F.lit(1).alias("kind"))
-    based = e.unionByName(b).withColumn("hit", F.first("bar", ignorenulls=True).over(w)).where("event is not null and hit is not null")
+    based = e.unionByName(b).withColumn("hit", F.last("bar", ignorenulls=True).over(_backwards())).where("event is not null and hit is not null")
     based = based.select("event.*", F.col("hit.pos").alias("base_pos"), F.col("hit.close").alias("base")).withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
     later = at.select("symbol", F.col("pos").alias("fwd_pos"), F.col("close").alias("forward"))
     return based.withColumn("fwd_pos", F.col("base_pos") + F.col("lag")).join(later, ["symbol", "fwd_pos"]).where("base > 0").drop("base_pos", "fwd_pos")
