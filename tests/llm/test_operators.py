@@ -350,3 +350,39 @@ def test_components(spark):
                 label[u] = label[v] = min(label[u], label[v])
     linked = {x for u, v in edges if None not in (u, v) and u != v for x in (u, v)}
     assert got == {x: label[x] for x in linked}
+
+
+KEY = [hashlib.sha512(bytes([k])).hexdigest().translate(str.maketrans("0123456789", "GHIJKLMNOP"))[:64] for k in range(4)] + ["Qm9keQ=="]
+HEAD, TAIL = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+KEYS = [
+    "\n".join([HEAD, *KEY, TAIL]),
+    "\r\n".join([HEAD, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,AB12", "", *KEY, TAIL]),
+    "\n".join([HEAD, "Proc-Type: 4,ENCRYPTED", "", *KEY]),
+    "\n".join([HEAD, *KEY]),
+    "\n".join([HEAD, *KEY, TAIL.replace("RSA", "EC")]),
+    "\n> ".join([HEAD, *KEY]),
+    "\\n".join([HEAD, *KEY, TAIL]),
+    "\\n".join([HEAD, *KEY]),
+    '\\n" +\n    "'.join([HEAD, *KEY]),
+    " ".join([HEAD, *KEY[:4]]),
+    "\n".join([HEAD, *KEY[:4]]) + "\n" + "\n".join([HEAD, *KEY, TAIL]),
+]
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_no_line_of_a_private_key_is_left(key):
+    for text in (f"before it\n{key}\nand some words after", f"x {key}"):
+        got = secret_scan.redact(text)
+        assert not [line for line in KEY if line in got], got
+        assert got.startswith(text[:2]) and ("words after" in got) == ("words after" in text)
+
+
+def test_a_private_key_ends_with_its_base64(spark):
+    text = f"see {HEAD} for the form\nof a key"
+    assert secret_scan.redact(text) == "see [SECRET] for the form\nof a key"
+    assert secret_scan.redact(f"{HEAD}\nof a key\n\nIntroduction\n") == "[SECRET]\nof a key\n\nIntroduction\n"
+    both = f"{KEYS[0]}\nwords\n{KEYS[0]}"
+    assert secret_scan.redact(both) == "[SECRET]\nwords\n[SECRET]"
+    assert len(secret_scan.redact((HEAD + " words ") * 20_000)) == 300_000  # in linear time
+    df = spark.createDataFrame([(k, f"é {x} after") for k, x in enumerate([*KEYS, text, both])], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secret_scan.redact_documents(df).collect()} == {r.doc_id: secret_scan.redact(r.text) for r in df.collect()}

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemark.llm.common import shared_path, slices
 
 #: Goes up whenever a rule below changes; blobs are then scanned anew.
-RULE_VERSION = 1
+RULE_VERSION = 2
 
 #: Rules that must be reported (fixed values): kind, pattern, group whose length counts, least length.
 BASE_RULES = [
@@ -29,9 +29,21 @@ BASE_RULES = [
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),
 ]
+#: A private key: up to its END line, with no other BEGIN between, or else over the base64
+#: that follows: runs of 16 characters and more, and lines of any length that follow at once.
+#: Lines may be quoted or indented, and end with a newline or its escape.  Takes linear time.
+_PEM = re.compile(r"""
+    -----BEGIN\x20(?P<label>[A-Z ]*)PRIVATE\x20KEY-----
+    (?: (?:(?!-----BEGIN\x20)[\s\S])*?-----END\x20(?P=label)PRIVATE\x20KEY-----
+    |   (?:
+            (?:\\+[nrt]|[\s"'`>\#*|,;+]|//(?=\s))++  (?: (?:Proc-Type|DEK-Info|Version|Comment):(?:(?!\\+[nr])[^\r\n])*+ | [A-Za-z0-9+/=_-]{16,}+ )
+        |   [\x20\t"'`,;+]*+ (?:(?:\\+[nr])++[\x20\t"'`,;+]*+(?:\r?\n)?+|\r?\n|\r) (?:[\x20\t"'`>\#*|,;+]|//(?=\s))*+
+            [A-Za-z0-9+/=]++ (?=[\x20\t"'`,;]*+(?:\\+[nr]|[\r\n]|\Z))
+        )*+
+    )""", re.ASCII | re.VERBOSE)
 #: Public token formats that are reported besides.
 MORE_RULES = [
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1),
+    ("pem", _PEM, 0, 1),
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]+"), 0, 40),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]+"), 0, 15),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 30),
