@@ -386,3 +386,44 @@ def test_a_private_key_ends_with_its_base64(spark):
     assert len(secret_scan.redact((HEAD + " words ") * 20_000)) == 300_000  # in linear time
     df = spark.createDataFrame([(k, f"é {x} after") for k, x in enumerate([*KEYS, text, both])], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secret_scan.redact_documents(df).collect()} == {r.doc_id: secret_scan.redact(r.text) for r in df.collect()}
+
+
+def test_large_cells_of_vectors_are_split(spark, sf, monkeypatch):
+    """Cells split again, homes and members in blocks of bounded size: the same links, also where most vectors are dense."""
+    rng = np.random.default_rng(5)
+    dense = np.repeat(rng.normal(size=(4, 64)), [150, 50, 50, 50], axis=0) + rng.normal(size=(300, 64)) * 0.12
+    rows = [(10**6 + k, x.tolist(), 1) for k, x in enumerate(dense)]
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").unionByName(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    want = embedding_dedup.near_duplicates(df).collect()
+    assert max(r.n_links for r in want) > 100
+    for name, value in {"CELL": 10, "PIVOTS": 2, "SPLIT": 20, "CHUNK": 1000, "SLICE": 15, "MEMBERS": 25, "COPIES": 64, "GAIN": 0.9}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    sizes, levels = [], []
+    blocks = embedding_dedup.blocks
+
+    def seen(dealt):
+        levels.append(dealt.agg(F.max("level")).first()[0])
+        out = blocks(dealt)
+        sizes.extend(out.groupBy(*embedding_dedup.KEYS, "block").count().collect())
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "blocks", seen)
+    same(embedding_dedup.near_duplicates(df).collect(), want)
+    assert levels[0] > 0 and max(r["count"] for r in sizes) <= 2 * (25 + 20)
+
+
+def test_a_dense_block_of_vectors_keeps_no_pairs():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n = 2000
+    x = (np.ones(32) + rng.normal(size=(n, 32)) * 0.01).tolist()
+    table = pa.table({"class_id": np.arange(n) + 5, "home": [True] * n, "member": [True] * n, "embedding": pa.array(x, pa.list_(pa.float32())), "copies": np.full(n, 2)})
+    tracemalloc.start()
+    got = embedding_dedup.join_cell(table, 0.98)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert got.column("n").to_pylist() == [2 * (n - 1)] * n and set(got.column("v").to_pylist()) == {5}
