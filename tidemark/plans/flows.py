@@ -49,7 +49,7 @@ def stream_counts(spark, d):
 
 @query(f"""{TICKS}, l AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY symbol ORDER BY ts, id)) AS g FROM ticks WHERE price >= 12) SELECT id, symbol, ts FROM l WHERE g IS NULL OR g >= 7200000000""")
 def stream_surge(spark, d):
-    return flows.latest(flows.quiet(trades(spark, d).where("price >= 12")), shared_path(spark, "stream-surge"), [], "append").select("id", "symbol", "ts")
+    return flows.latest_quiet(trades(spark, d).where("price >= 12"), shared_path(spark, "stream-surge")).select("id", "symbol", "ts")
 
 
 @query(f"{TICKS} SELECT symbol, date_trunc('day', ts) AS day, count(*) AS seen_count, min(ts) AS first_seen, max(ts) AS last_seen, max(price) AS max_score FROM ticks GROUP BY symbol, date_trunc('day', ts)")

@@ -7,10 +7,10 @@ A watermark bounds the state of each flow: the look-back of the feed it reads.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -47,7 +47,10 @@ def upsert(signals: DataFrame, keys: list[str], delay: str = "1 day") -> DataFra
 
 def quiet(events: DataFrame, hours: float = 2.0, delay: str = BAR_DELAY) -> DataFrame:
     """Events (symbol, ts, id) that none of the same symbol precedes within the
-    quiet period; state is one time a symbol and goes after the period."""
+    quiet period; state is one time a symbol and goes after the period.
+
+    A task holds what a micro-batch has of a symbol: for streams whose micro-batches
+    are bounded (maxFilesPerTrigger).  ``latest_quiet`` takes any."""
     out = events.select("symbol", "ts", "id").schema
     span = pd.Timedelta(hours=hours)
 
@@ -71,6 +74,34 @@ def quiet(events: DataFrame, hours: float = 2.0, delay: str = BAR_DELAY) -> Data
     return source.groupBy("symbol").applyInPandasWithState(run, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def latest_quiet(events: DataFrame, path: str, hours: float = 2.0) -> DataFrame:
+    """Events (symbol, ts, id) that none of the same symbol precedes within the
+    quiet period, over all that has arrived; events without a time are left out.
+
+    In a time bucket of the period's length only the first event can be one, so a
+    bucket's first event and last time are all that is needed: an aggregation, however
+    many events a symbol has.  The last time a symbol is kept under ``path`` for the next
+    micro-batch; it is that of the batch before, so that a repeated batch does the same again."""
+    span = int(hours * 3_600_000_000)
+    source = events.select("symbol", "ts", "id")
+    micros = F.unix_micros("ts")
+
+    def work(batch: DataFrame, number: int) -> DataFrame:
+        spark = batch.sparkSession
+        last = spark.read.parquet(f"{path}/last/batch={number - 1}") if number else batch.select("symbol", "ts").limit(0)
+        last = last.select(F.col("symbol").alias("_symbol"), F.unix_micros("ts").alias("_last"))
+        each = batch.where("ts is not null").groupBy("symbol", F.floor(micros / span).alias("bucket")).agg(F.min(F.struct("ts", "id")).alias("first"), F.max("ts").alias("ts"))
+        each = each.join(last, F.col("symbol").eqNullSafe(F.col("_symbol")), "left")
+        known = last.select(F.col("_symbol").alias("symbol"), F.timestamp_micros("_last").alias("ts"))
+        each.select("symbol", "ts").unionByName(known).groupBy("symbol").agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{path}/last/batch={number}")
+        # greatest() passes over nulls: no bucket before, no batch before
+        before = F.greatest(F.lag(micros).over(Window.partitionBy("symbol").orderBy("bucket")), F.col("_last"))
+        kept = each.withColumn("before", before).where(F.col("before").isNull() | (F.unix_micros("first.ts") - F.col("before") >= span))
+        return kept.select("symbol", "first.ts", "first.id")
+
+    return latest(source, path, [], "append", work)
+
+
 def price_alerts(prices: DataFrame, picks: DataFrame) -> DataFrame:
     """Arriving prices (symbol, ts, price) that reach a pick's target or stop."""
     d = prices.join(picks.select("id", "symbol", "side", "stop", "target"), "symbol")
@@ -79,21 +110,21 @@ def price_alerts(prices: DataFrame, picks: DataFrame) -> DataFrame:
     return d.withColumn("alert", alert).where("alert is not null").select("id", "symbol", "ts", "price", "alert")
 
 
-def land(flow: DataFrame, path: str, mode: str = "update") -> str:
-    """Run the flow over all that has arrived; micro-batches go under ``path``."""
+def land(flow: DataFrame, path: str, mode: str = "update", work: Callable[[DataFrame, int], DataFrame] = lambda batch, number: batch) -> str:
+    """Run the flow over all that has arrived; micro-batches, after ``work``, go under ``path``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        work(batch, number).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     run = flow.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
     return f"{path}/rows"
 
 
-def latest(flow: DataFrame, path: str, keys: list[str], mode: str = "update") -> DataFrame:
+def latest(flow: DataFrame, path: str, keys: list[str], mode: str = "update", work: Callable[[DataFrame, int], DataFrame] = lambda batch, number: batch) -> DataFrame:
     """``land``, then the row of the last batch of each key (all rows with no keys)."""
     spark, names = flow.sparkSession, flow.columns
-    rows = spark.read.schema(T.StructType([*flow.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(land(flow, path, mode))
+    rows = spark.read.schema(T.StructType([*flow.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(land(flow, path, mode, work))
     if not keys:
         return rows.select(*names)
     rest = [c for c in names if c not in keys]
