@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -87,6 +89,37 @@ def test_prefix_counts():
         assert table.prefixes(text) == [len(t.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
 
 
+POOL = ["a", "é", "'", "'re", "'ll", "'s", "\u00a0", "\u3000", "<|endoftext|>", "<|start", "!", "?", "7", "か\u3099", "が", "\u1100\u1161\u11a8", "Σ", "İ", "Å", "ß", "the", "ing", "\x1c", "\u2028", "\x85", "<", "|", ">", "ſ", "ﬁ", "x\0y", "zz"]
+
+
+def test_prefixes_of_odd_texts():
+    """Marks that compose, contractions and beginnings of special tokens at every cut, and limits in all of them."""
+    t, table, rng = Tokenizer.from_file(WORD), token_counts.prefix_counts(WORD), random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice(POOL) for _ in range(rng.randint(0, 14)))
+        want = [len(t.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert table.prefixes(text) == want
+        for limit in (0, 1, 3, 6):
+            assert table.counts([text], limit) == ([want[-1]], [max(k for k, n in enumerate(want) if n <= limit)])
+
+
+@pytest.mark.parametrize("script", ["ja", "nfd", "letters", "marks"])
+def test_long_unbroken_texts(script):
+    """20,000 characters without white space: counted, cut and encoded in time that grows with the length."""
+    rng = random.Random(6)
+    ja = "".join(chr(rng.randint(0x3041, 0x30FE)) if rng.random() < 0.6 else chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000))
+    text = {"ja": ja, "nfd": unicodedata.normalize("NFD", ja), "letters": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "marks": "!" * 20_000}[script]
+    t, table = Tokenizer.from_file(WORD), token_counts.prefix_counts(WORD)
+    ids = t.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    (total,), (fit,) = table.counts([text], 300)
+    assert bpe.word_level(WORD).encode_many([text])[0].tolist() == ids
+    assert time.process_time() - began < 10
+    count = lambda k: len(t.encode(text[:k], add_special_tokens=False).ids)
+    assert total == len(ids) and count(fit) <= 300 and all(count(k) > 300 for k in range(fit + 1, min(len(text), fit + 60)))
+    assert table.prefixes(text[:300]) == [count(k) for k in range(301)]
+
+
 def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     found = [(i, label) for phrase, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
@@ -208,6 +241,40 @@ def test_best_cuts_are_optimal():
         assert cost(got) == min(map(cost, options))
 
 
+@pytest.mark.parametrize("stretch", [300, 1000, 5000])
+def test_stretches_give_the_best_cuts_of_the_whole_stream(stretch, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", stretch)
+    coder, rng = bpe.word_level(WORD), random.Random(stretch)
+    texts = [" ".join(rng.choice(["alpha", "beta.", "gamma", "delta!", "x" * rng.randint(1, 90)]) for _ in range(rng.choice([0, 1, 9, 200]))) for _ in range(150)]
+    packer, rows, solved = packing.Packer(coder, 64, 7), [], 0
+    for k in range(0, len(texts), 3):
+        if packer.add(list(range(k, k + 3)), *coder.encode_many(texts[k : k + 3])):
+            got = packer.solve(last=False)
+            rows += zip(*(np.asarray(v).tolist() for v in got.values()))
+            solved += 1
+    if packer.held:
+        rows += zip(*(np.asarray(v).tolist() for v in packer.solve(last=True).values()))
+    assert solved > 1 or stretch == 5000
+    ids, counts = coder.encode_many(texts)
+    whole = [np.append(x, packing.END_ID).astype("<u4") for x in np.split(ids, np.cumsum(counts)[:-1])]
+    stream, ends = np.concatenate(whole), np.cumsum(list(map(len, whole)))
+    enders = np.zeros(coder.size, dtype=bool)
+    enders[[coder.vocab[m + coder.END] for m in ".!?"]] = True
+    at, penalty = packing.cut_points(stream, ends, enders, 64)
+    price = dict(zip(at.tolist(), penalty.tolist()))
+    cost = lambda cuts: sum(64 - (b - a) + price[b] for a, b in zip(cuts, cuts[1:]))
+    used, place = [0], 0
+    for d, start, n, crc, total, seq, offset in rows:
+        assert zlib.crc32(whole[d][start : start + n].tobytes()) == crc and total == len(whole[d])
+        assert place == (ends[d] - total) + start
+        if offset == 0 and place:
+            used.append(place)
+        assert offset == place - used[-1] and seq == 7 + len(used) - 1
+        place += n
+    assert place == len(stream)
+    assert cost([*used, place]) == cost(packing.best_cuts(at, penalty, 64, last=True))
+
+
 def test_embeddings(spark, sf):
     given = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
     rows = [(r.vec_id, list(r.embedding), r.label) for r in given]

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -25,13 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm.common import map_texts
+from tidemark.llm.pieces import MEMO_BYTES, MEMO_ENTRIES, PieceMemo, spans
 
 INF = np.int64(1) << 62
-#: Entries that a worker's memo of encoded pieces holds before it starts anew.
-#: It only saves time: results don't depend on it.
-MEMO_ENTRIES = 300_000
-#: Longer pieces aren't kept in the memo.
-MEMO_CHARS = 64
+#: Symbols from which a word may get a tree of its own instead of a row among others.
+LONE = 256
 
 
 def byte_letters() -> list[str]:
@@ -42,6 +41,43 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class PairTable:
+    """Values of whole numbers above zero, looked up many at a time by open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while left.size:
+            free = self.keys[slot[left]] == -1
+            _, first = np.unique(np.where(free, slot[left], -1 - left), return_index=True)
+            put = np.zeros(len(left), dtype=bool)
+            put[first] = True
+            put &= free
+            self.keys[slot[left[put]]], self.values[slot[left[put]]] = keys[left[put]], values[left[put]]
+            left = left[~put]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """Their values, -1 for keys that aren't here."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        left = np.flatnonzero((there != keys) & (there != -1))
+        slot = slot[left]
+        while left.size:
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            go = ~hit & (there != -1)
+            left, slot = left[go], slot[go]
+        return out
+
+
 class Merges:
     """Merge rules as sorted arrays, and the trees that apply them."""
 
@@ -52,14 +88,12 @@ class Merges:
         # of a rule that is listed twice the last one counts
         _, last = np.unique(keys[::-1], return_index=True)
         order = len(keys) - 1 - last
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.table = PairTable(keys[order], order)
+        self.rule: dict[int, int] | None = None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, -1 where there is no rule."""
-        asked = (left << 20) | right
-        at = np.searchsorted(self.keys, asked)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == asked, self.ranks[at], -1)
+        return self.table.look((left << 20) | right)
 
     def encode(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged ids and their counts of words that lie one after the other as
@@ -74,6 +108,12 @@ class Merges:
             wide = 1 << int(power)
             members = np.flatnonzero(long & (classes == power))
             step = max(1, (1 << 17) // wide)
+            if wide > LONE and len(members) < wide // LONE:  # few and long: trees one by one
+                for k in members.tolist():
+                    ids = np.array(self._merge_one(symbols[starts[k] : starts[k] + lengths[k]].tolist(), wide), dtype=np.int64)
+                    counts[k] = len(ids)
+                    done.append((np.array([k]), ids))
+                continue
             for at in range(0, len(members), step):
                 chosen = members[at : at + step]
                 length = lengths[chosen]
@@ -90,6 +130,49 @@ class Merges:
             out[np.repeat(stops[chosen] - np.cumsum(n), n) + np.arange(len(ids))] = ids
         return out, counts
 
+    def _merge_one(self, word: list[int], wide: int) -> list[int]:
+        """The same for one long word, with plain lists."""
+        if self.rule is None:
+            real = np.flatnonzero(self.table.keys >= 0)
+            self.rule = dict(zip(self.table.keys[real].tolist(), self.table.values[real].tolist()))
+        rule, made, shift, n, none = self.rule, self.made, wide.bit_length() - 1, len(word), int(INF)
+        tree = [none] * (2 * wide)
+        for k in range(n - 1):
+            rank = rule.get(word[k] << 20 | word[k + 1])
+            if rank is not None:
+                tree[wide + k] = rank << shift | k
+        for node in range(wide - 1, 0, -1):
+            a, b = tree[2 * node], tree[2 * node + 1]
+            tree[node] = a if a < b else b
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while tree[1] != none:
+            place, rank = tree[1] & (wide - 1), tree[1] >> shift
+            gone, lead = after[place], before[place]
+            follow = after[gone]
+            word[place], word[gone], after[place] = int(made[rank]), -1, follow
+            leaves = [(gone, none)]
+            if follow < n:
+                before[follow] = place
+                rank = rule.get(word[place] << 20 | word[follow])
+                leaves.append((place, none if rank is None else rank << shift | place))
+            else:
+                leaves.append((place, none))
+            if lead >= 0:
+                rank = rule.get(word[lead] << 20 | word[place])
+                leaves.append((lead, none if rank is None else rank << shift | lead))
+            for leaf, value in leaves:
+                node = wide + leaf
+                tree[node] = value
+                while node > 1:
+                    other = tree[node ^ 1]
+                    if other < value:
+                        value = other
+                    node >>= 1
+                    if tree[node] == value:
+                        break
+                    tree[node] = value
+        return [x for x in word if x >= 0]
+
     def _merge(self, words: np.ndarray, inside: np.ndarray, length: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
         rows, shift = len(length), wide.bit_length() - 1
         column = np.arange(wide)
@@ -138,55 +221,82 @@ class Merges:
         return symbols[alive], alive.sum(axis=1)
 
 
-class Memo(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers."""
+class Numbers(dict):
+    """Piece -> its number; a piece that is looked up for the first time gets the next one."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
+class Memo:
+    """What has been worked out for pieces: a row of numbers for each, in one array.
+
+    ``encode(pieces)`` gives the rows of new pieces, one after the other, and their lengths."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
-        super().__init__()
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
+        self.clear()
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Encodes what isn't known; returns the long pieces, which aren't kept."""
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        missing = [p for p in pieces if p not in self]
-        extra = {}
-        for piece, ids in zip(missing, self.encode(missing)):
-            if len(piece) <= MEMO_CHARS:
-                self[piece] = ids
-            else:
-                extra[piece] = ids
-        return extra
+    def clear(self) -> None:
+        self.numbers, self.known, self.chars = Numbers(), 0, 0
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def ids(self, lists: list[list[str]]) -> list[bytes]:
-        extra = self.learn(set().union(*lists))
-        if not extra:
-            return [b"".join(map(self.__getitem__, pieces)) for pieces in lists]
-        look = lambda p: extra[p] if p in extra else self[p]
-        return [b"".join(map(look, pieces)) for pieces in lists]
+    def number(self, pieces: Iterable[str], n: int) -> np.ndarray:
+        """The numbers of ``n`` pieces; new ones are encoded."""
+        if self.known > MEMO_ENTRIES or self.chars > MEMO_BYTES:
+            self.clear()
+        found = np.fromiter(map(self.numbers.__getitem__, pieces), dtype=np.int64, count=n)
+        fresh = len(self.numbers) - self.known
+        if fresh:
+            new = list(itertools.islice(reversed(self.numbers), fresh))[::-1]
+            rows, sizes = self.encode(new)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, rows.astype(np.uint32)])
+            self.known += fresh
+            self.chars += sum(map(len, new))
+        return found
+
+    def rows(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all pieces one after the other, and each list's share of them."""
+        lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        found = self.number(itertools.chain.from_iterable(lists), int(lengths.sum()))
+        sizes = self.sizes[found]
+        stops = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lengths)]
+        return self.flat[spans(self.starts[found], sizes)], np.diff(stops, prepend=0)
+
+
+def joined(parts: list[tuple[list[int], np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that were worked out in parts, each with the places of its rows, in order of place."""
+    sizes, starts, flat, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
+    for places, rows, counts in parts:
+        sizes[places], starts[places] = counts, at + np.cumsum(counts) - counts
+        flat.append(rows)
+        at += len(rows)
+    return np.concatenate([*flat, np.zeros(0, np.int64)])[spans(starts, sizes)], sizes
 
 
 #: Stands between pieces that are split together, and its id among base symbols.
 BREAK, BREAK_ID = "\u2028", (1 << 20) - 1
 
 
-def encode_pieces(merges: Merges, split: regex.Pattern, text: str, symbols: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[bytes]:
-    """Ids of the pieces that BREAK ends in ``text``.  All are split by one
+def encode_pieces(merges: Merges, split: regex.Pattern, text: str, symbols: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces that BREAK ends in ``text``, and their counts.  All are split by one
     search; a BREAK goes through the merges as a symbol that no rule names."""
     words = split.findall(text)
     raw = np.frombuffer("".join(words).encode(), dtype=np.uint8)
     places = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
     stops = places[np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))]
     starts = np.concatenate([[0], stops[:-1]])
-    breaks = np.fromiter((w == BREAK for w in words), dtype=bool, count=len(words))
+    breaks = np.fromiter(map(BREAK.__eq__, words), dtype=bool, count=len(words))
     base = symbols(raw, stops - 1)
     base[starts[breaks]] = BREAK_ID
     keep = np.ones(len(raw), dtype=bool)
     keep[starts[breaks] + 1] = keep[starts[breaks] + 2] = False
     ids, _ = merges.encode(base[keep], np.where(breaks, 1, stops - starts))
     ends = np.flatnonzero(ids == BREAK_ID)
-    packed = ids.astype("<u4").tobytes()
-    return [packed[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
+    return ids[ids != BREAK_ID], np.diff(ends, prepend=-1) - 1
 
 
 def _special(added: list[dict]) -> tuple[re.Pattern | None, dict[str, int]]:
@@ -226,18 +336,21 @@ class ByteLevelBPE:
     def _symbols(self, raw: np.ndarray, _: np.ndarray) -> np.ndarray:
         return self.base[raw]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces as _pieces() cuts them.  One that ends in white space is a
         whole pre-token, and the look-ahead of the split must not see beyond it."""
         alone = [k for k, p in enumerate(pieces) if p[-1].isspace() or BREAK in p]
         odd = set(alone)
-        out = encode_pieces(self.merges, self.SPLIT, "".join(p + BREAK for k, p in enumerate(pieces) if k not in odd), self._symbols)
+        plain = [k for k in range(len(pieces)) if k not in odd]
+        parts = []
+        if plain:
+            parts.append((plain, *encode_pieces(self.merges, self.SPLIT, "".join(pieces[k] + BREAK for k in plain), self._symbols)))
         for k in alone:
             words = [pieces[k]] if pieces[k].isspace() else self.SPLIT.findall(pieces[k])
             raw = np.frombuffer(pieces[k].encode(), dtype=np.uint8)
             ids, _ = self.merges.encode(self.base[raw], np.array([len(w.encode()) for w in words]))
-            out.insert(k, ids.astype("<u4").tobytes())
-        return out
+            parts.append(([k], ids, np.array([len(ids)])))
+        return joined(parts, len(pieces))
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces that can be encoded apart.  Between two visible characters a
@@ -256,7 +369,9 @@ class ByteLevelBPE:
             parts = self.special.split(text) if self.special else [text]
             plan.append(parts if len(parts) > 1 else None)
             plain.extend(self._pieces(p) for p in parts[::2])
-        ids = iter(self.memo.ids(plain))
+        flat, counts = self.memo.rows(plain)
+        packed, stops = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+        ids = (packed[a:b] for a, b in zip([0, *stops], stops))
         out = []
         for parts in plan:
             if parts is None:
@@ -286,9 +401,6 @@ class WordBPE:
     #: The file's split pattern, fixed values.
     SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
     SPLIT_BREAK = regex.compile(SPLIT.pattern + "|" + BREAK)
-    #: str.split() also cuts at these, which aren't white space for the tokenizer.
-    ODD = re.compile("[\x1c-\x1f]")
-    SPACES = re.compile(f"[{SPACE}]+")
     END = "</w>"
 
     def __init__(self, path: str):
@@ -302,7 +414,7 @@ class WordBPE:
         self.last = np.array([self.vocab[c + self.END] for c in letters], dtype=np.int64)
         self.special, self.special_ids = _special(spec["added_tokens"])
         self.size = max([*self.vocab.values(), *self.special_ids.values()]) + 1
-        self.memo = Memo(self._encode_pieces)
+        self.memo = PieceMemo(self._encode_pieces)
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -325,26 +437,28 @@ class WordBPE:
         ids[last] = self.last[raw[last]]
         return ids
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [p.replace(BREAK, " ") if BREAK in p else p for p in pieces]  # white space either way
         mixed = [k for k, p in enumerate(pieces) if "<" in p and self.special and self.special.search(p)]
         odd = set(mixed)
-        plain = "".join(p + BREAK for k, p in enumerate(pieces) if k not in odd)
-        out = encode_pieces(self.merges, self.SPLIT_BREAK, self.normalise(plain), self._symbols)
+        plain = [k for k in range(len(pieces)) if k not in odd] if odd else range(len(pieces))
+        parts = []
+        if len(plain):
+            parts.append((plain, *encode_pieces(self.merges, self.SPLIT_BREAK, self.normalise(BREAK.join([*map(pieces.__getitem__, plain), ""])), self._symbols)))
         for k in mixed:
-            own = b""
+            own = []
             for j, part in enumerate(self.special.split(pieces[k])):
                 if j % 2:
-                    own += np.array([self.special_ids[part]], dtype="<u4").tobytes()
+                    own.append([self.special_ids[part]])
                 elif part:
-                    own += encode_pieces(self.merges, self.SPLIT_BREAK, self.normalise(part) + BREAK, self._symbols)[0]
-            out.insert(k, own)
-        return out
-
-    def pieces(self, text: str) -> list[str]:
-        return text.split() if not self.ODD.search(text) else [p for p in self.SPACES.split(text) if p]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        return self.memo.ids([self.pieces(t) for t in texts])
+                    own.append(encode_pieces(self.merges, self.SPLIT_BREAK, self.normalise(part) + BREAK, self._symbols)[0])
+            ids = np.concatenate(own)
+            parts.append(([k], ids, np.array([len(ids)])))
+        return joined(parts, len(pieces))
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and each text's count of them."""
+        return self.memo.rows(texts)
 
 
 @functools.lru_cache(maxsize=4)

@@ -67,7 +67,8 @@ def _token_lists(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator
         for at in range(0, batch.num_rows, 4096):
             keys = batch.column(0).slice(at, 4096).to_pylist()
             for first, texts in slices(batch.column(1).slice(at, 4096).to_pylist()):
-                yield keys[first : first + len(texts)], [np.frombuffer(b, dtype="<u4") for b in coder.encode_many(texts)]
+                ids, counts = coder.encode_many(texts)
+                yield keys[first : first + len(texts)], np.split(ids, np.cumsum(counts)[:-1])
 
 
 def explode_bigrams(docs: DataFrame, vocabulary: str, parts: int) -> DataFrame:

@@ -8,12 +8,16 @@ penalty for each document that a cut truncates:
     best[j] = penalty[j] + (room - at[j]) + min(best[i] + at[i])
 
 over cuts i at most ``room`` ids before j, where a monotone queue holds the
-minimum.  Long streams are solved in stretches: what follows the last settled
-cut is carried into the next one, so memory doesn't grow with the partition.
+minimum.  Long streams are solved in stretches.  At a stretch's end the best
+ways to all places where the next window may begin are followed back to the last
+cut that they share: it belongs to the best cuts of the whole stream, whatever
+follows, so all up to there is settled and the rest is carried into the next
+stretch.  Memory grows with the distance to that cut, not with the partition.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -48,25 +52,24 @@ SCHEMA = T.StructType([
 ])
 
 
-def cut_points(ids: np.ndarray, doc_ends: np.ndarray, enders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_points(ids: np.ndarray, doc_ends: np.ndarray, enders: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Places where the stream may be cut, from 0 to its end, and their penalties."""
-    sentence = np.flatnonzero(enders[ids]) + 1
-    at = np.union1d(np.union1d(sentence, doc_ends), [0])
+    price = np.full(len(ids) + 1, INSIDE_PENALTY, dtype=np.int64)  # of a cut before each id, and at the end
+    price[1:][enders[ids]] = SENTENCE_PENALTY
+    price[doc_ends] = price[0] = 0
+    at = np.flatnonzero(price < INSIDE_PENALTY)
     gaps = np.diff(at)
-    wide = np.flatnonzero(gaps > STRIDE)
+    wide = np.flatnonzero(gaps > stride)
     if len(wide):
-        n = (gaps[wide] - 1) // STRIDE
-        inner = np.repeat(at[wide], n) + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)
+        n = (gaps[wide] - 1) // stride
+        inner = np.repeat(at[wide], n) + stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)
         at = np.union1d(at, inner)
-    penalty = np.full(len(at), INSIDE_PENALTY, dtype=np.int64)
-    penalty[np.isin(at, sentence, assume_unique=True)] = SENTENCE_PENALTY
-    penalty[np.isin(at, doc_ends, assume_unique=True)] = 0
-    return at, penalty
+    return at, price[at]
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, room: int, last: bool) -> list[int]:
-    """Cuts from 0 to the end (``last``) or to the best place within the final
-    ``room`` ids, of the least padding plus penalties."""
+    """Cuts from 0 to the end (``last``) of the least padding plus penalties; else
+    those of them that are the same however the stream goes on."""
     places, costs = at.tolist(), (penalty + room - at).tolist()
     best, back = [0], [0]
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best[i] + at[i], i), rising
@@ -84,8 +87,15 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, room: int, last: bool) -> lis
         queue.append((value, j))
     j = len(places) - 1
     if not last:
-        first = int(np.searchsorted(at, at[-1] - room))
-        j = min(range(max(first, 1), len(places)), key=best.__getitem__)
+        # the next window begins at one of these; ways are followed from the latest of them on
+        ways = {-i for i in range(int(np.searchsorted(at, at[-1] - room)), len(places))}
+        heap = sorted(ways)
+        while len(heap) > 1:
+            way = -back[-heapq.heappop(heap)]
+            if way not in ways:
+                ways.add(way)
+                heapq.heappush(heap, way)
+        j = -heap[0]
     cuts = [j]
     while j:
         j = back[j]
@@ -94,54 +104,62 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, room: int, last: bool) -> lis
 
 
 class Packer:
-    """Packs one partition's stream; documents go in, rows of pieces come out."""
+    """Packs one partition's stream; documents go in, columns of pieces come out."""
 
     def __init__(self, coder: WordBPE, room: int, first_sequence: int):
         self.room, self.sequence = room, first_sequence
         self.enders = np.zeros(coder.size, dtype=bool)
         self.enders[[coder.vocab[m + coder.END] for m in ".!?"]] = True
         self.enders[END_ID] = False
-        self.docs: list[tuple[object, int, int]] = []  # doc_id, its ids before the part held here, all its ids
+        self.keys: list[object] = []  # doc_ids of the documents held
+        # of each, its ids before the part that is held, the held ones, and all
+        self.before, self.lengths, self.totals = [np.zeros(0, dtype=np.int64) for _ in range(3)]
         self.parts: list[np.ndarray] = []
-        self.held = 0
-
-    def add(self, doc_id: object, ids: np.ndarray) -> bool:
-        self.docs.append((doc_id, 0, len(ids)))
-        self.parts.append(ids)
-        self.held += len(ids)
-        return self.held >= STRETCH
-
-    def solve(self, last: bool) -> dict[str, list]:
-        rows: dict[str, list] = {f.name: [] for f in SCHEMA}
-        if not self.docs:
-            return rows
+        self.held, self.enough = 0, STRETCH
+
+    def add(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> bool:
+        """Documents by their ids, without END_ID, one after the other; whether there is enough to solve."""
+        totals = counts + 1
+        ends = np.cumsum(totals)
+        stream = np.full(len(ids) + len(counts), END_ID, dtype="<u4")
+        inside = np.ones(len(stream), dtype=bool)
+        inside[ends - 1] = False
+        stream[inside] = ids
+        self.keys += keys
+        self.before = np.concatenate([self.before, np.zeros(len(keys), dtype=np.int64)])
+        self.lengths, self.totals = np.concatenate([self.lengths, totals]), np.concatenate([self.totals, totals])
+        self.parts.append(stream)
+        self.held += len(stream)
+        return self.held >= self.enough
+
+    def solve(self, last: bool) -> dict[str, object]:
         stream = np.concatenate(self.parts)
-        ends = np.cumsum(list(map(len, self.parts)))
-        at, penalty = cut_points(stream, ends, self.enders)
-        cuts = best_cuts(at, penalty, self.room, last)
-        raw, stops = memoryview(stream.astype("<u4").tobytes()), ends.tolist()
-        begins = [0, *stops[:-1]]
-        k = 0
-        for low, high in zip(cuts, cuts[1:]):
-            a = low
-            while a < high:
-                while stops[k] <= a:
-                    k += 1
-                b = min(high, stops[k])
-                doc_id, before, total = self.docs[k]
-                for name, value in zip(rows, (doc_id, before + a - begins[k], b - a, zlib.crc32(raw[4 * a : 4 * b]), total, self.sequence, a - low)):
-                    rows[name].append(value)
-                a = b
-            self.sequence += 1
-        done = cuts[-1]
-        rest = [k for k in range(len(stops)) if stops[k] > done]
-        docs, parts = [], []
-        for k in rest:
-            skip = max(0, done - begins[k])
-            doc_id, before, total = self.docs[k]
-            docs.append((doc_id, before + skip, total))
-            parts.append(self.parts[k][skip:])
-        self.docs, self.parts, self.held = docs, parts, sum(map(len, parts))
+        ends = np.cumsum(self.lengths)
+        begins = ends - self.lengths
+        cuts = np.array(best_cuts(*cut_points(stream, ends, self.enders, min(STRIDE, self.room)), self.room, last), dtype=np.int64)
+        done = int(cuts[-1])
+        # a piece runs from a cut or a document's begin to the next of either
+        low = np.union1d(cuts[:-1], begins[begins < done])
+        high = np.append(low[1:], done)
+        owner, window = np.searchsorted(ends, low, side="right"), np.searchsorted(cuts, low, side="right") - 1
+        raw = memoryview(stream.tobytes())
+        rows = {
+            "doc_id": [self.keys[k] for k in owner.tolist()],
+            "start": self.before[owner] + low - begins[owner],
+            "length": high - low,
+            "ids_crc32": [zlib.crc32(raw[a:b]) for a, b in zip((4 * low).tolist(), (4 * high).tolist())],
+            "doc_tokens": self.totals[owner],
+            "sequence_id": self.sequence + window,
+            "offset": low - cuts[window],
+        }
+        self.sequence += len(cuts) - 1
+        first = int(np.searchsorted(ends, done, side="right"))
+        self.keys, self.before, self.lengths, self.totals = self.keys[first:], self.before[first:], self.lengths[first:], self.totals[first:]
+        if len(self.keys) and (inside := done - int(begins[first])) > 0:
+            self.before[0] += inside
+            self.lengths[0] -= inside
+        self.parts, self.held = [stream[done:]], len(stream) - done
+        self.enough = max(STRETCH, 2 * self.held)
         return rows
 
 
@@ -166,16 +184,14 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 2048) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_level(vocabulary)
         packer = Packer(coder, room, TaskContext.get().partitionId() << 40)
-        end = np.array([END_ID], dtype="<u4").tobytes()
         out = lambda rows: pa.RecordBatch.from_pydict(rows, schema=target)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 keys = batch.column(0).slice(at, 4096).to_pylist()
                 for first, texts in slices(batch.column(1).slice(at, 4096).to_pylist()):
-                    for doc_id, ids in zip(keys[first : first + len(texts)], coder.encode_many(texts)):
-                        if packer.add(doc_id, np.frombuffer(ids + end, dtype="<u4")):
-                            yield out(packer.solve(last=False))
-        if packer.docs:
+                    if packer.add(keys[first : first + len(texts)], *coder.encode_many(texts)):
+                        yield out(packer.solve(last=False))
+        if packer.held:
             yield out(packer.solve(last=True))
 
     return source.mapInArrow(run, schema)
