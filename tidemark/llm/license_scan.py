@@ -1,14 +1,16 @@
 """Licence scan with a positional index of rare words.
 
-Every licence template is a run of words.  The index posts each template under
-the words of it, with their offsets.  A file looks up those of its words that are rarest
-in the corpus (highest inverse document frequency, counted over all documents),
-each hit proposes a place where the template would start, and the proposals are
-verified: a mandatory key phrase must stand there word by word, and the rest of
-the template is then compared at the same alignment for the score.
-
-A phrase can only stand where its rarest word stands, so looking up each
-template's own rarest word finds every place.
+Every licence template is a run of words with a mandatory key phrase in it.  The index
+posts each template under all words of its key phrase, with their offsets.  A file
+takes those of its words that the index has, from the one that is rarest in the
+corpus (of the highest inverse document frequency, counted over all documents) on;
+each hit proposes a place where the template would start.  A template's proposals
+from its ``LOOKUPS`` rarest words in the file are intersected by relative position,
+and what is left is verified: the key phrase must stand there word by word, and
+the rest of the template is then compared at the same alignment for the score.
+
+A phrase stands where all of its words stand, so the proposals of any of them have
+every place: intersecting loses none.
 """
 
 from __future__ import annotations
@@ -41,6 +43,9 @@ TEMPLATES = [
     ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
 ]
 
+#: Rare words of a template whose proposals are intersected.
+LOOKUPS = 2
+
 #: Bytes of a word, lower-cased; every other byte becomes a space.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -51,47 +56,58 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' rarest words by relative position."""
+    """Postings (template, offset) of the key phrases' words."""
 
     def __init__(self, frequency: dict[bytes, int], n_docs: int):
-        self.idf = lambda w: math.log((1 + n_docs) / (1 + frequency.get(w, 0)))
         self.templates: list[tuple[str, list[bytes], list[bytes], int, bool]] = []
         for label, full, key, is_base in [*((label, key, key, True) for key, label in BASE.items()), *((*t, False) for t in TEMPLATES)]:
             whole, part = full.encode().split(), key.encode().split()
             shift = next(i for i in range(len(whole)) if whole[i : i + len(part)] == part)
             self.templates.append((label, whole, part, shift, is_base))
+        self.keys = [frozenset(key) for _, _, key, _, _ in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for t, (_, _, key, shift, _) in enumerate(self.templates):
-            rare = max(range(len(key)), key=lambda i: (self.idf(key[i]), -i))
-            self.postings.setdefault(key[rare], []).append((t, shift + rare))
+            for i, word in enumerate(key):
+                self.postings.setdefault(word, []).append((t, shift + i))
+        self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) for w in self.postings}
+
+    def starts(self, words: list[bytes]) -> dict[int, set[int]]:
+        """Each template's starts that its rarest words in this file agree on."""
+        present = self.postings.keys() & set(words)
+        possible = {t for t, key in enumerate(self.keys) if key <= present}
+        proposed: dict[int, set[int]] = {}
+        looked = dict.fromkeys(possible, 0)
+        for rare in sorted(present, key=lambda w: (-self.idf[w], w)) if possible else ():
+            wanted = [(t, offset) for t, offset in self.postings[rare] if t in possible and looked[t] < LOOKUPS]
+            if not wanted:
+                continue
+            places, at = [], -1
+            for _ in range(words.count(rare)):
+                at = words.index(rare, at + 1)
+                places.append(at)
+            for t, offset in wanted:
+                own = {at - offset for at in places}
+                proposed[t] = proposed[t] & own if looked[t] else own
+                looked[t] += 1
+        return proposed
 
     def scan(self, text: str) -> dict:
-        raw = text.encode().translate(_WORD)
-        words = raw.split()
+        words = words_of(text)
         places: list[tuple[int, int]] = []
         labels: set[str] = set()
         base: set[str] = set()
         score = 0.0
-        # substring search skips most words of the index at once
-        present = sorted((w for w in self.postings if w in raw), key=self.idf, reverse=True)
-        for rare in present:
-            at = -1
-            while True:
-                try:
-                    at = words.index(rare, at + 1)
-                except ValueError:
-                    break
-                for t, offset in self.postings[rare]:
-                    label, full, key, shift, is_base = self.templates[t]
-                    start = at - offset
-                    if start + shift < 0 or words[start + shift : start + shift + len(key)] != key:
-                        continue
-                    labels.add(label)
-                    if is_base:
-                        base.add(label)
-                        places.append((start, t))
-                    same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(full))
-                    score = max(score, same / len(full))
+        for t, proposed in self.starts(words).items():
+            label, full, key, shift, is_base = self.templates[t]
+            for start in proposed:
+                if words[start + shift : start + shift + len(key)] != key:
+                    continue
+                labels.add(label)
+                if is_base:
+                    base.add(label)
+                    places.append((start, t))
+                same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(full))
+                score = max(score, same / len(full))
         starts = [p for p, _ in places]
         return {
             "n_words": len(words),
@@ -116,18 +132,17 @@ FIELDS = T.StructType([
 
 
 def word_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
-    """In how many documents each word of the templates stands, over all of
-    ``docs``, and their number.  The result is as long as the templates' list of words."""
-    names = sorted({w for text in [*BASE, *(full for _, full, _ in TEMPLATES)] for w in text.encode().split()})
+    """In how many documents each word of the key phrases stands, over all of
+    ``docs``, and their number.  The result is as long as the index's list of words."""
+    names = sorted(Index({}, 0).postings)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {w: i for i, w in enumerate(names)}
         total, n = np.zeros(len(names), dtype=np.int64), 0
-        padded = [b" " + w + b" " for w in names]
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 for text in batch.column(0).slice(at, 1024).to_pylist():
-                    raw = b" " + (text or "").encode().translate(_WORD) + b" "
-                    total += [w in raw for w in padded]
+                    total[[number[w] for w in number.keys() & set(words_of(text or ""))]] += 1
                     n += 1
         yield pa.RecordBatch.from_pydict({"word": [*range(len(names)), -1], "n": [*total.tolist(), n]})
 
@@ -145,8 +160,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     and score (the best share of a template that stands where its key phrase
     does; 0 without a label).
 
-    A null text counts as empty.  A null doc_id is kept; equal rows each get a
-    row; an empty table gives an empty one; no other column is read.  Rows don't
+    A null text counts as empty, a text of any length is scanned as a whole.  A null
+    doc_id is kept; equal rows each get a row; an empty table gives an empty one; no
+    other column is read.  Two labels of one text are both reported.  Rows don't
     move: the only shuffle sums the frequencies of the templates' words.
     """
     frequency, n_docs = word_frequencies(docs)
