@@ -127,13 +127,39 @@ def brute_licenses(text):
     return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
 
 
-@pytest.mark.parametrize("which", ["docs", "table", "empty"])
-def test_licenses(which, request):
-    df = request.getfixturevalue(which)
+def brute_labels(text):
+    """Labels and score, template by template at every place."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    labels, score = set(), 0.0
+    for label, full, key in [*((label, key, key) for key, label in license_scan.BASE.items()), *license_scan.TEMPLATES]:
+        full, key = full.split(), key.split()
+        shift = next(i for i in range(len(full)) if full[i : i + len(key)] == key)
+        for at in range(len(words)):
+            if words[at : at + len(key)] == key:
+                labels.add(label)
+                score = max(score, sum(0 <= at - shift + i < len(words) and words[at - shift + i] == w for i, w in enumerate(full)) / len(full))
+    return ",".join(sorted(labels)), score
+
+
+LICENCES = [" ".join([a, *(full.split()[cut:]), b]) for a, b in (("", ""), ("x", "y z")) for _, full, _ in license_scan.TEMPLATES for cut in (0, 1, 3)]
+LICENCES += ["license the mit under", "under the MIT under the mit license", "cc by nc by nc cc by nc nc", " and ".join(full for _, full, _ in license_scan.TEMPLATES), "permission is hereby granted free of of charge"]
+
+
+@pytest.mark.parametrize("which", ["docs", "table", "empty", "licences"])
+def test_licenses(which, request, spark):
+    df = spark.createDataFrame(list(enumerate(LICENCES)), "doc_id long, text string") if which == "licences" else request.getfixturevalue(which)
     got = license_scan.scan_licenses(df)
-    same(got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect(), [(d, *brute_licenses(x)) for d, x in pairs(df)])
-    rows = got.collect()
-    assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in rows)
+    want = [(d, *brute_licenses(x), *brute_labels(x)) for d, x in pairs(df)]
+    same(got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect(), want)
+
+
+def test_a_file_looks_up_its_own_rarest_words():
+    """Which words are looked up follows the frequencies; what is found doesn't."""
+    words = license_scan.words_of("a license under the mit license, the mit license under the mit license")
+    every = license_scan.Index({}, 0)
+    common = license_scan.Index({b"mit": 90, b"license": 5}, 100)
+    assert every.scan(" ".join(w.decode() for w in words)) == common.scan(" ".join(w.decode() for w in words))
+    assert common.starts(words)[0] >= {2, 9} and common.idf[b"license"] > common.idf[b"mit"] < common.idf[b"under"]
 
 
 def brute_fingerprint(text):
@@ -182,9 +208,10 @@ def test_gray_index_links_all(spark, crowd, monkeypatch):
     assert got == {(x, min(g)) for g in groups.values() if len(g) > 1 for x in g}
 
 
-@pytest.mark.parametrize("which", ["docs", "table", "empty"])
-@pytest.mark.parametrize("capacity", [50_000, 5])
-def test_exact(which, capacity, request):
+@pytest.mark.parametrize("which,capacity,bits", [("docs", None, None), ("table", None, None), ("empty", None, None), ("docs", 1, "leading"), ("docs", 1, "trailing"), ("table", 2, "leading")])
+def test_exact(which, capacity, bits, request):
+    """Also with addresses of 3 bits, which force splits, directories below others and collisions."""
+    address = {None: F.xxhash64, "leading": lambda c: F.shiftleft(F.xxhash64(c), 61), "trailing": lambda c: F.xxhash64(c).bitwiseAND(7)}[bits]
     df = request.getfixturevalue(which)
     rows = [(d, re.sub(r"[\x20\x09-\x0D]+", " ", x)) for d, x in pairs(df)]
     want = []
@@ -192,7 +219,38 @@ def test_exact(which, capacity, request):
         ids = [i for i, y in rows if y == x]
         keep = min((i for i in ids if i is not None), default=None)
         want.append((d, keep, len(ids), d == keep, hashlib.sha256(x.encode()).hexdigest()))
-    same(exact_dedup.exact_groups(df, capacity).collect(), want)
+    same(exact_dedup.exact_groups(df, capacity, address).collect(), want)
+    kept = exact_dedup.keep_first(df, capacity, address)
+    first = {x: min((i for i, y in rows if y == x), key=lambda i: (i is None, i)) for _, x in rows}
+    assert kept.columns == df.columns
+    same([(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in kept.collect()], [(i, x) for x, i in first.items()])
+
+
+def test_directory_splits_until_no_bucket_is_over_capacity(spark):
+    addresses = spark.range(3000).select(F.expr("shiftrightunsigned(xxhash64(id), int(id % 3))").alias("address"))
+    (bits, slots), = exact_dedup.directory(addresses, 40)
+    sizes = addresses.withColumn("slot", F.shiftrightunsigned("address", 64 - bits)).join(slots, "slot").groupBy("bucket").count()
+    assert sizes.agg(F.max("count"), F.sum("count")).first() == (sizes.agg(F.max("count")).first()[0], 3000) and sizes.agg(F.max("count")).first()[0] <= 40
+    assert slots.select("slot").distinct().count() == slots.count() > sizes.count()  # some share a bucket
+    same = exact_dedup.directory(spark.createDataFrame([(5,), (6,)], "address long"), 1)
+    assert len(same) == 3 and same[-1][0] == 60  # they differ below all directories: one chain of two
+
+
+def test_a_chain_of_most_rows_is_dealt_over_owners(spark):
+    """Two texts of one address, of which one is nearly all rows: salted, compared, counted as a whole."""
+    rows = [(i, "hot  text" if i % 10 else f"cold {i % 70}", "z") for i in range(3000)] + [(None, "hot text", "z"), (7000, None, "z"), (7001, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket string").repartition(6)
+    seen = []
+    indexed = exact_dedup.indexed
+    for address in (F.xxhash64, lambda c: F.lit(9).cast("long")):
+        index = indexed(df, None, address)
+        seen.append(index.where("body = 'hot text'").select("salt").distinct().count())
+        got = {r.doc_id: r for r in exact_dedup.exact_groups(df, None, address).collect()}
+        assert got[1].group_size == 2701 == got[None].group_size and got[2].keep_id == 1 and not got[None].kept and got[1].kept
+        assert (got[7001].keep_id, got[7001].group_size) == (7000, 2) and got[70].keep_id == 0
+        kept = exact_dedup.keep_first(df, None, address).collect()
+        assert sorted(r.doc_id for r in kept) == [*range(0, 1, 10), 1, *range(10, 70, 10), 7000]
+    assert min(seen) > 4
 
 
 def test_keep_first_columns(docs):
@@ -494,3 +552,65 @@ def test_a_dense_block_of_vectors_keeps_no_pairs():
     tracemalloc.stop()
     assert peak < 100 << 20
     assert got.column("n").to_pylist() == [2 * (n - 1)] * n and set(got.column("v").to_pylist()) == {5}
+
+
+def brute_spans(text):
+    """All kinds, by their own patterns: base ones as in brute_secrets, and the method's."""
+    found = []
+    for kind, pattern, group, least in [
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32),
+        ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1), ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40), ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15), ("jwt", r"eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 30),
+    ]:
+        found += [(m.start(), secret_scan.ORDER[kind], f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+    return ",".join(x for _, _, x in sorted(found))
+
+
+def test_all_spans_of_secrets(spark):
+    parts = [KEYS[0], "ghp_" + "a1B2" * 9, "gho_short", "xoxb-1234567890-abc", "xoxz-no", "eyJhbGciOi.eyJzdWIiOjE.sig-nature_1", "eyJ.eyJ.x", 'api_key="abcdefgh12"', "token: short", "AKIA" + "Q" * 16, "0f" * 20, "é日本", "\n", "words"]
+    rng = random.Random(8)
+    texts = [None, "", *(" ".join(rng.sample(parts, rng.randint(1, len(parts)))) for _ in range(120)), "x " * 100_000 + "ghp_" + "Z9" * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan_secrets(df)).collect()}
+    assert got == {i: brute_spans(t or "") for i, t in enumerate(texts)}
+    assert all(any(k in x for x in got.values()) for k in ("pem:", "github:", "slack:", "jwt:"))
+
+
+def test_a_blob_that_stands_twice_in_the_ledger(spark, docs, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    want = secret_scan.digest(secret_scan.scan_secrets(docs, ledger)).collect()
+    spark.read.parquet(ledger).coalesce(1).write.mode("append").parquet(ledger + "2")
+    spark.read.parquet(ledger).coalesce(1).write.mode("append").parquet(ledger + "2")
+    same(secret_scan.digest(secret_scan.scan_secrets(docs, ledger + "2")).collect(), want)
+
+
+def test_labels_of_any_type_and_odd_ids_of_vectors(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, "a"), (2, v, "a"), (2, [2.0, 4.0, 6.0], "a"), (None, v, "a"), (3, v, "b"), (4, [1.0, 2.0], "a"), (5, v, None)]
+    for kind, labels in (("string", "ab"), ("double", (0.25, 0.5))):
+        df = spark.createDataFrame([(i, x, None if k is None else labels["ab".index(k)]) for i, x, k in rows], f"vec_id long, embedding array<double>, label {kind}")
+        got = embedding_dedup.near_duplicates(df).collect()
+        same(got, [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (None, 3, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)])
+
+
+def test_near_copies_that_share_an_id(spark):
+    """A row goes by its own group, also where another row of its id stays."""
+    one, two, three = "one two three four five six seven", "eins zwei drei vier acht neun zehn", "un deux trois quatre cinq six sept"
+    rows = [(1, one, "a"), (2, one.upper(), "b"), (2, two, "c"), (3, two, "d"), (4, three, "e"), (4, three, "f"), (None, one, "g"), (None, "quite alone here with no copy", "h"), (5, None, "i"), (6, "", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __own string").repartition(4)
+    got = simhash.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect() if r.doc_id != 5) == [(0, "quite alone here with no copy"), (1, one), (2, two), (4, three)]
+    assert [r.text for r in got.where("doc_id = 5").collect()] == [None] and simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_ids_may_be_strings(spark, docs):
+    text = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert exact_dedup.exact_groups(text).count() == text.count() == simhash.near_duplicates(text).count()
+    assert exact_dedup.keep_first(text).count() < text.count()
+    labels = text.select("doc_id", F.lit(1).alias("toxic")).where("doc_id is not null")
+    assert toxicity.score_toxicity(text, toxicity.train(text, labels)).count() == text.count()
+
+
+def test_a_row_without_id_is_in_no_fold(spark):
+    df = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long")
+    assert {r.doc_id: r.held for r in df.withColumn("held", ~toxicity.in_fold()).collect()} == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in (None, 1, 2)}

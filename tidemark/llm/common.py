@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -18,8 +19,8 @@ SLICE_CHARS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests, a laptop) a folder of its own is
-    made and set as the checkpoint folder.
+    Only where the session has none and runs on one machine (tests, a laptop) a
+    folder of its own is made and set as the checkpoint folder.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -27,12 +28,46 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(conf)
         return conf
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Paths that this process has handed out and not discarded.
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def written() -> list[str]:
+    return list(_written)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _written.remove(path)
+
+
+#: Marks of touched(): what it broadcasts has no more rows, whatever the input.
+MARKS = 1 << 20
+
+
+def touched(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` as those whose ``key`` may be among ``keys``, and those whose key surely isn't.
+
+    Only the first need a shuffle to be joined with what belongs to the keys.  They are told
+    by a hash of the key: where most marks are taken all rows are among the first."""
+    marks = keys.select(F.pmod(F.xxhash64(key), F.lit(MARKS)).alias("__mark")).distinct()
+    marked = rows.withColumn("__mark", F.pmod(F.xxhash64(key), F.lit(MARKS)))
+    return tuple(marked.join(F.broadcast(marks), "__mark", how).drop("__mark") for how in ("left_semi", "left_anti"))
 
 
 def materialise(df: DataFrame, name: str, block_mb: int = 128) -> DataFrame:
@@ -95,6 +130,24 @@ def map_texts(
     return source.mapInArrow(run, out)
 
 
+def extend_rows(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], field: T.StructField, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, and the column ``field`` of ``make()(texts)``."""
+    place = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, field])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            made: list = []
+            for at in range(0, batch.num_rows, 4096):
+                for _, run_ in slices(batch.column(place).slice(at, 4096).to_pylist()):
+                    made += work(run_)[field.name]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, type=target.field(len(target) - 1).type)], schema=target)
+
+    return docs.mapInArrow(run, schema)
+
+
 def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], keep: str, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, for which the Boolean column ``keep``
     of ``make()(texts)`` holds."""
