@@ -49,3 +49,20 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in rows} == {r.doc_id for r in four.select("doc_id").collect()}
     total = {r.doc_id: r.doc_tokens for r in rows}
     assert all(sum(r.length for r in rows if r.doc_id == d) == n for d, n in total.items())
+
+
+def test_stages_on_an_empty_table_and_on_odd_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, "en", None, None), (None, "", None, "s", 0), (10**6, "same  text", "en", "s", 10), (10**6, "same  text", "en", "s", 10), (10**6 + 1, "w " * 60_000, "en", "s", 120_000)], docs.schema)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        got = stage(spark, odd, sf)
+        kept = {"toxicity": 5, "exact_dedup": 3, "secret_scan": 5}.get(name)
+        assert kept is None or (got.count() == kept and got.columns == docs.columns)
+        assert {r.doc_id for r in got.collect()} >= {10**6, 10**6 + 1}
+
+
+def test_run_keeps_nothing_but_its_last_table(spark, sf):
+    before = set(pipeline.written())
+    assert pipeline.run(spark, sf).count() > 0
+    assert len([p for p in pipeline.written() if p not in before]) == 1

@@ -69,7 +69,7 @@ def choose_pivots(classes: DataFrame) -> dict[tuple, np.ndarray]:
     spark = classes.sparkSession
     if not asked:
         return {}
-    wanted = F.broadcast(spark.createDataFrame([(a, b, n) for (a, b), n in asked.items()], "label long, dim int, n int"))
+    wanted = F.broadcast(spark.createDataFrame([(a, b, n) for (a, b), n in asked.items()], "label string, dim int, n int"))
     # the k-th of n hash ranges gives its least hash: an aggregation, not a sort of a label's vectors
     slot = F.expr("pmod(shiftright(h, 8), n)")
     picked = classes.join(wanted, ["label", "dim"]).withColumn("slot", slot).groupBy("label", "dim", "slot").agg(F.min_by("embedding", "h").alias("embedding"))
@@ -107,7 +107,7 @@ def cells(classes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float) ->
                 )
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    dealt = classes.select("class_id", "label", "dim", "embedding", "copies").mapInArrow(run, f"class_id long, label long, dim int, cell long, home boolean, embedding {kind}, copies long")
+    dealt = classes.select("class_id", "label", "dim", "embedding", "copies").mapInArrow(run, f"class_id long, label string, dim int, cell long, home boolean, embedding {kind}, copies long")
     return dealt.select("class_id", "label", "dim", F.lit(0).alias("level"), "cell", "home", "embedding", "copies")
 
 
@@ -155,12 +155,12 @@ def split_cells(dealt: DataFrame, radius: float) -> DataFrame:
             return pa.table([*(out.column(k) for k in ("class_id", "label", "dim")), pa.array(out.column("level").to_numpy() + 1, pa.int32()), pa.array(cell), pa.array(home), out.column("embedding"), out.column("copies")], names=["class_id", *KEYS, "home", "embedding", "copies"])
 
         meet = lambda a, b: a.groupBy(*KEYS, "chunk").cogroup(b.groupBy(*KEYS, "chunk"))
-        tried = meet(rows.where("chunk = 0"), picked.where("chunk = 0")).applyInArrow(measure, "label long, dim int, level int, cell long, gain double, copied double")
+        tried = meet(rows.where("chunk = 0"), picked.where("chunk = 0")).applyInArrow(measure, "label string, dim int, level int, cell long, gain double, copied double")
         parting = materialise(tried.where((F.col("gain") <= GAIN) & (F.col("copied") <= COPIES)).select(*KEYS), "embedding-parting")
         if parting.isEmpty():
             break
         done.append(dealt.join(parting, KEYS, "left_anti"))
-        new = meet(rows.join(parting, KEYS, "left_semi"), picked.join(parting, KEYS, "left_semi")).applyInArrow(deal, f"class_id long, label long, dim int, level int, cell long, home boolean, embedding {kind}, copies long")
+        new = meet(rows.join(parting, KEYS, "left_semi"), picked.join(parting, KEYS, "left_semi")).applyInArrow(deal, f"class_id long, label string, dim int, level int, cell long, home boolean, embedding {kind}, copies long")
         dealt = materialise(new, "embedding-cells")
     for part in done:
         dealt = dealt.unionByName(part)
@@ -213,7 +213,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors``
     (vec_id, embedding, label).
 
-    Vectors of one label link when their cosine, in double precision, is
+    Labels of any type are compared by their text.  Vectors of one label link when their cosine, in double precision, is
     ``threshold`` or more.  Rows that are null, zero, not finite or without a
     label link with nothing: n_links 0, component_id their own vec_id.
     n_links counts the other rows linked directly, component_id is the least
@@ -221,7 +221,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     one class and linked through it; rows that repeat a vec_id count as rows.
     A null vec_id links but names no component.  An empty table gives an empty one.
     """
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
     good = rows.where(can_link())
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = classes.withColumn("h", F.xxhash64("label", "embedding")).withColumn("dim", F.size("embedding"))
@@ -233,7 +233,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     links = found.groupBy(F.col("u").alias("class_id")).agg(F.sum("n").alias("others"))
     joined = components(found.select("u", "v")).withColumnRenamed("node", "class_id")
     named = classes.select("class_id", "label", "embedding", "least", "copies").join(links, "class_id", "left").join(joined, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that the join reads two plain shuffles and AQE may split a component of many classes
+    least = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "embedding-names")
     named = named.join(least, "component").select("label", "embedding", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = good.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~can_link()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

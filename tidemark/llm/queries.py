@@ -80,4 +80,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256
             FROM t JOIN g ON t.text_sha256 = g.text_sha256
         """,
+        "op8_embedding_dedup": """
+            WITH RECURSIVE good AS (
+              SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+              WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            links AS (
+              SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+              WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+            reach(u, w) AS (
+              SELECT vec_id, vec_id FROM embeddings
+              UNION
+              SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+            n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u),
+            c AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u)
+            SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+            FROM embeddings e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
+        """,
     }

@@ -8,7 +8,6 @@ have, appends them, and joins the findings back to all paths (rows) of a blob.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import shared_path, slices
+from tidemark.llm.common import materialise, shared_path, slices, touched
 
 #: Goes up whenever a rule below changes; blobs are then scanned anew.
 RULE_VERSION = 2
@@ -134,7 +133,7 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     versions = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
     unseen = versions.select("blob", "text")
     if has_files(spark, ledger):
-        seen = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == RULE_VERSION).select("blob")
+        seen = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
         unseen = unseen.join(seen, "blob", "left_anti")
     scan_blobs(unseen.groupBy("blob").agg(F.first("text").alias("text"))).write.mode("append").parquet(ledger)
     findings = (
@@ -142,6 +141,7 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
         .where(F.col("rule_version") == RULE_VERSION)
         .select("blob", F.arrays_zip(F.col("kinds").alias("kind"), F.col("starts").alias("start"), F.col("ends").alias("end"), "is_base").alias("findings"))
         .where(F.size("findings") > 0)
+        .dropDuplicates(["blob"])  # two scans at once may both have written a blob
     )
     return versions.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", F.lower(F.hex("blob")).alias("blob"), F.coalesce("findings", F.array()).alias("findings"))
 
@@ -158,12 +158,12 @@ def redact_documents(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced and n_chars, where it is a
     column, brought up to date; all rows and columns stay.  A null text stays null.
 
-    The texts that have findings come from the ledger's scan; only they are
-    rewritten, where they are read."""
-    spark = docs.sparkSession
+    Findings come from the ledger's scan.  Only texts that have some, and few others,
+    move to meet them; the rest stay where they are read.  Equal rows and null
+    doc_ids stay as they are; an empty table gives an empty one."""
     found = scan_secrets(docs, ledger).where(F.size("findings") > 0).select(F.unhex("blob").alias("__blob"), F.col("findings").alias("__findings"))
-    found = found.groupBy("__blob").agg(F.first("__findings").alias("__findings"))
-    keyed = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    found = materialise(found.dropDuplicates(["__blob"]), "secret-findings")
+    near, far = touched(docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))), found, "__blob")
     text = F.expr("""
         aggregate(
           array_sort(transform(__findings, f -> struct(f.start AS s, f.end AS e))),
@@ -172,11 +172,7 @@ def redact_documents(docs: DataFrame, ledger: str | None = None) -> DataFrame:
             WHEN f.s >= a.at THEN struct(a.done || substring(text, int(a.at) + 1, int(f.s - a.at)) || '[SECRET]' AS done, f.e AS at)
             ELSE struct(a.done AS done, greatest(a.at, f.e) AS at) END,
           a -> a.done || substring(text, int(a.at) + 1))""")
-    joined = keyed.join(found, "__blob", "left").withColumn("text", F.when(F.col("__findings").isNotNull(), text).otherwise(F.col("text")))
+    joined = near.join(found, "__blob", "left").withColumn("text", F.when(F.col("__findings").isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__findings").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
-
-
-def span_digest(line: str) -> str:
-    return hashlib.sha256(line.encode()).hexdigest()
+    return joined.select(*docs.columns).unionByName(far.select(*docs.columns))

@@ -3,9 +3,9 @@
 Fingerprints that share a band of bits are sorted by Gray rank, in which
 neighbours differ in few bits.  Consecutive fingerprints form nodes, nodes form
 upper nodes, and each node keeps what its members share: the mask of bits they
-agree on and the pattern in it.  Two nodes are compared before their members:
-differences within both masks accumulate downward and prune all pairs below
-once they pass the bound, and two nodes whose members can't differ in more bits
+agree on and the pattern in it.  Two nodes are compared before their members: the
+masks widen downward, so the differences within both of them add up, and all pairs
+below are pruned once they pass the bound; two nodes whose members can't differ in more bits
 than the bound are linked as wholes, without listing pairs.
 
 Two fingerprints within ``bound`` bits agree on one of ``bound`` + 1 bands, so
@@ -20,11 +20,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_texts, materialise
+from tidemark.llm.common import extend_rows, map_texts, materialise, touched
 from tidemark.llm.components import components
 
 #: Words of a shingle, seed of its hash, and the bits by which linked fingerprints may differ.
@@ -57,17 +57,17 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+def fingerprint_column() -> Callable[[list[str]], dict[str, list]]:
+    def work(texts: list[str]) -> dict[str, list]:
+        found = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64).tolist()
+        return {"fp": found, "__fp": found}
 
-    def make() -> Callable[[list[str]], dict[str, list]]:
-        def work(texts: list[str]) -> dict[str, list]:
-            found = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
-            return {"fp": found.view(np.int64).tolist()}
+    return work
 
-        return work
 
-    return map_texts(docs, make, T.StructType([T.StructField("fp", T.LongType())]))
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of every row."""
+    return map_texts(docs, fingerprint_column, T.StructType([T.StructField("fp", T.LongType())]))
 
 
 def bands(bits: list[int], n: int) -> list[list[int]]:
@@ -229,7 +229,7 @@ def link_fingerprints(fps: DataFrame, bound: int = BOUND) -> DataFrame:
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 400_000:
+            if rows >= 400_000 and batch.column(0)[-1] != held[0].column(0)[0]:
                 table = pa.Table.from_batches(held)
                 bucket = table.column("bucket").to_numpy()
                 cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
@@ -272,15 +272,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(link_fingerprints(nodes.select("fp"))).withColumnRenamed("node", "fp")
     named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
+    # written, so that the join reads two plain shuffles and AQE may split a component of many fingerprints
+    names = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-names")
+    named = named.join(names, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates stays, all columns: that of the
-    least doc_id.  Rows that share it stay if their texts differ; rows without a
-    doc_id can't be told apart and stay if any of them is in no group with one."""
-    least = F.lit(-(1 << 63))
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", least).alias("__id")).distinct()
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", least)).withColumn("__text", F.xxhash64("text"))
-    return keyed.join(kept, "__id", "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    least doc_id; of rows of the group that share it, one.  Null and empty texts are
+    copies of one another; an empty table gives an empty one.  Rows without a doc_id
+    stay where their group has none at all, one for each fingerprint.
+
+    Only rows whose doc_id has lost a row, is null or stands twice are fingerprinted
+    again and move; the others stay where they are read."""
+    found = materialise(near_duplicates(docs), "simhash-found")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    doubtful = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(stays).alias("all_stay")).where("doc_id is null or n > 1 or not all_stay")
+    near, far = touched(docs, doubtful, "doc_id")
+    named = extend_rows(near, fingerprint_column, T.StructField("__fp", T.LongType()))
+    kept = found.where(stays).select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__hex")).distinct()
+    hexed = F.lower(F.lpad(F.hex("__fp"), 16, "0"))
+    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__fp"))).orderBy("__fp", "text")
+    chosen = named.join(kept, (hexed == F.col("__hex")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    chosen = chosen.withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    return far.unionByName(chosen.select(*docs.columns))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import filter_texts, map_texts
+from tidemark.llm.common import filter_texts, map_texts, materialise
 
 #: Labelled rows of either class and characters that the fit reads at most; the
 #: rows are those of the smallest hashes of doc_id among all labelled rows.
@@ -45,8 +45,8 @@ def features(word: str) -> list[str]:
 
 
 def in_fold(doc_id: str = "doc_id"):
-    """Rows that may be learned from; the others are held out."""
-    return F.crc32(F.col(doc_id).cast("string")) % 3 != 1
+    """Rows that may be learned from; the others are held out.  A null doc_id isn't: it has no label."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 != 1, F.lit(True))
 
 
 class Model:
@@ -140,11 +140,13 @@ def fit(texts: list[str], labels: list[int], prior: float, rounds: int = 400) ->
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits a model to a bounded sample of the labelled rows outside the held-out
     fold; see SAMPLE_ROWS.  Labels that are null or belong to no row, and null
-    texts, aren't used.  Without labelled rows of both classes the model
+    texts, aren't used; of rows that share a doc_id the greatest text and label count;
+    within the bound of characters a document that no longer fits is passed over.  Without labelled rows of both classes the model
     knows no word and calls nothing toxic."""
     own = labels.where(in_fold() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = docs.where("text is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("size"))
     known = own.join(size, "doc_id").where("toxic in (0, 1)").select("doc_id", "toxic", "size", F.xxhash64("doc_id").alias("h"))
+    known = materialise(known, "toxicity-known")
     shares = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen: dict[int, int] = {}
     for label in (0, 1):  # a row count that is a parameter, without texts
@@ -156,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not chosen:
         return Model({}, -30.0)
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(k,) for k in sorted(chosen)], "doc_id long")
+    ids = spark.createDataFrame([(k,) for k in sorted(chosen)], T.StructType([docs.schema["doc_id"]]))
     texts = docs.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).collect()
     texts.sort(key=lambda r: r.doc_id)
     total = sum(shares.values())
@@ -195,5 +197,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose text scores below THRESHOLD, all columns."""
+    """The rows whose text scores below THRESHOLD, all columns, equal rows and those
+    of a null doc_id too.  Null and empty texts stay; whole texts of any length are
+    scored; an empty table gives an empty one."""
     return filter_texts(docs, scorer(model), "clean")
