@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, packing, secret_scan, simhash, toxicity
-from tidemark.llm.common import materialise
+from tidemark.llm.common import discard, materialise, written
 from tidemark.llm.queries import vocabulary
 
 
@@ -18,18 +18,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal but for white space the one of the least doc_id stays."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-copies, linked over any number of steps, the one of the least doc_id stays."""
     return simhash.keep_first(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are blanked, null texts stay null."""
     return secret_scan.redact_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of pieces in sequences of at most 2048 ids; a null text is its end id alone."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), room=2048)
 
 
@@ -47,7 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over whole ``documents``; an empty table gives no row.
+
+    Each stage's table is written to the shared folder; what it and its predecessor
+    wrote there before is then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = set(written())
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        *old, _ = [p for p in written() if p not in before]
+        discard(spark, old)
     return STAGES[-1][1](spark, docs, sf_dir)
