@@ -34,19 +34,24 @@ def pair_study(bars: DataFrame, symbols: DataFrame, pairs: DataFrame, lag: int =
     return d.select("source", F.col("symbol").alias("target"), "direction", "events", "cond_prob", "base_prob", F.when(F.col("base_prob") > 0, F.col("cond_prob") / F.col("base_prob")).alias("lift"))
 
 
-def pair_signals(latest: DataFrame, pairs: DataFrame, stats: DataFrame, correlations: DataFrame) -> DataFrame:
-    """Scored pairs of moving sources, the best source of each target.
+def pair_signals(latest: DataFrame, pairs: DataFrame, stats: DataFrame, correlations: DataFrame, least_move: float = 3.0, least_confidence: str = "medium", most: int = 40) -> DataFrame:
+    """Scored pairs of moving sources, the best source of each target, the best ``most`` of all.
 
     ``latest`` has symbol, sector, return_pct, volume_ratio; a pair's direction
-    is that of its source's move."""
+    is that of its source's move, which has to pass ``least_move``; targets that have
+    moved already go."""
     side = lambda p: latest.select(F.col("symbol").alias(p), F.col("sector").alias(f"{p}_sector"), F.col("return_pct").alias(f"{p}_return"), F.col("volume_ratio").alias(f"{p}_volume"))
     d = pairs.select("source", "target").distinct().where("source <> target").join(side("source").where("source_return is not null"), "source").join(side("target"), "target")
     d = d.withColumn("direction", F.when(F.col("source_return") > 0, "UP").otherwise("DOWN"))
     d = d.join(stats.drop("base_prob"), ["source", "target", "direction"], "left").join(correlations.select("source", "target", "correlation"), ["source", "target"], "left")
-    d = d.withColumn("gap_class", relations.gap_class(F.col("source_return"), F.col("target_return")))
-    d = d.where("gap_class not in ('NO_DATA', 'NONE')").withColumn("score", scores.pair_score(d))
+    rule = F.concat("direction", F.lit("_LEADS_"), "direction")
+    d = d.where(F.abs("source_return") >= least_move).withColumn("gap_class", relations.gap_class(rule, F.col("source_return"), F.coalesce("target_return", F.lit(0.0)), F.lit(None), F.col("target_return")))
+    d = d.where("gap_class <> 'ALREADY'").withColumn("score", scores.pair_score(d))
+    d = d.withColumn("confidence", relations.pair_confidence(F.col("events"), F.col("cond_prob"), F.col("lift"), F.col("source_volume")))
+    told = F.col("events").isNotNull()  # pairs that only the rule knows pass whatever their confidence
+    d = d.where(~told | F.col("confidence").isin(*(["high"] if least_confidence == "high" else ["high", "medium"])))
     w = Window.partitionBy("target").orderBy(F.desc("score"), "source")
-    return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(F.desc("score"), "target").limit(most)
 
 
 def expand_peers(picks: DataFrame, edges: DataFrame, least: float = 0.62, per_parent: int = 5) -> DataFrame:

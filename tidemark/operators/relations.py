@@ -29,6 +29,12 @@ def confidence(n: Column, prob: Column, lift: Column) -> Column:
     return F.when((n >= 20) & (prob >= 0.6) & (lift >= 1.3), "high").when((n >= 10) & (prob >= 0.55) & (lift >= 1.15), "medium").otherwise("low")
 
 
+def pair_confidence(events: Column, prob: Column, lift: Column, volume_ratio: Column) -> Column:
+    """Confidence of a live pair: its history, and for high also the source's volume; without any history low."""
+    e, p, l_, v = (F.coalesce(c, F.lit(0.0)) for c in (events.cast("double"), prob, lift, volume_ratio))
+    return F.when((e >= 20) & (p >= 0.6) & (l_ >= 1.5) & (v >= 1.2), "high").when((e > 0) | (p > 0) | (l_ > 1.0), "medium").otherwise("low")
+
+
 def relation_type(move: Column, direction: Column) -> Column:
     return F.concat(move, F.lit("_LEADS_"), direction)
 
@@ -64,14 +70,21 @@ def leadlag(
     return good.select("source", "target", relation_type(F.col("move"), F.col("direction")).alias("relation"), "lag", "events", "cond_prob", "base_prob", "lift", "mean_forward", confidence(F.col("events"), F.col("cond_prob"), F.col("lift")).alias("confidence"))
 
 
-def gap_class(source: Column, target: Column, least: float = 3.0, partial: float = 0.5) -> Column:
-    """How far a target has followed its source's move."""
-    same = F.signum(source) == F.signum(target)
-    return (
-        F.when(source.isNull() | target.isNull(), "NO_DATA").when(F.abs(source) < least, "NONE")
-        .when(same & (F.abs(target) >= F.abs(source)), "ALREADY").when(same & (F.abs(target) >= partial * F.abs(source)), "PARTIAL")
-        .when(same, "NOT_YET").otherwise("MISMATCH")
-    )
+def primary_return(r4: Column, r1: Column) -> Column:
+    """The return over four hours, else over a day, else 0."""
+    return F.coalesce(r4, r1, F.lit(0.0))
+
+
+def gap_class(direction: Column, source: Column, target: Column, target_4h: Column, target_1d: Column) -> Column:
+    """How a target has answered its source's move, seen from the rule's direction.
+
+    A rising source lets a target rise unless the rule is UP_LEADS_DOWN; a falling one
+    lets it fall.  Returns are in percent; a null ``target_4h`` or ``target_1d`` isn't below zero."""
+    rises = (source > 0) & ~direction.contains("UP_LEADS_DOWN")
+    both_down = F.coalesce((target_4h < 0) & (target_1d < 0), F.lit(False))
+    up = F.when(target >= 3.0, "ALREADY").when(both_down, "CURRENT_MISMATCH").when(target < -1.0, "MISMATCH").when(target <= 1.0, "NOT_YET").otherwise("PARTIAL")
+    down = F.when(target > 1.0, "MISMATCH").when(target >= -1.0, "WEAKNESS_NOT_YET").when(target <= -3.0, "ALREADY").otherwise("PARTIAL")
+    return F.when(rises, up).otherwise(down)
 
 
 def unpriced(moves: DataFrame, edges: DataFrame, sensitivity: float = 0.6, least_gap: float = 2.0) -> DataFrame:

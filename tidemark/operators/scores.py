@@ -163,7 +163,7 @@ def pair_score(df: DataFrame) -> Column:
     """0 to 100 from the source's move, the target's lag behind it, history,
     correlation, kinship and volume; unknown parts give nothing."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    gap = first_of([("gap_class = 'NOT_YET'", 28), ("gap_class = 'PARTIAL'", 12), ("gap_class = 'ALREADY'", -20), ("gap_class = 'MISMATCH'", -15)])
+    gap = first_of([("gap_class = 'NOT_YET'", 28), ("gap_class = 'WEAKNESS_NOT_YET'", 22), ("gap_class = 'PARTIAL'", 12), ("gap_class = 'ALREADY'", -20), ("gap_class in ('CURRENT_MISMATCH', 'MISMATCH')", -15)])
     parts = [
         F.least(F.lit(30.0), 4 * F.abs("source_return")), first_of([("source_volume >= 1.2", 5)]), gap,
         F.least(F.lit(8.0), 12 * F.col("cond_prob")), F.when(F.col("lift") > 1, F.least(F.lit(7.0), 6 * (F.col("lift") - 1))),

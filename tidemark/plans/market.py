@@ -283,12 +283,13 @@ def latest_moves(spark, d) -> DataFrame:
     return ind.snapshot(daily_bars(spark, d), need=1).select("symbol", F.col("pct1").alias("return_pct"))
 
 
-@query(f"""{PAIRS} SELECT source, target, round(s, 6) AS source_return, round(t, 6) AS target_return, CASE WHEN s IS NULL OR t IS NULL THEN 'NO_DATA' WHEN abs(s) < 3 THEN 'NONE' WHEN sign(s) = sign(t) AND abs(t) >= abs(s) THEN 'ALREADY'
-    WHEN sign(s) = sign(t) AND abs(t) >= 0.5 * abs(s) THEN 'PARTIAL' WHEN sign(s) = sign(t) THEN 'NOT_YET' ELSE 'MISMATCH' END AS gap_class FROM pr""")
+@query(f"""{PAIRS} SELECT source, target, round(s, 6) AS source_return, round(t, 6) AS target_return, CASE WHEN s > 0 THEN CASE WHEN t >= 3 THEN 'ALREADY' WHEN t < -1 THEN 'MISMATCH' WHEN t <= 1 THEN 'NOT_YET' ELSE 'PARTIAL' END
+    ELSE CASE WHEN t > 1 THEN 'MISMATCH' WHEN t >= -1 THEN 'WEAKNESS_NOT_YET' WHEN t <= -3 THEN 'ALREADY' ELSE 'PARTIAL' END END AS gap_class FROM pr WHERE s IS NOT NULL AND t IS NOT NULL""")
 def gap_class(spark, d):
     m = latest_moves(spark, d)
-    j = neighbours(spark, d).join(m.select(F.col("symbol").alias("source"), F.col("return_pct").alias("s")), "source").join(m.select(F.col("symbol").alias("target"), F.col("return_pct").alias("t")), "target")
-    return j.select("source", "target", F.round("s", 6).alias("source_return"), F.round("t", 6).alias("target_return"), relations.gap_class(F.col("s"), F.col("t")).alias("gap_class"))
+    j = neighbours(spark, d).join(m.select(F.col("symbol").alias("source"), F.col("return_pct").alias("s")), "source").join(m.select(F.col("symbol").alias("target"), F.col("return_pct").alias("t")), "target").where("s is not null and t is not null")
+    kind = relations.gap_class(F.when(F.col("s") > 0, "UP_LEADS_UP").otherwise("DOWN_LEADS_DOWN"), F.col("s"), F.col("t"), F.lit(None), F.col("t"))
+    return j.select("source", "target", F.round("s", 6).alias("source_return"), F.round("t", 6).alias("target_return"), kind.alias("gap_class"))
 
 
 @query(f"{PAIRS} SELECT source, target, round(s, 6) AS source_return, round(t, 6) AS target_return, round(abs(s) * 0.6 - abs(t), 6) AS gap FROM pr WHERE abs(s) * 0.6 - abs(t) >= 2.0")

@@ -241,19 +241,19 @@ def pair_study(spark, d):
 
 @query(f"""{STUDY}, lx AS (SELECT symbol, (close - lag(close) {O}) / lag(close) {O} * 100 AS m, CASE WHEN count(volume) {over(-20, -1)} = 20 THEN volume / avg(volume) {over(-20, -1)} END AS v, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM daily_bars),
     lt AS (SELECT lx.symbol, sector, m, v FROM lx JOIN symbols ON symbols.symbol = lx.symbol WHERE n = 1),
-    gp AS (SELECT n.source, n.target, a.m AS sm, b.m AS tm, a.v AS sv, b.v AS tv, a.sector = b.sector AS kin, CASE WHEN a.m > 0 THEN 'UP' ELSE 'DOWN' END AS direction, CASE WHEN abs(a.m) < 3 THEN 'NONE' WHEN sign(a.m) = sign(b.m) AND abs(b.m) >= abs(a.m) THEN 'ALREADY'
-      WHEN sign(a.m) = sign(b.m) AND abs(b.m) >= 0.5 * abs(a.m) THEN 'PARTIAL' WHEN sign(a.m) = sign(b.m) THEN 'NOT_YET' ELSE 'MISMATCH' END AS gap_class
+    gp AS (SELECT n.source, n.target, a.m AS sm, b.m AS tm, a.v AS sv, b.v AS tv, a.sector = b.sector AS kin, CASE WHEN a.m > 0 THEN 'UP' ELSE 'DOWN' END AS direction, CASE WHEN abs(a.m) < 3 THEN 'ALREADY' WHEN a.m > 0 THEN CASE WHEN b.m >= 3 THEN 'ALREADY' WHEN b.m < -1 THEN 'MISMATCH' WHEN b.m <= 1 THEN 'NOT_YET' ELSE 'PARTIAL' END
+      ELSE CASE WHEN b.m > 1 THEN 'MISMATCH' WHEN b.m >= -1 THEN 'WEAKNESS_NOT_YET' WHEN b.m <= -3 THEN 'ALREADY' ELSE 'PARTIAL' END END AS gap_class
       FROM neighbours n JOIN lt a ON a.symbol = n.source JOIN lt b ON b.symbol = n.target WHERE a.m IS NOT NULL AND b.m IS NOT NULL),
-    sg AS (SELECT gp.*, events, greatest(0.0, least(100.0, least(30.0, 4 * abs(sm)) + CASE WHEN sv >= 1.2 THEN 5 ELSE 0 END + CASE gap_class WHEN 'NOT_YET' THEN 28 WHEN 'PARTIAL' THEN 12 WHEN 'ALREADY' THEN -20 ELSE -15 END
+    sg AS (SELECT gp.*, events, CASE WHEN events >= 20 AND s.cond_prob >= 0.6 AND s.lift >= 1.5 AND sv >= 1.2 THEN 'high' WHEN events > 0 OR s.cond_prob > 0 OR s.lift > 1 THEN 'medium' ELSE 'low' END AS confidence, greatest(0.0, least(100.0, least(30.0, 4 * abs(sm)) + CASE WHEN sv >= 1.2 THEN 5 ELSE 0 END + CASE gap_class WHEN 'NOT_YET' THEN 28 WHEN 'WEAKNESS_NOT_YET' THEN 22 WHEN 'PARTIAL' THEN 12 ELSE -15 END
       + coalesce(least(8.0, 12 * s.cond_prob), 0) + CASE WHEN s.lift > 1 THEN least(7.0, 6 * (s.lift - 1)) ELSE 0 END + CASE WHEN c.correlation > 0 THEN least(10.0, 12 * c.correlation) ELSE 0 END + CASE WHEN kin THEN 3 ELSE 0 END + CASE WHEN tv >= 1 THEN 3 ELSE 0 END)) AS score
-      FROM gp LEFT JOIN study s ON s.source = gp.source AND s.target = gp.target AND s.direction = gp.direction LEFT JOIN corrs c ON c.source = gp.source AND c.target = gp.target WHERE gap_class <> 'NONE'),
-    so AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source) AS n FROM sg) SELECT source, target, direction, gap_class, events, round(score, 5) AS score FROM so WHERE n = 1""")
+      FROM gp LEFT JOIN study s ON s.source = gp.source AND s.target = gp.target AND s.direction = gp.direction LEFT JOIN corrs c ON c.source = gp.source AND c.target = gp.target WHERE gap_class <> 'ALREADY'),
+    so AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source) AS n FROM sg) SELECT source, target, direction, gap_class, confidence, events, round(score, 5) AS score FROM so WHERE n = 1 ORDER BY so.score DESC, target LIMIT 40""")
 def pair_signals(spark, d):
     bars = daily_bars(spark, d)
     latest = ind.snapshot(bars, need=1).select("symbol", F.col("pct1").alias("return_pct"), F.col("vr_prev20").alias("volume_ratio")).join(symbols(spark, d).select("symbol", "sector"), "symbol")
     stats = pairs.pair_study(bars, symbols(spark, d), both_ways(spark, d))
     out = pairs.pair_signals(latest, neighbours(spark, d), stats, relations.correlations(bars, neighbours(spark, d)))
-    return out.select("source", "target", "direction", "gap_class", "events", F.round("score", 5).alias("score"))
+    return out.select("source", "target", "direction", "gap_class", "confidence", "events", F.round("score", 5).alias("score"))
 
 
 @query(f"""{CORR}, {with_tables('signals')[5:]}, pk AS (SELECT DISTINCT symbol FROM signals WHERE score >= 80 AND (SELECT max(created_at) FROM signals) - created_at < 30), e AS (SELECT source, target, correlation, row_number() OVER (PARTITION BY source ORDER BY correlation DESC, target) AS n FROM corrs WHERE correlation >= 0.0 AND source IN (FROM pk)),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import latest_quotes
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,6 +76,31 @@ def neighbours(spark: SparkSession, sf_dir: str, reach: int = 3) -> DataFrame:
     return near.join(s.withColumnRenamed("symbol", "target"), "target").select("source", "target")
 
 
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, name, sector, market and the latest figures of its bars."""
+    return symbols(spark, sf_dir).join(latest_quotes(daily_bars(spark, sf_dir)), "symbol", "left")
+
+
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cycle, stage, place, symbol, sector: each run of eight symbols is a cycle of
+    two leaders, first, second and third beneficiaries, and a victim."""
+    k = F.col("symbol") % 8
+    stage = F.when(k < 2, "LEADER").when(k < 5, "SECOND").when(k < 7, "THIRD").otherwise("VICTIM")
+    place = F.when((k < 2) | (k == 7), 0).when(k == 2, 1).when(k < 5, 2).otherwise(3)
+    return symbols(spark, sf_dir).select(F.expr("symbol div 8").alias("cycle"), stage.alias("stage"), place.alias("place"), "symbol", "sector", "market")
+
+
+def pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rule, market, source, targets, keywords, direction, least_move: one rule a symbol."""
+    s, k = symbols(spark, sf_dir), F.col("symbol")
+    direction = F.element_at(F.array(*map(F.lit, DIRECTIONS)), (k % 3 + 1).cast("int"))
+    market = F.when(k % 5 == 0, "BOTH").when(k % 5 == 1, "CROSS").otherwise(F.col("market"))
+    return s.select(k.alias("rule"), market.alias("market"), k.alias("source"), F.array(k + 1, k + 2, k).alias("targets"), F.array(F.concat(F.lit("#00000"), F.lpad(k.cast("string"), 3, "0"))).alias("keywords"), direction.alias("direction"), (2.0 + k % 3).alias("least_move"))
+
+
+#: Directions of the derived pair rules, in turn.
+DIRECTIONS = ["UP_LEADS_UP", "UP_LEADS_DOWN", "DOWN_LEADS_DOWN"]
+
 CTES = {
     "symbols": """symbols AS (SELECT s_suppkey AS symbol, s_name AS name, n_name AS sector, CASE WHEN r_name = 'ASIA' THEN 'KR' ELSE 'US' END AS market
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
@@ -90,6 +117,16 @@ CTES = {
         CAST(o_orderdate AS DATE) AS created_at FROM orders)""",
     "fundamentals": "fundamentals AS (SELECT p_partkey AS symbol, p_brand AS sector, p_retailprice / p_size AS pe, p_size / 10.0 AS pb FROM part)",
     "neighbours": """neighbours AS (SELECT a.symbol AS source, b.symbol AS target FROM symbols a JOIN symbols b ON b.symbol = a.symbol + 1 OR b.symbol = a.symbol + 2 OR b.symbol = a.symbol + 3)""",
+    "quotes": """q0 AS (SELECT symbol, open, close, volume, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n, lead(close) OVER (PARTITION BY symbol ORDER BY ts DESC) AS prev FROM daily_bars),
+        q1 AS (SELECT symbol, max(CASE WHEN n = 1 THEN close END) AS close, max(CASE WHEN n = 1 AND prev <> 0 THEN (close / prev - 1) * 100 END) AS return_1d, max(CASE WHEN n = 1 AND open <> 0 THEN (close / open - 1) * 100 END) AS return_4h,
+          avg(CASE WHEN n <= 14 THEN greatest(close - prev, 0.0) END) AS gain, avg(CASE WHEN n <= 14 THEN greatest(prev - close, 0.0) END) AS loss, count(CASE WHEN n <= 14 THEN prev END) AS known,
+          max(CASE WHEN n = 1 THEN volume END) / avg(CASE WHEN n BETWEEN 2 AND 21 THEN volume END) AS volume_ratio, sum(CASE WHEN n <= 4 THEN volume * sign(close - prev) END) AS flow FROM q0 WHERE n <= 21 GROUP BY symbol),
+        quotes AS (SELECT y.*, close, return_1d, return_4h, CASE WHEN known = 14 AND loss > 0 THEN 100 - 100 / (1 + gain / loss) END AS rsi, volume_ratio, CASE WHEN flow > 0 THEN 'UP' WHEN flow < 0 THEN 'DOWN' ELSE 'FLAT' END AS obv
+          FROM symbols y LEFT JOIN q1 ON q1.symbol = y.symbol)""",
+    "cycles": """cycles AS (SELECT symbol // 8 AS cycle, CASE WHEN symbol % 8 < 2 THEN 'LEADER' WHEN symbol % 8 < 5 THEN 'SECOND' WHEN symbol % 8 < 7 THEN 'THIRD' ELSE 'VICTIM' END AS stage,
+        CASE WHEN symbol % 8 < 2 OR symbol % 8 = 7 THEN 0 WHEN symbol % 8 = 2 THEN 1 WHEN symbol % 8 < 5 THEN 2 ELSE 3 END AS place, symbol, sector, market FROM symbols)""",
+    "pair_rules": """pair_rules AS (SELECT symbol AS rule, CASE WHEN symbol % 5 = 0 THEN 'BOTH' WHEN symbol % 5 = 1 THEN 'CROSS' ELSE market END AS market, symbol AS source, [symbol + 1, symbol + 2, symbol] AS targets,
+        ['#00000' || lpad(CAST(symbol AS VARCHAR), 3, '0')] AS keywords, ['UP_LEADS_UP', 'UP_LEADS_DOWN', 'DOWN_LEADS_DOWN'][symbol % 3 + 1] AS direction, 2.0 + symbol % 3 AS least_move FROM symbols)""",
 }
 
 
