@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import text as tx
 
+#: Fixed value: won a dollar.
 KRW_PER_USD = 1370.0
 
 
@@ -30,10 +31,6 @@ def items_for_terms(items: DataFrame, terms: DataFrame) -> DataFrame:
     return words(items).join(terms.select(F.lower("term").alias("word"), "term"), "word").select("term", "external_id", "n")
 
 
-def mention_counts(mentions: DataFrame, false_positives: list[str]) -> DataFrame:
-    return mentions.where(~F.col("term").isin(false_positives)).groupBy("term").agg(F.count("*").alias("items"), F.sum("n").alias("mentions"))
-
-
 def dollar_tickers(items: DataFrame, block: list[str]) -> DataFrame:
     """external_id, ticker, n of ``$WORD`` marks that aren't on the block list."""
     t = items.select("external_id", F.explode(F.regexp_extract_all("text", F.lit(r"\$([A-Z]{1,5})\b"), 1)).alias("ticker"))
@@ -69,24 +66,36 @@ def mood(score: Column) -> Column:
     return F.when(score >= 65, "STRONG").when(score >= 55, "WARM").when(score > 45, "NEUTRAL").when(score > 35, "COOL").otherwise("WEAK")
 
 
-def number(c: Column) -> Column:
-    return F.regexp_replace(c, ",", "").cast("double")
+#: Units of amounts, in 100 million won and in millions of dollars.
+WON_UNITS = {"조": 10_000.0, "억": 1.0, "백만": 0.01}
+DOLLAR_UNITS = {"billion": 1000.0, "b": 1000.0, "million": 1.0, "m": 1.0, "억달러": 100.0, "백만달러": 1.0}
+
+
+def amounts(c: Column, units: dict[str, float], pattern: str) -> Column:
+    """Array of (at, unit, value) of the numbers that a unit follows, in order."""
+    hits = F.regexp_extract_all(c, F.lit(pattern), 0)
+    unit = lambda h: F.lower(F.regexp_replace(h, r"[\d,.\s]", ""))
+    size = lambda h: F.regexp_replace(h, r"[^\d.]", "").try_cast("double")
+    factor = F.create_map(*[F.lit(x) for pair in units.items() for x in pair])
+    return F.transform(hits, lambda h, i: F.struct(i.alias("at"), unit(h).alias("unit"), (size(h) * F.element_at(factor, unit(h))).alias("value")))
 
 
 def krw_amount(c: Column) -> Column:
-    """Amount in units of 100 million won out of text in trillions (with a rest
-    in hundreds of millions), hundreds of millions, or millions; else null."""
-    pick = lambda pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
-    whole = r"(\d[\d,]*)\s*조\s*(?:(\d[\d,]*)\s*억)?"
-    trillions = number(pick(whole, 1)) * 10000 + F.coalesce(number(pick(whole, 2)), F.lit(0.0))
-    return F.coalesce(trillions, number(pick(r"(\d[\d,]*)\s*억", 1)), number(pick(r"(\d[\d,]*)\s*백만", 1)) / 100)
+    """The first amount in units of 100 million won: trillions with the hundreds of millions
+    that follow them, else hundreds of millions, else millions; null without any."""
+    found = amounts(c, WON_UNITS, r"\d[\d,]*\s*(?:조|억|백만)")
+    of = lambda u: F.get(F.filter(found, lambda x: x["unit"] == u), F.lit(0))
+    rest = F.regexp_extract(c, r"조\s*(\d[\d,]*)\s*억", 1)
+    return F.coalesce(of("조")["value"] + F.coalesce(F.regexp_replace(rest, ",", "").try_cast("double"), F.lit(0.0)), of("억")["value"], of("백만")["value"])
 
 
 def usd_amount(c: Column) -> Column:
-    """Amount in millions of dollars out of text; else null."""
-    pick = lambda pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
-    latin = lambda unit: number(pick(rf"(?i)(\d[\d,]*(?:\.\d+)?)\s*(?:{unit})\b"))
-    return F.coalesce(latin("billion|B") * 1000, latin("million|M"), number(pick(r"(\d[\d,]*)\s*억\s*달러")) * 100, number(pick(r"(\d[\d,]*)\s*백만\s*달러")))
+    """The first amount in millions of dollars, billions before millions, Latin units before
+    Korean ones; null without any."""
+    latin = amounts(c, DOLLAR_UNITS, r"(?i)\d[\d,]*(?:\.\d+)?\s*(?:billion|million|B|M)\b")
+    korean = amounts(c, DOLLAR_UNITS, r"\d[\d,]*\s*(?:억|백만)\s*달러")
+    first = lambda found, *units: F.get(F.filter(found, lambda x: x["unit"].isin(*units)), F.lit(0))["value"]
+    return F.coalesce(first(latin, "billion", "b"), first(latin, "million", "m"), first(korean, "억달러"), first(korean, "백만달러"))
 
 
 def usd_to_krw(millions: Column, rate: float = KRW_PER_USD) -> Column:
@@ -98,9 +107,13 @@ def backlog_tier(amount: Column) -> Column:
     return F.when(amount >= 150000, "HIGH").when(amount >= 30000, "MEDIUM").otherwise("LOW")
 
 
+#: Fixed value: letters that tell the share classes of one product.
+CLASS_LETTERS = "LABCDE"
+
+
 def same_product(a: Column, b: Column) -> Column:
     """Share classes of one product, told by their symbols."""
-    stem = lambda c: F.regexp_replace(c, "[LABCDE]+$", "")
+    stem = lambda c: F.regexp_replace(c, f"[{CLASS_LETTERS}]+$", "")
     return (a == b) | ((stem(a) == stem(b)) & (stem(a) != "") & (F.abs(F.length(a) - F.length(b)) <= 1))
 
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import flows, graph, market, scoring, signals
+from tidemark.plans import cleaning, flows, graph, market, scoring, signals
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return market.QUERIES | signals.QUERIES | scoring.QUERIES | flows.QUERIES | graph.QUERIES
+    return market.QUERIES | signals.QUERIES | scoring.QUERIES | flows.QUERIES | graph.QUERIES | cleaning.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return market.SQL | signals.SQL | scoring.SQL | flows.SQL | graph.SQL
+    return market.SQL | signals.SQL | scoring.SQL | flows.SQL | graph.SQL | cleaning.SQL
