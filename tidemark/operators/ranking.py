@@ -63,3 +63,8 @@ def union_distinct(first: DataFrame, *rest: DataFrame) -> DataFrame:
     for df in rest:
         first = first.unionByName(df, allowMissingColumns=True)
     return first.distinct()
+
+
+def not_seen(items: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
+    """Items whose hash isn't among those seen before."""
+    return items.join(seen.select(key).distinct(), key, "left_anti")
