@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import checkpointed
+
 
 def top_k(df: DataFrame, by: str, key: str, k: int) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(by), key).limit(k)
@@ -68,3 +70,58 @@ def union_distinct(first: DataFrame, *rest: DataFrame) -> DataFrame:
 def not_seen(items: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
     """Items whose hash isn't among those seen before."""
     return items.join(seen.select(key).distinct(), key, "left_anti")
+
+
+def rank_pairs(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs of medium confidence first, then by lift, probability and events, with their rank where ``most`` is given."""
+    order = [F.when(F.col("confidence") == "medium", 0).otherwise(1), F.desc("lift"), F.desc("cond_prob"), F.desc("events"), "source", "target"]
+    if most is None:
+        return df.orderBy(*order)
+    top = df.orderBy(*order).limit(most)  # at most that many rows meet in the window
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def two_sided_quota(df: DataFrame, score: str, most: int = 8, per_side: int = 2) -> DataFrame:
+    """Distinct (source, target) rows in order of ``score``, at most ``most``, and ``per_side`` of each source and of each target.
+
+    Taken in order, a row never gives way to a later one.  So rows that stand first on both
+    sides can be taken at once, round by round; each round takes the best of all that is left, so
+    ``most`` rounds are enough."""
+    order = [F.desc(score), "source", "target"]
+    place = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    todo, taken = checkpointed(df.select("source", "target", score)), None
+    for _ in range(most):
+        sure = checkpointed(todo.withColumn("_s", place("source")).withColumn("_t", place("target")).where("_s = 1 and _t = 1").select("source", "target", score).orderBy(*order).limit(most))
+        if sure.isEmpty():
+            break
+        taken = sure if taken is None else checkpointed(taken.unionByName(sure))
+        full = {key: taken.groupBy(key).count().where(F.col("count") >= per_side).select(key) for key in ("source", "target")}
+        todo = checkpointed(todo.join(sure.select("source", "target"), ["source", "target"], "left_anti").join(full["source"], "source", "left_anti").join(full["target"], "target", "left_anti"))
+    return df.limit(0).select("source", "target", score) if taken is None else taken.orderBy(*order).limit(most)
+
+
+def order_scenarios(df: DataFrame, caps: dict[str, int], bonus: float = 5.0) -> DataFrame:
+    """The first of each side by score with its place; watched LONG rows stand higher by ``bonus``."""
+    worth = F.col("score") + F.when((F.col("side") == "LONG") & F.col("watched"), bonus).otherwise(0.0)
+    d = df.withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy(F.desc(worth), "id")))
+    cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("side"))
+    return d.where(F.col("place") <= cap)
+
+
+def order_amount(df: DataFrame, most: int) -> DataFrame:
+    """The greatest amounts first, unknown ones last."""
+    return df.orderBy(F.desc_nulls_last("amount"), F.desc("date"), "id").limit(most)
+
+
+def sector_overlap(strong: DataFrame, weak: DataFrame) -> DataFrame:
+    """sector, standing: strong, weak, or mixed where it is both."""
+    both = strong.select("sector").intersect(weak.select("sector"))
+    return both.withColumn("standing", F.lit("mixed")).unionByName(strong.select("sector").subtract(both).withColumn("standing", F.lit("strong"))).unionByName(weak.select("sector").subtract(both).withColumn("standing", F.lit("weak")))
+
+
+def dedupe_picks(picks: DataFrame) -> DataFrame:
+    """The best pick of each symbol, then one a (source, symbol, relation) of those that have a source."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("score"), "id")
+    d = picks.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    key = F.when(F.col("source").isNotNull(), F.concat_ws("|", "source", "symbol", F.coalesce("relation", F.lit("")))).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
+    return d.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))).where("_n = 1").drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,16 @@ def attach_price(signals: DataFrame, latest: DataFrame) -> DataFrame:
     return signals.join(latest.select("symbol", "price"), "symbol", "left")
 
 
+def review_state(priced: DataFrame, asof: Column) -> DataFrame:
+    """outcome() with the state of each row (created_at, lag_days): pending until its lag has
+    passed, then no_price without one of its prices, else evaluable; only these have a return."""
+    late = F.datediff(asof, F.col("created_at")) < F.coalesce(F.col("lag_days"), F.lit(0))
+    state = F.when(late, "pending").when(F.col("entry").isNull() | F.col("price").isNull() | F.col("created_at").isNull(), "no_price").otherwise("evaluable")
+    d = outcome(priced).withColumn("state", state)
+    told = F.col("state") == "evaluable"
+    return d.withColumn("return_pct", F.when(told, F.col("return_pct"))).withColumn("hit", F.when(told, F.col("hit")))
+
+
 def outcome(priced: DataFrame) -> DataFrame:
     """return_pct signed by side and hit (null where it can't be told or for WATCH)."""
     sign = F.when(F.col("side") == "LONG", 1).when(F.col("side") == "SHORT", -1)
@@ -30,10 +40,8 @@ def performance(df: DataFrame, *keys: str) -> DataFrame:
 
 def performance_sets(df: DataFrame) -> DataFrame:
     """Performance overall, by side and by sector, in one pass of grouping sets."""
-    df.createOrReplaceTempView("_performance_input")
-    return df.sparkSession.sql("""
-        SELECT side, sector, count(*) AS n, count(return_pct) AS evaluable, avg(return_pct) AS mean_return, sum(hit) AS wins
-        FROM _performance_input GROUP BY GROUPING SETS ((), (side), (sector))""")
+    sets = df.groupingSets([[], ["side"], ["sector"]], "side", "sector")
+    return sets.agg(F.count("*").alias("n"), F.count("return_pct").alias("evaluable"), F.avg("return_pct").alias("mean_return"), F.sum("hit").alias("wins"))
 
 
 def style_feedback(df: DataFrame, good: float = 60.0, bad: float = 40.0) -> DataFrame:
@@ -49,9 +57,11 @@ def first_crossing(signals: DataFrame, threshold: float = 80.0) -> DataFrame:
 
 
 def signal_rollup(signals: DataFrame) -> DataFrame:
+    """symbol, first_id (the earliest row with a usable price, where ``price`` is a column), max_score and its time, repeats."""
     at = F.struct("created_at", "id")
+    usable = F.when(F.col("price") > 0, at) if "price" in signals.columns else at
     return signals.groupBy("symbol").agg(
-        F.min(at)["id"].alias("first_id"), F.max("score").alias("max_score"), F.max(F.struct("score", "created_at"))["created_at"].alias("max_at"), F.count("*").alias("repeats"))
+        F.min(usable)["id"].alias("first_id"), F.max("score").alias("max_score"), F.max(F.struct("score", "created_at"))["created_at"].alias("max_at"), F.count("*").alias("repeats"))
 
 
 def repeat_counts(signals: DataFrame, days: int = 3) -> DataFrame:
@@ -93,18 +103,38 @@ def signal_coverage(signals: DataFrame) -> DataFrame:
 
 
 def upsert_signals(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row a (symbol, side, day): seen_count, first and last id, first price, best score."""
+    """One row a (symbol, side, day), or a longer key where those columns are there: seen_count, first and
+    last id, the first price that isn't null, the best score, and whether any was sent."""
     both = old.unionByName(new)
-    return both.groupBy("symbol", "side", "created_at").agg(F.count("*").alias("seen_count"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("score").alias("max_score"))
+    key = [c for c in ("source", "symbol", "side", "relation", "created_at") if c in both.columns]
+    more = [F.min_by("price", F.when(F.col("price").isNotNull(), F.col("id"))).alias("first_price")] if "price" in both.columns else []
+    more += [F.max("sent").alias("sent")] if "sent" in both.columns else []
+    return both.groupBy(*key).agg(F.count("*").alias("seen_count"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("score").alias("max_score"), *more)
 
 
 def archive_duplicates(signals: DataFrame) -> DataFrame:
     """Marks all but the least id of each (symbol, side) and rolls up the rest onto it."""
     w = Window.partitionBy("symbol", "side")
-    d = signals.withColumn("keep_id", F.min("id").over(w)).withColumn("seen", F.count("*").over(w)).withColumn("last_seen", F.max("created_at").over(w))
-    return d.withColumn("archived", F.col("id") != F.col("keep_id")).select("id", "symbol", "side", "keep_id", "seen", "last_seen", "archived")
+    d = signals.withColumn("keep_id", F.min("id").over(w)).withColumn("seen", F.count("*").over(w)).withColumn("last_seen", F.max("created_at").over(w)).withColumn("first_seen", F.min("created_at").over(w))
+    d = d.withColumn("missing_price", F.col("price").isNull() if "price" in signals.columns else F.lit(False))
+    return d.withColumn("archived", F.col("id") != F.col("keep_id")).select("id", "symbol", "side", "keep_id", "seen", "first_seen", "last_seen", "missing_price", "archived")
 
 
 def duplicate_stats(signals: DataFrame) -> DataFrame:
     g = signals.groupBy("symbol", "side").count().where("count > 1")
     return g.agg(F.count("*").alias("groups"), F.sum(F.col("count") - 1).alias("to_archive"))
+
+
+def backfill_prices(signals: DataFrame, closes: DataFrame, within: int = 8) -> DataFrame:
+    """``signals`` (id, symbol, created_at, price, verified) with missing and unverified prices from the
+    close of their day or of the next trading day within ``within`` days, and where each came from.
+
+    Signals and closes meet by symbol and day: each signal asks for its own day and those after it."""
+    need = signals.where(F.col("price").isNull() | ~F.col("verified"))
+    asked = need.select("id", "symbol", "created_at", F.explode(F.expr(f"sequence(created_at, date_add(created_at, {within}), interval 1 day)")).alias("ts"))
+    found = asked.join(closes.where("close is not null").select("symbol", "ts", "close"), ["symbol", "ts"]).groupBy("id").agg(F.min(F.struct("ts", "close")).alias("c"), F.min("created_at").alias("_day"))
+    found = found.select("id", F.col("c")["close"].alias("_close"), F.when(F.col("c")["ts"] == F.col("_day"), "exact_date_close").otherwise("nearest_trading_day_close").alias("_from"))
+    d = signals.join(found, "id", "left")
+    asks = F.col("price").isNull() | ~F.col("verified")
+    source = F.when(~asks, "kept").when(F.col("_close").isNotNull(), F.col("_from")).otherwise("failed_no_price")
+    return d.withColumn("price_source", source).withColumn("price", F.when(asks, F.coalesce("_close", "price")).otherwise(F.col("price"))).drop("_close", "_from")

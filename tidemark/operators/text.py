@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def plain_text(c: Column) -> Column:
+    """Entities unescaped and characters in their NFKC form; only texts that have an & or
+    anything beyond ASCII go through Python, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", html.unescape(t)))
+
+    # what the function is not meant for reaches it as null
+    c = F.col(c) if isinstance(c, str) else c
+    odd = c.rlike("[&\\x{80}-\\x{10FFFF}]")
+    return F.coalesce(folded(F.when(odd, c)), c)
+
+
 def clean_text(c: Column) -> Column:
-    """Zero-width characters go, white space within a line is one space, empty lines go."""
-    c = F.regexp_replace(c, "[​-‍﻿]", "")
+    """plain_text() without zero-width characters; white space within a line is one space, empty lines go."""
+    c = F.regexp_replace(plain_text(c), "[​-‍﻿]", "")
     c = F.regexp_replace(c, r"[ \t\r\f]+", " ")
     return F.trim(F.regexp_replace(c, r" ?\n[ \n]*", "\n"))
 
@@ -77,9 +96,9 @@ def item_quality(source: Column, text: Column, trusted: list[str], good: list[st
 
 def dedupe_exact(items: DataFrame) -> DataFrame:
     """The newest, then longest, item of each normalised text; empty ones go."""
-    d = items.withColumn("hash", content_hash("text")).where(normalise("text") != "")
-    w = Window.partitionBy("hash").orderBy(F.desc("published_at"), F.desc(F.length("text")), "external_id")
-    return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    keys = items.select("external_id", "published_at", F.length("text").alias("size"), normalise(F.col("text")).alias("_norm")).where("_norm <> ''")
+    newest = keys.groupBy(F.sha2("_norm", 256).alias("hash")).agg(F.max_by("external_id", F.struct("published_at", "size", -F.col("external_id"))).alias("external_id"))
+    return items.join(newest, "external_id")  # texts move only for the join, and not at all where the keys fit a broadcast
 
 
 def hash_groups(items: DataFrame) -> DataFrame:

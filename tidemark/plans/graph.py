@@ -158,13 +158,13 @@ def expand_research(spark, d):
     return graph.expand_research(base_candidates(spark, d), research_pairs(spark, d))
 
 
-WATCH = """wl AS (SELECT symbol, CASE WHEN symbol % 2 = 0 THEN 'core' ELSE 'growth' END AS "group", symbol % 9 = 0 AS avoid FROM symbols WHERE symbol % 3 = 0),
+WATCH = """wl AS (SELECT symbol, CASE WHEN symbol % 2 = 0 THEN 'core' ELSE 'growth' END AS "group", symbol % 9 = 0 AS avoid FROM symbols WHERE sector >= 'NATION_2'),
     tok AS (SELECT DISTINCT trim(w, '.') AS word FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}.]+')) AS w FROM documents) q),
     watched AS (SELECT symbol, 'WATCHLIST_RELATED' AS origin FROM wl WHERE NOT avoid AND symbol NOT IN (SELECT symbol FROM bc) AND CAST(symbol AS VARCHAR) IN (SELECT word FROM tok))"""
 
 
 def watchlist(spark, d) -> DataFrame:
-    s = symbols(spark, d).where("symbol % 3 = 0")
+    s = symbols(spark, d).where("sector >= 'NATION_2'")
     return s.select("symbol", F.when(F.col("symbol") % 2 == 0, "core").otherwise("growth").alias("group"), (F.col("symbol") % 9 == 0).alias("avoid"))
 
 
@@ -341,7 +341,7 @@ def resolve_symbol(spark, d):
     return regime.resolve_symbol(read(spark, d, "customer").select(q.alias("query")), symbols(spark, d))
 
 
-@query(f"""{with_tables('symbols')}, wl AS (SELECT symbol, CASE WHEN symbol % 2 = 0 THEN 'core' ELSE 'growth' END AS g, symbol % 9 = 0 AS avoid FROM symbols WHERE symbol % 3 = 0)
+@query(f"""{with_tables('symbols')}, wl AS (SELECT symbol, CASE WHEN symbol % 2 = 0 THEN 'core' ELSE 'growth' END AS g, symbol % 9 = 0 AS avoid FROM symbols WHERE sector >= 'NATION_2')
     SELECT y.symbol, wl.g AS watch_group FROM symbols y LEFT JOIN wl ON wl.symbol = y.symbol WHERE NOT coalesce(avoid, false)""")
 def watchlist_tags(spark, d):
     return regime.tag_watchlist(symbols(spark, d).select("symbol"), watchlist(spark, d))

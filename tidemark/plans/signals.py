@@ -29,11 +29,13 @@ def first_crossing(spark, d):
     return review.first_crossing(signals(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query(f"""{SIG}, a AS (SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY created_at, id) AS n, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, created_at DESC) AS m, score, created_at,
-    count(*) OVER (PARTITION BY symbol) AS c FROM signals)
-    SELECT symbol, max(CASE WHEN n = 1 THEN id END) AS first_id, round(max(score), 6) AS max_score, max(CASE WHEN m = 1 THEN created_at END) AS max_at, max(c) AS repeats FROM a GROUP BY symbol""")
+@query(f"""{SIG}, a AS (SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, created_at DESC) AS m, score, created_at, count(*) OVER (PARTITION BY symbol) AS c FROM signals),
+    f AS (SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY created_at, id) AS n FROM signals WHERE id % 5 <> 0)
+    SELECT a.symbol, max(f.id) AS first_id, round(max(score), 6) AS max_score, max(CASE WHEN m = 1 THEN created_at END) AS max_at, max(c) AS repeats FROM a LEFT JOIN f ON f.symbol = a.symbol AND f.n = 1 GROUP BY a.symbol""")
 def signal_rollup(spark, d):
-    return review.signal_rollup(signals(spark, d)).withColumn("max_score", F.round("max_score", 6))
+    """Every fifth signal has no price."""
+    s = signals(spark, d).withColumn("price", F.when(F.col("id") % 5 != 0, F.col("score") + 1))
+    return review.signal_rollup(s).withColumn("max_score", F.round("max_score", 6))
 
 
 ENTRY = f"""{SHARED}, nx AS (SELECT s.id, s.symbol, s.side, s.score, s.created_at, max(b.ts) AS bts FROM signals s LEFT JOIN daily_bars b ON b.symbol = s.symbol AND b.ts <= s.created_at GROUP BY s.id, s.symbol, s.side, s.score, s.created_at),
@@ -118,16 +120,35 @@ def position_admission(spark, d):
     return review.admit(s.where("side <> 'WATCH'"), held, "sector").select("id", "symbol", "sector", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""{SIG} SELECT symbol, side, created_at, count(*) AS seen_count, min(id) AS first_id, max(id) AS last_id, round(max(score), 6) AS max_score FROM signals GROUP BY symbol, side, created_at""")
+@query(f"""{SIG}, u AS (SELECT *, id % 7 AS source, CASE WHEN id % 3 = 0 THEN 'UP_LEADS_UP' ELSE 'UP_LEADS_DOWN' END AS relation, CASE WHEN id % 4 <> 0 THEN CAST(id AS DOUBLE) END AS price, id % 2 AS sent FROM signals)
+    SELECT source, symbol, side, relation, created_at, count(*) AS seen_count, min(id) AS first_id, max(id) AS last_id, round(max(score), 6) AS max_score, min(price) AS first_price, max(sent) AS sent FROM u GROUP BY source, symbol, side, relation, created_at""")
 def upsert_signals(spark, d):
-    s = signals(spark, d)
+    k = F.col("id")
+    s = signals(spark, d).withColumn("source", k % 7).withColumn("relation", F.when(k % 3 == 0, "UP_LEADS_UP").otherwise("UP_LEADS_DOWN")).withColumn("price", F.when(k % 4 != 0, k.cast("double"))).withColumn("sent", k % 2)
     return review.upsert_signals(s.where("created_at < '1998-01-01'"), s.where("created_at >= '1998-01-01'")).withColumn("max_score", F.round("max_score", 6))
 
 
-@query(f"""{SIG} SELECT id, symbol, side, min(id) OVER (PARTITION BY symbol, side) AS keep_id, count(*) OVER (PARTITION BY symbol, side) AS seen, max(created_at) OVER (PARTITION BY symbol, side) AS last_seen,
-    id <> min(id) OVER (PARTITION BY symbol, side) AS archived FROM signals""")
+@query(f"""{SIG} SELECT id, symbol, side, min(id) OVER w AS keep_id, count(*) OVER w AS seen, min(created_at) OVER w AS first_seen, max(created_at) OVER w AS last_seen, id % 4 = 0 AS missing_price, id <> min(id) OVER w AS archived FROM signals WINDOW w AS (PARTITION BY symbol, side)""")
 def archive_duplicates(spark, d):
-    return review.archive_duplicates(signals(spark, d))
+    return review.archive_duplicates(signals(spark, d).withColumn("price", F.when(F.col("id") % 4 != 0, F.col("score"))))
+
+
+@query(f"""{ENTRY}, lag AS (SELECT *, id % 400 AS lag_days, (SELECT max(created_at) FROM signals) AS day FROM oc) SELECT id, CASE WHEN day - created_at < lag_days THEN 'pending' WHEN entry IS NULL OR price IS NULL THEN 'no_price' ELSE 'evaluable' END AS state,
+    round(CASE WHEN day - created_at >= lag_days AND entry IS NOT NULL AND price IS NOT NULL THEN return_pct END, 5) AS return_pct, CASE WHEN day - created_at >= lag_days AND entry IS NOT NULL AND price IS NOT NULL THEN hit END AS hit FROM lag""")
+def review_states(spark, d):
+    o = outcomes(spark, d).withColumnRenamed("ts", "created_at").withColumn("lag_days", F.col("id") % 400)
+    day = F.broadcast(signals(spark, d).agg(F.max("created_at").alias("day")))
+    return review.review_state(o.drop("return_pct", "hit").join(day), F.col("day")).select("id", "state", F.round("return_pct", 5).alias("return_pct"), "hit")
+
+
+@query(f"""{SHARED}, s AS (SELECT id, symbol, created_at, CASE WHEN id % 3 <> 0 THEN score END AS price, id % 2 = 0 AS verified FROM signals),
+    c AS (SELECT s.id, min(b.ts) AS ts FROM s JOIN daily_bars b ON b.symbol = s.symbol AND b.ts BETWEEN s.created_at AND s.created_at + 8 WHERE b.close IS NOT NULL AND (s.price IS NULL OR NOT verified) GROUP BY s.id)
+    SELECT s.id, round(CASE WHEN price IS NOT NULL AND verified THEN price ELSE coalesce(b.close, price) END, 3) AS price, CASE WHEN price IS NOT NULL AND verified THEN 'kept' WHEN b.ts IS NULL THEN 'failed_no_price' WHEN b.ts = s.created_at THEN 'exact_date_close' ELSE 'nearest_trading_day_close' END AS price_source
+    FROM s LEFT JOIN c ON c.id = s.id LEFT JOIN daily_bars b ON b.symbol = s.symbol AND b.ts = c.ts""")
+def backfill_prices(spark, d):
+    k = F.col("id")
+    s = signals(spark, d).select("id", "symbol", "created_at", F.when(k % 3 != 0, F.col("score")).alias("price"), (k % 2 == 0).alias("verified"))
+    return review.backfill_prices(s, daily_bars(spark, d)).select("id", F.round("price", 3).alias("price"), "price_source")
 
 
 @query(f"{SIG} SELECT count(*) AS groups, sum(n - 1) AS to_archive FROM (SELECT count(*) AS n FROM signals GROUP BY symbol, side HAVING count(*) > 1) q")
