@@ -383,7 +383,7 @@ def test_lm(which, request):
         n, backed, s = want.get(d, (0, 0, 0.0))
         for (v, w), k in grams.items():
             rest = c2[v, w] - k
-            s += k * np.log(rest / c1[v] if rest else 0.4 * c1[w] / total)
+            s += k * np.log(c2[v, w] / c1[v] if rest else 0.4 * c1[w] / total)
             backed += 0 if rest else k
         want[d] = (n + len(ids), backed, s)
     got = {r.doc_id: r for r in lm_score.lm_scores(df, WORD).collect()}

@@ -5,11 +5,15 @@ vocabulary and may be broadcast.  Bigrams aren't bounded: each (document,
 bigram) pair is dealt by the bigram's hash, where the count table of that hash
 range is built and joined to the pairs, and the scores are summed by document.
 
-    S(w | v) = (c(v w) - c_d(v w)) / c(v)   if another document has the bigram
-               0.4 * c(w) / N               else
+    S(w | v) = c(v w) / c(v)      if the model has the bigram
+               0.4 * c(w) / N     else
 
-c_d are the counts of the scored document itself: without leaving them out no
-bigram would ever back off, as the corpus holds every document that is scored.
+All counts are those of the whole corpus.  The model leaves out bigrams that only the
+scored document has: else none would ever back off, as the corpus holds every
+document that is scored.
+
+The count table of a hash range and its join are numpy in one Arrow group a range:
+exploded, the pairs alone would be over twice the disk that the input may cost.
 """
 
 from __future__ import annotations
@@ -156,6 +160,8 @@ def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
     the packed pairs and, for each run and range, one partial score a document.
     """
     spark = docs.sparkSession
+    if word_level(vocabulary).size > START:
+        raise ValueError(f"bigrams are two numbers of 16 bits: a vocabulary may have {START} entries")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / RANGE_CHARS))
     made = materialise(explode_bigrams(docs, vocabulary, parts), "lm-pairs", block_mb=4)
@@ -185,7 +191,7 @@ def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
             others = np.bincount(place, weights=own, minlength=len(keys)).astype(np.int64)[place] - own
             bigram = ((flat.astype(np.uint64) * np.uint64(UNMIX)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             off = others == 0
-            value = own * np.log(np.where(off, BACKOFF * c1[bigram & 0xFFFF] / total, others / np.maximum(c1[bigram >> 16], 1)))
+            value = own * np.log(np.where(off, BACKOFF * c1[bigram & 0xFFFF] / total, (others + own) / np.maximum(c1[bigram >> 16], 1)))
             at = 0
             for i, x in enumerate(spans):
                 n = x.stop - x.start
