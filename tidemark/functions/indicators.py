@@ -7,8 +7,11 @@ many are chained.  A value is null until its window is full ("need n").
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
 def by_time():
     return Window.partitionBy("symbol").orderBy("ts")
@@ -36,23 +39,27 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     return d.withColumn("rsi", 100 - 100 / (1 + F.col("_g") / F.col("_l"))).drop("_d", "_g", "_l")
 
 
-def ema_array(values: str, span: int) -> Column:
-    """Exponential averages of an array, seeded with its first value."""
-    a = 2.0 / (span + 1)
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(a * x + (1 - a) * F.element_at(acc, -1))))
-    return F.aggregate(values, F.array().cast("array<double>"), step)
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, need: int = 35) -> DataFrame:
+    """symbol, ts, macd, macd_signal, macd_hist.  A recursion along each symbol's bars, seeded
+    with the first close: one pass over a symbol's series, in an Arrow group of its own."""
+    source = bars.select("symbol", "ts", "close")
+    out = T.StructType([source.schema["symbol"], source.schema["ts"], *(T.StructField(c, T.DoubleType()) for c in ("macd", "macd_signal", "macd_hist"))])
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("ts", ignore_index=True)
+        ema = lambda x, span: x.ewm(span=span, adjust=False).mean()
+        line = ema(own["close"], fast) - ema(own["close"], slow)
+        own["macd"], own["macd_signal"] = line, ema(line, signal)
+        own["macd_hist"] = own["macd"] - own["macd_signal"]
+        own.loc[: need - 2, ["macd", "macd_signal", "macd_hist"]] = None
+        return own.drop(columns="close")
 
+    return source.groupBy("symbol").applyInPandas(run, out)
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, need: int = 35) -> DataFrame:
-    """symbol, ts, macd, macd_signal, macd_hist.  A recursion along each
-    symbol's bars: they are folded in order as arrays within one row a symbol."""
-    line = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("s"))
-    line = line.select("symbol", F.col("s.ts").alias("ts"), F.col("s.close").alias("c"))
-    line = line.withColumn("f", ema_array("c", fast)).withColumn("s", ema_array("c", slow))
-    line = line.withColumn("m", F.zip_with("f", "s", lambda x, y: x - y)).withColumn("g", ema_array("m", signal))
-    out = line.select("symbol", F.posexplode(F.arrays_zip("ts", "m", "g")).alias("k", "x"))
-    enough = F.col("k") >= need - 1
-    return out.select("symbol", F.col("x.ts").alias("ts"), F.when(enough, F.col("x.m")).alias("macd"), F.when(enough, F.col("x.g")).alias("macd_signal"), F.when(enough, F.col("x.m") - F.col("x.g")).alias("macd_hist"))
+
+def last_bars(bars: DataFrame, n: int) -> DataFrame:
+    """The last n bars of each symbol: what looks at the latest one need not sort all of history."""
+    return bars.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where(F.col("_n") <= n).drop("_n")
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -173,3 +180,18 @@ def screen(bars: DataFrame) -> DataFrame:
     d = turnover(bollinger(volume_ratios(obv_trends(pct_change(atr(rsi(bars)), 1))), population=False))
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("_n = 1")
     return d.select("symbol", "ts", "close", "rsi", "obv_screen", "bb_pct", F.col("vr_prev20").alias("volume_ratio"), "pct1", "atr", "turnover")
+
+
+def snapshot_4h(bars: DataFrame) -> DataFrame:
+    """The latest 4-hour bar of each symbol with its indicators; with under 6 bars only the count's
+    label, with under 20 what can be told, and a label that says so."""
+    w = Window.partitionBy("symbol")
+    d = trends(candles(support_resistance(volume_ratios(bollinger(obv_trends(rsi(bars)), population=False)))))
+    d = d.withColumn("_n", F.row_number().over(w.orderBy(F.desc("ts")))).withColumn("bars", F.count("*").over(w)).where("_n = 1")
+    enough = F.col("bars") >= 6
+    known = lambda c: F.when(enough, F.col(c)).alias(c)
+    body = F.try_divide(F.abs(F.col("close") - F.col("open")), F.col("high") - F.col("low"))
+    candle = F.when(body > 0.7, F.when(F.col("close") > F.col("open"), "STRONG_UP").otherwise("STRONG_DOWN")).otherwise("PLAIN")
+    label = F.when(~enough, "TOO_FEW").when(F.col("bars") < 20, "PARTIAL").otherwise(F.col("trend_4h"))
+    return d.select("symbol", "bars", known("close"), known("rsi"), F.when(enough, F.col("obv_4h")).otherwise("NO_DATA").alias("obv"), F.when(enough, F.col("bb_position")).otherwise("NO_DATA").alias("bb_position"),
+                    known("vr_prev20"), F.when(enough, candle).alias("candle"), known("support_hl"), known("resistance_hl"), label.alias("trend"))

@@ -47,6 +47,6 @@ def latest_quotes(bars: DataFrame) -> DataFrame:
         F.max(at("n = 1", F.col("close"))).alias("close"), F.max(at("n = 1 and prev <> 0", (F.col("close") / F.col("prev") - 1) * 100)).alias("return_1d"),
         F.max(at("n = 1 and open <> 0", (F.col("close") / F.col("open") - 1) * 100)).alias("return_4h"),
         F.avg(at("n <= 14 and prev is not null", F.greatest(change, F.lit(0.0)))).alias("gain"), F.avg(at("n <= 14 and prev is not null", F.greatest(-change, F.lit(0.0)))).alias("loss"), F.count(at("n <= 14", F.col("prev"))).alias("known"),
-        (F.max(at("n = 1", F.col("volume"))) / F.avg(at("n between 2 and 21", F.col("volume")))).alias("volume_ratio"), F.sum(at("n <= 4", F.col("volume") * F.signum(change))).alias("flow"))
+        F.try_divide(F.max(at("n = 1", F.col("volume"))), F.avg(at("n between 2 and 21", F.col("volume")))).alias("volume_ratio"), F.sum(at("n <= 4", F.col("volume") * F.signum(change))).alias("flow"))
     rsi = F.when((F.col("known") == 14) & (F.col("loss") > 0), 100 - 100 / (1 + F.col("gain") / F.col("loss")))
     return g.select("symbol", "close", "return_1d", "return_4h", rsi.alias("rsi"), "volume_ratio", F.when(F.col("flow") > 0, "UP").when(F.col("flow") < 0, "DOWN").otherwise("FLAT").alias("obv"))

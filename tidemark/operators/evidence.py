@@ -20,15 +20,21 @@ def url_dedupe(items: DataFrame, url: str = "url") -> DataFrame:
     return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_u")
 
 
-def words(items: DataFrame) -> DataFrame:
-    """external_id, word, n: lower-case words of ASCII letters and digits."""
-    w = items.select("external_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+")).alias("word")).where("word <> ''")
-    return w.groupBy("external_id", "word").agg(F.count("*").alias("n"))
+def tokens(c: Column) -> Column:
+    """Lower-case words of letters and digits of any script, in order."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def items_for_terms(items: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, external_id, n: whole-word mentions, by an equi join on the words."""
-    return words(items).join(terms.select(F.lower("term").alias("word"), "term"), "word").select("term", "external_id", "n")
+def items_for_terms(items: DataFrame, terms: DataFrame, since: Column | None = None) -> DataFrame:
+    """term, external_id, n: mentions as whole words in items since a moment.
+
+    A term of several words stands where all of them do, one after the other: words of items
+    and of terms meet in an equi join, and hits that agree on the place count together."""
+    own = items if since is None else items.where(F.col("published_at") >= since)
+    said = own.select("external_id", F.posexplode(tokens(F.col("text"))).alias("p", "word"))
+    asked = terms.select("term", tokens(F.col("term")).alias("ws")).select("term", F.size("ws").alias("k"), F.posexplode("ws").alias("i", "word"))
+    hits = said.join(asked, "word").groupBy("external_id", "term", "k", (F.col("p") - F.col("i")).alias("at")).agg(F.count("*").alias("n")).where("n = k")
+    return hits.groupBy("term", "external_id").agg(F.count("*").alias("n"))
 
 
 def dollar_tickers(items: DataFrame, block: list[str]) -> DataFrame:

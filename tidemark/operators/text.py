@@ -68,7 +68,7 @@ def count_of(c: Column, words: list[str]) -> Column:
 def keyword_counts(items: DataFrame, words: list[str], text: str = "text") -> DataFrame:
     """keyword, items, hits: from one pass over the texts, tokens joined to the
     broadcast word list (its length is that of ``words``)."""
-    tokens = items.select("external_id", F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")).alias("keyword"))
+    tokens = items.select("external_id", F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")).alias("keyword"))
     hits = tokens.where(F.col("keyword").isin(words)).groupBy("keyword", "external_id").agg(F.count("*").alias("n"))
     return hits.groupBy("keyword").agg(F.count("*").alias("items"), F.sum("n").alias("hits"))
 

@@ -66,14 +66,23 @@ def stream_ingest(spark, d):
     return flows.latest(flows.ingest(items, ["source_name", "hash"]), shared_path(spark, "stream-ingest"), ["source_name", "hash"], "append").select("source_name", "hash")
 
 
-@query(f"""{TICKS}, p AS (SELECT symbol, avg(price) * 2 AS target, avg(price) / 100 AS stop FROM ticks GROUP BY symbol) SELECT ticks.id, CASE WHEN price <= stop THEN 'STOP' ELSE 'TARGET' END AS alert FROM ticks JOIN p ON p.symbol = ticks.symbol WHERE price <= stop OR price >= target""")
+@query(f"""{TICKS}, p AS (SELECT symbol, avg(price) * 2 AS target, avg(price) / 100 AS stop FROM ticks GROUP BY symbol), a AS (SELECT ticks.symbol, ticks.id, CASE WHEN price <= stop THEN 'STOP' ELSE 'TARGET' END AS alert, row_number() OVER (PARTITION BY ticks.symbol ORDER BY ticks.id) AS n FROM ticks JOIN p ON p.symbol = ticks.symbol WHERE price <= stop OR price >= target)
+    SELECT symbol, id, alert FROM a WHERE n = 1""")
 def stream_price_alerts(spark, d):
-    """Targets at twice, stops at a hundredth of the symbol's mean price."""
+    """One pick a symbol, with its target at twice and its stop at a hundredth of the mean price."""
     events = spark.read.parquet(f"{d}/events.parquet")
-    picks = events.groupBy(F.col("event_type").alias("symbol")).agg((F.avg("value") * 2).alias("target"), (F.avg("value") / 100).alias("stop")).withColumn("side", F.lit("LONG"))
-    prices = trades(spark, d).withColumnRenamed("id", "event")
-    flow = flows.price_alerts(prices.withColumn("ts", F.col("event")), picks.withColumn("id", F.lit(0)))
-    return flows.latest(flow, shared_path(spark, "stream-alerts"), [], "append").select(F.col("ts").alias("id"), "alert")
+    picks = events.groupBy(F.col("event_type").alias("symbol")).agg((F.avg("value") * 2).alias("target"), (F.avg("value") / 100).alias("stop")).select(F.col("symbol").alias("id"), "symbol", F.lit("LONG").alias("side"), "stop", "target")
+    prices = trades(spark, d).select("symbol", F.col("id").alias("ts"), "price")
+    return flows.alerts_once(prices, picks, shared_path(spark, "stream-alerts")).select("symbol", F.col("ts").alias("id"), "alert")
+
+
+@query("""WITH b AS (SELECT user_id AS symbol, event_id AS ts, value, value - lag(value) OVER w AS dd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    r AS (SELECT symbol, ts, count(dd) OVER n AS k, avg(CASE WHEN dd IS NOT NULL THEN greatest(dd, 0.0) END) OVER n AS g, avg(CASE WHEN dd IS NOT NULL THEN greatest(-dd, 0.0) END) OVER n AS l, sum(coalesce(sign(dd), 0)) OVER (PARTITION BY symbol ORDER BY ts) AS obv FROM b WINDOW n AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
+    SELECT symbol, ts, round(CASE WHEN k = 14 AND l > 0 THEN 100 - 100 / (1 + g / l) END, 5) AS rsi, obv FROM r""")
+def stream_indicators(spark, d):
+    """Each user's events as bars, numbered by the event."""
+    e = arriving(spark, d, "events").select(F.col("user_id").alias("symbol"), F.col("event_id").alias("ts"), F.col("value").alias("close"), F.lit(1.0).alias("volume"))
+    return flows.live_indicators(e, shared_path(spark, "stream-indicators")).withColumn("rsi", F.round("rsi", 5))
 
 
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS url FROM pages) SELECT page_id, url, count(*) AS n FROM l GROUP BY page_id, url""")

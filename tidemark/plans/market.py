@@ -296,3 +296,21 @@ def gap_class(spark, d):
 def unpriced_targets(spark, d):
     u = relations.unpriced(latest_moves(spark, d), neighbours(spark, d))
     return u.select("source", "target", *[F.round(c, 6).alias(c) for c in ("source_return", "target_return", "gap")])
+
+
+BARS_4H = f"""{with_tables('ticks')}, bk AS (SELECT symbol || '-' || (CAST(floor(price) AS BIGINT) % 30) AS symbol, ts, id, price FROM ticks), bb AS (SELECT *, time_bucket(INTERVAL 4 HOURS, ts) AS bin FROM bk),
+    h4 AS (SELECT symbol, bin AS ts, arg_min(price, (epoch_us(ts), id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (epoch_us(ts), id)) AS close, count(*) AS volume FROM bb GROUP BY symbol, bin)"""
+
+
+@query(f"""{BARS_4H}, x0 AS (SELECT *, close - lag(close) {O} AS dd FROM h4), x1 AS (SELECT *, sum(coalesce(sign(dd), 0) * volume) OVER (PARTITION BY symbol ORDER BY ts) AS obv FROM x0),
+    x AS (SELECT *, count(dd) {over(-13)} AS k, avg(CASE WHEN dd IS NOT NULL THEN greatest(dd, 0.0) END) {over(-13)} AS g, avg(CASE WHEN dd IS NOT NULL THEN greatest(-dd, 0.0) END) {over(-13)} AS l, lag(obv, 4) {O} AS near, count(*) {over(-19)} AS c20, avg(close) {over(-19)} AS m, stddev_samp(close) {over(-19)} AS s,
+      CASE WHEN count(volume) {over(-20, -1)} = 20 THEN volume / avg(volume) {over(-20, -1)} END AS vr, min(low) {over(-19)} AS lo, max(high) {over(-19)} AS hi, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n, count(*) OVER (PARTITION BY symbol) AS bars FROM x1)
+    SELECT symbol, bars, round(CASE WHEN bars >= 6 THEN close END, 5) AS close, round(CASE WHEN bars >= 6 AND k = 14 AND l > 0 THEN 100 - 100 / (1 + g / l) END, 5) AS rsi, CASE WHEN bars < 6 OR near IS NULL THEN 'NO_DATA' WHEN obv > near * 1.02 THEN 'UP' WHEN obv < near * 0.98 THEN 'DOWN' ELSE 'FLAT' END AS obv,
+      CASE WHEN bars < 6 OR c20 < 20 THEN 'NO_DATA' WHEN close > m + 2 * s THEN 'ABOVE' WHEN close < m - 2 * s THEN 'BELOW' WHEN close >= m THEN 'UPPER_HALF' ELSE 'LOWER_HALF' END AS bb_position, round(CASE WHEN bars >= 6 THEN vr END, 5) AS vr_prev20,
+      CASE WHEN bars >= 6 THEN CASE WHEN high > low AND abs(close - open) / (high - low) > 0.7 THEN CASE WHEN close > open THEN 'STRONG_UP' ELSE 'STRONG_DOWN' END ELSE 'PLAIN' END END AS candle, round(CASE WHEN c20 = 20 THEN lo END, 5) AS support_hl, round(CASE WHEN c20 = 20 THEN hi END, 5) AS resistance_hl,
+      CASE WHEN bars < 6 THEN 'TOO_FEW' WHEN bars < 20 THEN 'PARTIAL' WHEN close > m * 1.02 THEN 'UP' WHEN close < m * 0.98 THEN 'DOWN' ELSE 'FLAT' END AS trend FROM x WHERE n = 1""")
+def snapshot_4h(spark, d):
+    """Events dealt to several symbols a type, so that bars have gaps."""
+    t = ticks(spark, d).withColumn("symbol", F.concat("symbol", F.lit("-"), (F.floor("price") % 30).cast("string")))
+    s = ind.snapshot_4h(bar_ops.resample(t, 4))
+    return s.select(*[F.round(c, 5).alias(c) if c in ("close", "rsi", "vr_prev20", "support_hl", "resistance_hl") else F.col(c) for c in s.columns])

@@ -39,7 +39,7 @@ def rounded_sql(doubles: str, others: str = "symbol, side") -> str:
 
 def frame(bars: DataFrame, s: str) -> DataFrame:
     names = {"close": "close", "rsi": "rsi", "obv_screen": "obv", "bb_pct": "bb", "volume_ratio": "vr", "atr": "atr", "turnover": "turnover"}
-    return ind.screen(bars).select("symbol", *[F.col(a).alias(f"{b}_{s}") for a, b in names.items()])
+    return ind.screen(ind.last_bars(bars, 60)).select("symbol", *[F.col(a).alias(f"{b}_{s}") for a, b in names.items()])
 
 
 def frame_sql(table: str, s: str) -> str:
@@ -327,14 +327,18 @@ def sentiment_by_source(spark, d):
     return rounded(s.withColumn("mood", evidence.mood(F.col("score"))), "source_name", "bull", "bear", "score", "confidence", "mood")
 
 
-@query(f"""{ITEMS}, t AS (SELECT external_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+')) AS w FROM raw_items),
-    tm AS (SELECT DISTINCT term FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM benchmark) q WHERE length(term) >= 8)
-    SELECT term, external_id, count(*) AS n FROM t JOIN tm ON w = term GROUP BY term, external_id""")
+@query(rf"""{ITEMS}, a AS (SELECT external_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM raw_items WHERE published_at >= TIMESTAMP '2024-01-01 01:00:00'),
+    t AS (SELECT external_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM a), bw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM benchmark),
+    tm AS (SELECT DISTINCT unnest(ws) AS term FROM bw UNION SELECT DISTINCT ws[1] || ' ' || ws[2] FROM bw WHERE len(ws) > 1),
+    tw AS (SELECT term, len(string_split(term, ' ')) AS k, unnest(string_split(term, ' ')) AS w, generate_subscripts(string_split(term, ' '), 1) - 1 AS i FROM tm),
+    h AS (SELECT external_id, term, p - i AS at0, k FROM t JOIN tw ON t.w = tw.w GROUP BY external_id, term, p - i, k HAVING count(*) = k)
+    SELECT term, external_id, count(*) AS n FROM h GROUP BY term, external_id""")
 def items_for_terms(spark, d):
-    """Terms are the long words of the benchmark's passages."""
-    known = evidence.words(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("external_id"), "text"))
-    terms = known.where("length(word) >= 8").select(F.col("word").alias("term")).distinct()
-    return evidence.items_for_terms(raw_items(spark, d), terms)
+    """Terms are all words of the benchmark's passages and the first two of each as a name, since an hour in."""
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select(evidence.tokens(F.col("text")).alias("ws"))
+    names = b.where("size(ws) > 1").select(F.concat_ws(" ", F.slice("ws", 1, 2)).alias("term"))
+    terms = b.select(F.explode("ws").alias("term")).unionByName(names).distinct()
+    return evidence.items_for_terms(raw_items(spark, d), terms, since=F.lit("2024-01-01 01:00:00").cast("timestamp"))
 
 
 @query(f"""{with_tables('symbols', 'daily_bars')}, l AS (SELECT symbol, max(ts) AS m FROM daily_bars GROUP BY symbol), g AS (SELECT max(ts) AS t FROM daily_bars)

@@ -262,7 +262,7 @@ def item_polarity(spark, d):
     return raw_items(spark, d).select("external_id", text.item_polarity(c, GOOD, BAD).alias("polarity"), text.context_sentiment(c, GOOD, BAD).alias("sentiment"))
 
 
-@query(f"""{ITEMS}, t AS (SELECT external_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS keyword FROM raw_items), h AS (SELECT keyword, external_id, count(*) AS n FROM t WHERE keyword IN ({', '.join(repr(w) for w in WORDS)}) GROUP BY keyword, external_id)
+@query(rf"""{ITEMS}, t AS (SELECT external_id, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+')) AS keyword FROM raw_items), h AS (SELECT keyword, external_id, count(*) AS n FROM t WHERE keyword IN ({', '.join(repr(w) for w in WORDS)}) GROUP BY keyword, external_id)
     SELECT keyword, count(*) AS items, sum(n) AS hits FROM h GROUP BY keyword""")
 def keyword_counts(spark, d):
     return text.keyword_counts(raw_items(spark, d), WORDS)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions.indicators import by_time, rsi
+
 #: How late items and bars may come (the look-backs of their feeds).
 ITEM_DELAY, BAR_DELAY = "4 hours", "15 minutes"
 
@@ -110,6 +112,46 @@ def price_alerts(prices: DataFrame, picks: DataFrame) -> DataFrame:
     return d.withColumn("alert", alert).where("alert is not null").select("id", "symbol", "ts", "price", "alert")
 
 
+def alerts_once(prices: DataFrame, picks: DataFrame, path: str) -> DataFrame:
+    """price_alerts() that fire once a pick: the first of a micro-batch, for picks without one before.
+
+    What has fired is what earlier batches landed under ``path``, so a repeated batch does the same again."""
+
+    def work(batch: DataFrame, number: int) -> DataFrame:
+        first = batch.groupBy("id").agg(F.min(F.struct("ts", "price", "alert", "symbol")).alias("a")).select("id", "a.symbol", "a.ts", "a.price", "a.alert")
+        if number:
+            fired = batch.sparkSession.read.schema(batch.schema).parquet(*(f"{path}/rows/batch={k}" for k in range(number)))
+            first = first.join(fired.select("id").distinct(), "id", "left_anti")
+        return first.select(*batch.columns)
+
+    return latest(price_alerts(prices, picks), path, [], "append", work)
+
+
+def live_indicators(bars: DataFrame, path: str, n: int = 14) -> DataFrame:
+    """symbol, ts, rsi and obv of every arriving bar (symbol, ts, close, volume), in order of ts.
+
+    Kept under ``path`` for the next micro-batch: each symbol's last n bars and its running
+    volume.  Bars that arrive late, before one that is kept, are left out."""
+
+    def work(batch: DataFrame, number: int) -> DataFrame:
+        spark = batch.sparkSession
+        empty = batch.limit(0).withColumn("obv", F.lit(None).cast("double"))
+        kept = spark.read.schema(empty.schema).parquet(f"{path}/last/batch={number - 1}") if number else empty
+        edge = kept.groupBy("symbol").agg(F.max("ts").alias("_edge"))
+        new = batch.join(edge, "symbol", "left").where(F.col("_edge").isNull() | (F.col("ts") > F.col("_edge"))).drop("_edge")
+        both = kept.withColumn("_old", F.lit(True)).unionByName(new.withColumn("obv", F.lit(None).cast("double")).withColumn("_old", F.lit(False)))
+        d = rsi(both, n).withColumnRenamed("obv", "_known")
+        step = F.when(F.col("_old"), F.lit(None)).otherwise(F.coalesce(F.signum(F.col("close") - F.lag("close").over(by_time())), F.lit(0.0)) * F.col("volume"))
+        past = by_time().rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn("_step", step).withColumn("obv", F.coalesce("_known", F.coalesce(F.last("_known", ignorenulls=True).over(past), F.lit(0.0)) + F.sum("_step").over(past)))
+        d.withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where(F.col("_k") <= n + 1).select(*empty.columns).write.mode("overwrite").parquet(f"{path}/last/batch={number}")
+        return d.where("not _old").select("symbol", "ts", "close", "volume", "rsi", "obv")
+
+    source = bars.select("symbol", "ts", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"))
+    rows = land(source, path, "append", work)
+    return source.sparkSession.read.parquet(rows).select("symbol", "ts", "rsi", "obv")
+
+
 def land(flow: DataFrame, path: str, mode: str = "update", work: Callable[[DataFrame, int], DataFrame] = lambda batch, number: batch) -> str:
     """Run the flow over all that has arrived; micro-batches, after ``work``, go under ``path``."""
 
