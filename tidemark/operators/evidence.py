@@ -51,10 +51,12 @@ def clusters(items: DataFrame, good: list[str], bad: list[str], quality: Column,
     research source.  Sources are counted, never collected."""
     p = tx.item_polarity(F.col("text"), good, bad)
     d = items.select("external_id", "source_name", "published_at", tx.content_hash(F.col("text")).alias("hash"), p.alias("polarity"), F.greatest(F.lit(0), quality).alias("q"))
-    g = d.groupBy("hash").agg(
-        F.count("*").alias("size"), F.countDistinct("source_name").alias("sources"), F.countDistinct(F.when(F.col("source_name").isin(research), F.col("source_name"))).alias("research"),
-        F.count_if(F.col("polarity") == "positive").alias("pos"), F.count_if(F.col("polarity") == "negative").alias("neg"), F.count_if(F.col("polarity") == "neutral").alias("neu"),
-        F.max("published_at").alias("newest"), F.max(F.struct("published_at", "external_id"))["external_id"].alias("representative"), F.sum("q").alias("q"))
+    own = d.groupBy("hash", "source_name").agg(
+        F.count("*").alias("size"), F.count_if(F.col("polarity") == "positive").alias("pos"), F.count_if(F.col("polarity") == "negative").alias("neg"), F.count_if(F.col("polarity") == "neutral").alias("neu"),
+        F.max(F.struct("published_at", "external_id")).alias("last"), F.sum("q").alias("q"))
+    g = own.groupBy("hash").agg(
+        F.sum("size").alias("size"), F.count("source_name").alias("sources"), F.count_if(F.col("source_name").isin(research)).alias("research"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("neu").alias("neu"),
+        F.max("last.published_at").alias("newest"), F.max("last")["external_id"].alias("representative"), F.sum("q").alias("q"))
     most = F.greatest("pos", "neg", "neu")
     label = F.when(F.col("pos") == most, "positive").when(F.col("neg") == most, "negative").otherwise("neutral")
     return g.select("hash", "size", "sources", "newest", "representative", label.alias("polarity"), (F.col("q") + 1.5 * F.col("sources") + 2.0 * F.col("research")).alias("score"))

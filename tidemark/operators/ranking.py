@@ -26,11 +26,23 @@ def top_per(df: DataFrame, keys: list[str], by: str, tie: str, k: int) -> DataFr
     return d.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def places(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``df`` with each row's place in its group and the group's size, however large a group is.
+
+    Rows are dealt by ranges of (group, order); a row's place is the one within its range
+    and the sizes of the group's ranges before it, which are a small table."""
+    d = checkpointed(df.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = d.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(group)
+    sizes = sizes.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("size"))
+    inner = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    d = d.withColumn("place", inner).join(sizes, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return d.withColumn("place", F.col("place") + F.col("_before")).drop("_part", "_g", "_p", "_before")
+
+
 def quota(df: DataFrame, group: str, by: str, tie: str, cap: int) -> DataFrame:
-    """Rank within the group, and whether the row is beyond the group's cap (overflow goes last)."""
-    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(by), tie)
-    d = df.withColumn("place", F.row_number().over(w))
-    return d.withColumn("overflow", F.col("place") > cap)
+    """Place within the group, and whether the row is beyond the group's cap (overflow goes last)."""
+    return places(df, group, [F.desc_nulls_last(by), F.asc(tie)]).drop("size").withColumn("overflow", F.col("place") > cap)
 
 
 def bucket_split(df: DataFrame, bucket: Column, by: str, tie: str, cap: int) -> DataFrame:
@@ -41,10 +53,9 @@ def bucket_split(df: DataFrame, bucket: Column, by: str, tie: str, cap: int) ->
 
 def sample_even(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     """n rows of each group (all, if it has fewer), evenly spaced in their order."""
-    w = Window.partitionBy(group)
-    d = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_c", F.count("*").over(w))
-    keep = (F.col("_c") <= n) | (F.floor(F.col("_i") * n / F.col("_c")) != F.floor((F.col("_i") - 1) * n / F.col("_c")))
-    return d.where(keep).drop("_i", "_c")
+    i, c = F.col("place") - 1, F.col("size")
+    keep = (c <= n) | (F.floor(i * n / c) != F.floor((i - 1) * n / c))
+    return places(df, group, [F.asc(o) for o in order]).where(keep).drop("place", "size")
 
 
 def cap_per_source(df: DataFrame, source: str, order: list[Column], n: int) -> DataFrame:

@@ -52,10 +52,10 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, symbol, side, score, created_at: orders as scored signals."""
-    n = read(spark, sf_dir, "supplier").count()
-    o = read(spark, sf_dir, "orders")
+    n = read(spark, sf_dir, "supplier").agg(F.count("*").alias("n_symbols"))
+    o = read(spark, sf_dir, "orders").join(F.broadcast(n))  # one row
     return o.select(
-        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % n).alias("symbol"),
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % F.col("n_symbols")).alias("symbol"),
         F.when(F.col("o_orderstatus") == "F", "LONG").when(F.col("o_orderstatus") == "O", "SHORT").otherwise("WATCH").alias("side"),
         F.least(F.lit(100.0), F.col("o_totalprice") / 4000.0).alias("score"), F.to_date("o_orderdate").alias("created_at"),
     )
