@@ -85,10 +85,11 @@ def price_alerts(picks: DataFrame, latest: DataFrame) -> DataFrame:
     return d.where("exit in ('STOP', 'TARGET')").drop("held_days")
 
 
-def admit(picks: DataFrame, open_positions: DataFrame, book: str, capacity: int = 6, least: float = 80.0) -> DataFrame:
+def admit(picks: DataFrame, open_positions: DataFrame, book: str, capacity: int = 6, least: float = 80.0, least_small: float = 75.0) -> DataFrame:
     """The best picks of each book, one a symbol and none that is open in it, up
-    to the book's free places."""
-    fresh = picks.where(F.col("score") >= least).join(open_positions.select(book, "symbol"), [book, "symbol"], "left_anti")
+    to the book's free places; where ``small_cap`` is a column, such symbols need less of a score."""
+    floor = F.when(F.col("small_cap"), least_small).otherwise(least) if "small_cap" in picks.columns else F.lit(least)
+    fresh = picks.where(F.col("score") >= floor).join(open_positions.select(book, "symbol"), [book, "symbol"], "left_anti")
     best = Window.partitionBy(book, "symbol").orderBy(F.desc("score"), "id")
     fresh = fresh.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy(book).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= capacity)

@@ -78,20 +78,28 @@ def context_sentiment(c: Column, good: list[str], bad: list[str]) -> Column:
     return F.when((p > 0) & (n > 0), "mixed").when(p > 0, "positive").when(n > 0, "negative").otherwise("neutral")
 
 
-def item_polarity(c: Column, good: list[str], bad: list[str]) -> Column:
-    """More of one kind decides; ties are negative, none at all neutral."""
+def item_polarity(c: Column, good: list[str], bad: list[str], override: str | None = None) -> Column:
+    """More of one kind decides; ties are negative, none at all neutral.  A text that
+    matches ``override``, as an explicit recommendation to buy, is positive whatever else it says."""
     p, n = count_of(c, good), count_of(c, bad)
-    return F.when(p + n == 0, "neutral").when(p > n, "positive").otherwise("negative")
+    told = F.when(p + n == 0, "neutral").when(p > n, "positive").otherwise("negative")
+    return F.when(c.rlike(override), "positive").otherwise(told) if override else told
 
 
-def item_quality(source: Column, text: Column, trusted: list[str], good: list[str], bad: list[str]) -> Column:
-    """Sum of rules: trusted source +3, URL only -5, a good word +1, a bad one -3, too short or long -1."""
-    rules = [
-        F.when(source.isin(trusted), 3).otherwise(0), F.when(text.rlike(r"^\s*https?://\S+\s*$"), -5).otherwise(0),
-        F.when(count_of(text, good) > 0, 1).otherwise(0), F.when(count_of(text, bad) > 0, -3).otherwise(0),
-        F.when((F.length(text) < 40) | (F.length(text) > 5000), -1).otherwise(0),
-    ]
-    return reduce(lambda a, b: a + b, rules)
+#: Fixed value: three and more emoji in a row.
+EMOJI = r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}]{3,}"
+
+
+def item_quality(source: Column, text: Column, trusted: list[str], good: list[str], bad: list[str], marks: list[str]) -> Column:
+    """-10 with a mark of our own, -5 for nothing but a URL; else 3 for a trusted source, 1 for each good
+    keyword, -3 for each bad one, -2 for emoji with little text, -3 under 15 and -1 under 30 characters."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    n = F.length(t)
+    has = lambda w: F.instr(t, w) > 0
+    rules = [F.when(source.isin(trusted), 3).otherwise(0), F.when(t.rlike(EMOJI) & (n < 80), -2).otherwise(0), F.when(n < 15, -3).when(n < 30, -1).otherwise(0)]
+    rules += [F.when(has(w), 1).otherwise(0) for w in good] + [F.when(has(w), -3).otherwise(0) for w in bad]
+    own = reduce(lambda a, b: a | b, (has(m) for m in marks), F.lit(False))
+    return F.when(own, -10).when(t.rlike(r"^https?://\S+$"), -5).otherwise(reduce(lambda a, b: a + b, rules))
 
 
 def dedupe_exact(items: DataFrame) -> DataFrame:

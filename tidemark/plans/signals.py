@@ -109,7 +109,7 @@ def price_alerts(spark, d):
 
 
 @query(f"""{with_tables('symbols', 'signals')}, g AS (SELECT signals.*, sector FROM signals JOIN symbols ON symbols.symbol = signals.symbol), op AS (SELECT DISTINCT sector, symbol FROM g WHERE side = 'WATCH' AND score >= 75 AND (SELECT max(created_at) FROM signals) - created_at < 30),
-    f AS (SELECT *, row_number() OVER (PARTITION BY sector, symbol ORDER BY score DESC, id) AS k FROM g WHERE side <> 'WATCH' AND score >= 80 AND symbol NOT IN (SELECT symbol FROM op)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY sector, symbol ORDER BY score DESC, id) AS k FROM g WHERE side <> 'WATCH' AND score >= CASE WHEN symbol % 4 = 0 THEN 75 ELSE 80 END AND symbol NOT IN (SELECT symbol FROM op)),
     r AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY score DESC, id) AS rank FROM f WHERE k = 1), hd AS (SELECT sector, count(*) AS held FROM op GROUP BY sector)
     SELECT id, symbol, r.sector, round(score, 6) AS score, rank FROM r LEFT JOIN hd ON hd.sector = r.sector WHERE rank <= 6 - coalesce(held, 0)""")
 def position_admission(spark, d):
@@ -117,7 +117,7 @@ def position_admission(spark, d):
     s = signals(spark, d).join(symbols(spark, d).select("symbol", "sector"), "symbol")
     last = signals(spark, d).agg(F.max("created_at").alias("last_day"))
     held = s.where("side = 'WATCH' and score >= 75").join(F.broadcast(last)).where("datediff(last_day, created_at) < 30").select("sector", "symbol").distinct()
-    return review.admit(s.where("side <> 'WATCH'"), held, "sector").select("id", "symbol", "sector", F.round("score", 6).alias("score"), "rank")
+    return review.admit(s.where("side <> 'WATCH'").withColumn("small_cap", F.col("symbol") % 4 == 0), held, "sector").select("id", "symbol", "sector", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""{SIG}, u AS (SELECT *, id % 7 AS source, CASE WHEN id % 3 = 0 THEN 'UP_LEADS_UP' ELSE 'UP_LEADS_DOWN' END AS relation, CASE WHEN id % 4 <> 0 THEN CAST(id AS DOUBLE) END AS price, id % 2 AS sent FROM signals)
@@ -143,12 +143,12 @@ def review_states(spark, d):
 
 @query(f"""{SHARED}, s AS (SELECT id, symbol, created_at, CASE WHEN id % 3 <> 0 THEN score END AS price, id % 2 = 0 AS verified FROM signals),
     c AS (SELECT s.id, min(b.ts) AS ts FROM s JOIN daily_bars b ON b.symbol = s.symbol AND b.ts BETWEEN s.created_at AND s.created_at + 8 WHERE b.close IS NOT NULL AND (s.price IS NULL OR NOT verified) GROUP BY s.id)
-    SELECT s.id, round(CASE WHEN price IS NOT NULL AND verified THEN price ELSE coalesce(b.close, price) END, 3) AS price, CASE WHEN price IS NOT NULL AND verified THEN 'kept' WHEN b.ts IS NULL THEN 'failed_no_price' WHEN b.ts = s.created_at THEN 'exact_date_close' ELSE 'nearest_trading_day_close' END AS price_source
+    SELECT s.id, round(CASE WHEN price IS NOT NULL AND verified THEN price ELSE coalesce(b.close, price) END, 8) AS price, CASE WHEN price IS NOT NULL AND verified THEN 'kept' WHEN b.ts IS NULL THEN 'failed_no_price' WHEN b.ts = s.created_at THEN 'exact_date_close' ELSE 'nearest_trading_day_close' END AS price_source
     FROM s LEFT JOIN c ON c.id = s.id LEFT JOIN daily_bars b ON b.symbol = s.symbol AND b.ts = c.ts""")
 def backfill_prices(spark, d):
     k = F.col("id")
     s = signals(spark, d).select("id", "symbol", "created_at", F.when(k % 3 != 0, F.col("score")).alias("price"), (k % 2 == 0).alias("verified"))
-    return review.backfill_prices(s, daily_bars(spark, d)).select("id", F.round("price", 3).alias("price"), "price_source")
+    return review.backfill_prices(s, daily_bars(spark, d)).select("id", F.round("price", 8).alias("price"), "price_source")
 
 
 @query(f"{SIG} SELECT count(*) AS groups, sum(n - 1) AS to_archive FROM (SELECT count(*) AS n FROM signals GROUP BY symbol, side HAVING count(*) > 1) q")
@@ -238,12 +238,13 @@ def hash_groups(spark, d):
     return text.hash_groups(raw_items(spark, d))
 
 
-QUALITY = f"""CASE WHEN source_name IN ('src1', 'src2') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '^\\s*https?://\\S+\\s*$') THEN -5 ELSE 0 END + CASE WHEN {any_of(GOOD)} > 0 THEN 1 ELSE 0 END
-    + CASE WHEN {any_of(BAD)} > 0 THEN -3 ELSE 0 END + CASE WHEN length(text) < 40 OR length(text) > 5000 THEN -1 ELSE 0 END"""
+QT = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+QUALITY = rf"""CASE WHEN contains({QT}, 'nterti') THEN -10 WHEN regexp_matches({QT}, '^https?://\S+$') THEN -5 ELSE CASE WHEN source_name IN ('src1', 'src2') THEN 3 ELSE 0 END
+    + {' + '.join(f"CASE WHEN contains({QT}, '{w}') THEN 1 ELSE 0 END" for w in GOOD)} + {' + '.join(f"CASE WHEN contains({QT}, '{w}') THEN -3 ELSE 0 END" for w in BAD)} + CASE WHEN length({QT}) < 15 THEN -3 WHEN length({QT}) < 30 THEN -1 ELSE 0 END END"""
 
 
 def quality():
-    return text.item_quality(F.col("source_name"), F.col("text"), ["src1", "src2"], GOOD, BAD)
+    return text.item_quality(F.col("source_name"), F.col("text"), ["src1", "src2"], GOOD, BAD, ["nterti"])
 
 
 @query(f"{ITEMS} SELECT external_id, {QUALITY} AS quality FROM raw_items")
@@ -256,10 +257,10 @@ def source_stats(spark, d):
     return text.source_stats(raw_items(spark, d), quality()).withColumn("mean_quality", F.round("mean_quality", 6))
 
 
-@query(f"{ITEMS}, c AS (SELECT external_id, {any_of(GOOD)} AS p, {any_of(BAD)} AS n FROM raw_items) SELECT external_id, CASE WHEN p + n = 0 THEN 'neutral' WHEN p > n THEN 'positive' ELSE 'negative' END AS polarity, CASE WHEN p > 0 AND n > 0 THEN 'mixed' WHEN p > 0 THEN 'positive' WHEN n > 0 THEN 'negative' ELSE 'neutral' END AS sentiment FROM c")
+@query(f"{ITEMS}, c AS (SELECT external_id, {any_of(GOOD)} AS p, {any_of(BAD)} AS n, regexp_matches(text, 'eren[a-z]|leau') AS buy FROM raw_items) SELECT external_id, CASE WHEN buy THEN 'positive' WHEN p + n = 0 THEN 'neutral' WHEN p > n THEN 'positive' ELSE 'negative' END AS polarity, CASE WHEN p > 0 AND n > 0 THEN 'mixed' WHEN p > 0 THEN 'positive' WHEN n > 0 THEN 'negative' ELSE 'neutral' END AS sentiment FROM c")
 def item_polarity(spark, d):
     c = F.col("text")
-    return raw_items(spark, d).select("external_id", text.item_polarity(c, GOOD, BAD).alias("polarity"), text.context_sentiment(c, GOOD, BAD).alias("sentiment"))
+    return raw_items(spark, d).select("external_id", text.item_polarity(c, GOOD, BAD, "eren[a-z]|leau").alias("polarity"), text.context_sentiment(c, GOOD, BAD).alias("sentiment"))
 
 
 @query(rf"""{ITEMS}, t AS (SELECT external_id, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+')) AS keyword FROM raw_items), h AS (SELECT keyword, external_id, count(*) AS n FROM t WHERE keyword IN ({', '.join(repr(w) for w in WORDS)}) GROUP BY keyword, external_id)
