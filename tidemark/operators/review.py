@@ -38,9 +38,10 @@ def performance(df: DataFrame, *keys: str) -> DataFrame:
         (F.sum("hit") / F.count("hit") * 100).alias("win_rate"), F.max("return_pct").alias("best"), F.min("return_pct").alias("worst"))
 
 
-def performance_sets(df: DataFrame) -> DataFrame:
-    """Performance overall, by side and by sector, in one pass of grouping sets."""
-    sets = df.groupingSets([[], ["side"], ["sector"]], "side", "sector")
+def performance_sets(df: DataFrame, *dims: str) -> DataFrame:
+    """Performance overall and by each of ``dims`` (side and sector where none is named), in one pass of grouping sets."""
+    dims = dims or ("side", "sector")
+    sets = df.groupingSets([[], *([d] for d in dims)], *dims)
     return sets.agg(F.count("*").alias("n"), F.count("return_pct").alias("evaluable"), F.avg("return_pct").alias("mean_return"), F.sum("hit").alias("wins"))
 
 

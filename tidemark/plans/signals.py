@@ -67,12 +67,13 @@ def performance_by_side(spark, d):
     return p.select("side", "n", "evaluable", F.round("mean_return", 6).alias("mean_return"), "wins", F.round("win_rate", 6).alias("win_rate"), F.round("best", 6).alias("best"), F.round("worst", 6).alias("worst"))
 
 
-@query(f"""{ENTRY}, g AS (SELECT NULL AS side, NULL AS sector, count(*) AS n, count(return_pct) AS evaluable, avg(return_pct) AS m, sum(hit) AS wins FROM oc
-      UNION ALL SELECT side, NULL, count(*), count(return_pct), avg(return_pct), sum(hit) FROM oc GROUP BY side
-      UNION ALL SELECT NULL, sector, count(*), count(return_pct), avg(return_pct), sum(hit) FROM oc GROUP BY sector)
-    SELECT side, sector, n, evaluable, round(m, 6) AS mean_return, wins FROM g""")
+@query(f"""{ENTRY}, od AS (SELECT *, CASE id % 3 WHEN 0 THEN 'value' WHEN 1 THEN 'growth' ELSE 'event' END AS style, CASE WHEN id % 2 = 0 THEN 'spillover' ELSE 'screen' END AS origin FROM oc)
+    SELECT side, sector, style, origin, count(*) AS n, count(return_pct) AS evaluable, round(avg(return_pct), 6) AS mean_return, sum(hit) AS wins FROM od GROUP BY GROUPING SETS ((), (side), (sector), (style), (origin))""")
 def performance_grouping_sets(spark, d):
-    return review.performance_sets(outcomes(spark, d)).withColumn("mean_return", F.round("mean_return", 6))
+    """Style and origin of a signal are told by its number."""
+    k = F.col("id")
+    o = outcomes(spark, d).withColumn("style", F.when(k % 3 == 0, "value").when(k % 3 == 1, "growth").otherwise("event")).withColumn("origin", F.when(k % 2 == 0, "spillover").otherwise("screen"))
+    return review.performance_sets(o, "side", "sector", "style", "origin").withColumn("mean_return", F.round("mean_return", 6))
 
 
 @query(f"""{ENTRY}, p AS (SELECT sector, count(*) AS n, CAST(sum(hit) AS DOUBLE) / count(hit) * 100 AS w FROM oc WHERE sector IS NOT NULL GROUP BY sector HAVING count(hit) > 0)
