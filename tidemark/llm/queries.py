@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embedding_dedup, exact_dedup, license_scan, lm_score, packing, secret_scan, simhash, token_counts, toxicity
+from tidemark.llm import alignment, bpe, embedding_dedup, exact_dedup, license_scan, lm_score, packing, secret_scan, simhash, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -63,8 +63,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures, _ = alignment.alignments(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return measures
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_bpe, op2_licenses, op3_toxicity, op4_simhash, op5_token_counts, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_lm_score, op10_secrets]
+    every = [op1_bpe, op2_licenses, op3_toxicity, op4_simhash, op5_token_counts, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_lm_score, op10_secrets, op13_alignment]
     return {f.__name__: f for f in every}
 
 
