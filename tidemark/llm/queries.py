@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, bpe, embedding_dedup, exact_dedup, license_scan, lm_score, packing, secret_scan, simhash, token_counts, toxicity
+from tidemark.llm import alignment, bpe, embedding_dedup, exact_dedup, hard_negatives, kd_shards, license_scan, lm_score, packing, secret_scan, simhash, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -63,13 +63,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(table(spark, sf_dir, "embeddings"), scale=256, label=moved)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shard_documents(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures, _ = alignment.alignments(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     return measures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_bpe, op2_licenses, op3_toxicity, op4_simhash, op5_token_counts, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_lm_score, op10_secrets, op13_alignment]
+    every = [op1_bpe, op2_licenses, op3_toxicity, op4_simhash, op5_token_counts, op6_exact_dedup, op7_packing, op8_embedding_dedup, op9_lm_score, op10_secrets, op11_hard_negatives, op12_sharding, op13_alignment]
     return {f.__name__: f for f in every}
 
 
@@ -102,4 +113,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
             FROM embeddings e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
         """,
+        "op11_hard_negatives": """
+            WITH r AS (
+              SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+              FROM embeddings
+              WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+            s AS (
+              SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+              FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+            p AS (
+              SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+            SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id))::INTEGER AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+            QUALIFY rank <= 3
+        """,
     }
