@@ -35,7 +35,7 @@ PROBES = 127
 CLOSE = 1 / 2000
 #: Rounds of a cut along a coordinate, and then along the hash; two do where coordinates differ.
 ROUNDS = 8
-#: Rows of a key that one task numbers.
+#: Rows of a key that one task numbers at most; where there are few, a key is spread over all partitions as well.
 NUMBERED = 200_000
 #: Groups are told apart by these.
 KEY = ["hash", "crc", "size"]
@@ -69,7 +69,7 @@ def numbered(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
 
     A key's rows are dealt to pieces by ``order``, which no two rows share; pieces are
     numbered apart, each from the sum of those before it."""
-    pieces = max(1, math.ceil(rows.count() / NUMBERED))
+    pieces = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / NUMBERED))
     rows = rows.withColumn("__piece", F.pmod(F.xxhash64(order), F.lit(pieces)).cast("int"))
     counts = rows.groupBy(key, "__piece").agg(F.count("*").alias("__n"))
     before = counts.select(key, "__piece", (F.sum("__n").over(Window.partitionBy(key).orderBy("__piece")) - F.col("__n")).alias("__before"))
