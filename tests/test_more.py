@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.operators import cards, cleaning, evidence, fuzzy, graph, mentions, ranking, regime, relations, review, text
+from tidemark.plans import mentions as plans_mentions
 from tidemark.streaming import flows
 
 
@@ -127,15 +128,10 @@ def test_fuzzy_against_brute_force(spark):
         if n and n not in seen:
             seen.add(n)
             order.append((i, at, n))
-    freq = {}
-    for _, _, n in order:
-        for w in set(n.split()):
-            freq[w] = freq.get(w, 0) + 1
-    rare = {i: set(sorted(set(n.split()), key=lambda w: (freq[w], w))[: fuzzy.RARE]) for i, _, n in order}
     for least, call in ((92.0, "dedupe"), (85.0, "cluster")):
         kept, cluster = [], {}
         for i, _, n in order:
-            lead = next((j for j, m in kept if rare[i] & rare[j] and brute_ratio(n, m) >= least), None)
+            lead = next((j for j, m in kept if brute_ratio(n, m) >= least), None)
             cluster[n] = i if lead is None else lead
             if lead is None:
                 kept.append((i, n))
@@ -146,20 +142,56 @@ def test_fuzzy_against_brute_force(spark):
     assert fuzzy.dedupe_fuzzy(df.limit(0)).count() == 0
 
 
-def test_semantic_recall(spark, sf):
-    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    rows += [(10_000, [0.0] * len(rows[0][1])), (10_001, [2 * x for x in rows[0][1]])]
-    df = spark.createDataFrame(rows, "id long, embedding array<float>").withColumn("at", -F.col("id"))
-    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    cos = (x / np.where(norm > 0, norm, 1)) @ (x / np.where(norm > 0, norm, 1)).T
+def test_fuzzy_links_of_whole_items(spark, sf):
+    """No block in what is expected: all pairs of the table's items, of which ratio_of() passes over those out of reach."""
+    for least, chars in ((92.0, None), (85.0, 300)):
+        own = fuzzy.distinct_norms(plans_mentions.normed(spark, sf, chars))
+        rows = sorted((r.id, r.norm) for r in own.collect())
+        want = {(i, j) for k, (j, b) in enumerate(rows) for i, a in rows[:k] if fuzzy.ratio_of(a, b, least) >= least}
+        assert {tuple(sorted((r.a, r.b))) for r in fuzzy.fuzzy_links(own, least).collect()} == want and len(want) > 8
+
+
+def test_fuzzy_links_by_kind(spark):
+    """A few words within a long text, copies with words changed here and there, and misspelt titles."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    long = [[word() for _ in range(rng.randint(12, 26))] for _ in range(6)]
+    texts = [" ".join(t) for t in long] + [" ".join(rng.sample(t, 3)) for t in long] + [long[0][0]]
+    texts += [" ".join(word() if rng.random() < share else w for w in t) for t in long for share in (0.02, 0.1, 0.2)]
+    titles = [" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(12)]
+    texts += titles + [t[:k] + rng.choice("abc") + t[k + 1 :] for t in titles for k in [rng.randrange(len(t))]] + [t.replace(" ", "", 1) for t in titles]
+    texts = sorted({" ".join(t.split()) for t in texts if t.strip()})
+    items = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, at int, norm string")
+    for least in (85.0, 92.0):
+        want = {(i, j) for j in range(len(texts)) for i in range(j) if brute_ratio(texts[i], texts[j]) >= least}
+        assert {(r.a, r.b) for r in fuzzy.fuzzy_links(items, least).collect()} == want and len(want) > 20
+        assert all((fuzzy.ratio_of(texts[i], texts[j], least) >= least) == ((i, j) in want) for j in range(len(texts)) for i in range(j))
+
+
+def test_semantic_recall_and_candidates(spark, sf, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(r.vec_id, list(map(float, r.embedding))) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    wide = len(rows[0][1])
+    near = [(1000 + k, (np.array(v) + rng.normal(0, np.linalg.norm(v) * 0.5 / wide**0.5, wide)).tolist()) for k, (_, v) in enumerate(rows)]
+    rows += near + [(10_000, [0.0] * wide), (10_001, [2 * x for x in rows[0][1]]), (10_002, None), (10_003, rows[1][1]), (10_004, [float("nan")] * wide), (10_005, [1.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").withColumn("at", -F.col("id"))
+    real = [(i, v) for i, v in rows if v and len(v) == wide and np.any(v) and np.isfinite(v).all()]
+    x = np.array([v for _, v in real])
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    alike = {(real[j][0], real[k][0]) for k in range(len(real)) for j in range(k) if cos[j, k] >= 0.88}
+    pairs = {(r.x, r.y) for r in fuzzy.semantic_pairs(df, 0.88).collect()}
+    assert len(alike & pairs) >= 0.9 * len(alike) > 90 and len(pairs) < 0.05 * len(rows) * (len(rows) - 1) / 2
     kept = []
-    for k in range(len(rows)):
+    for k in range(len(real)):
         if not any(cos[k, j] >= 0.88 for j in kept):
             kept.append(k)
-    want, got = {rows[k][0] for k in kept}, {r.id for r in fuzzy.dedupe_semantic(df).collect()}
-    gone = {i for i, _ in rows} - want
-    assert len(gone - got) >= 0.9 * len(gone) and 10_000 in got and 10_001 not in got
+    gone = {i for i, _ in real} - {real[k][0] for k in kept}
+    got = {r.id for r in fuzzy.dedupe_semantic(df).collect()}
+    assert len(gone - got) >= 0.9 * len(gone) and not (got & {10_001, 10_003}) and got >= {10_000, 10_002, 10_004, 10_005}
+    monkeypatch.setattr(fuzzy, "CROWD", 4)  # buckets of near copies are split, pairs stay
+    split = {(r.x, r.y) for r in fuzzy.semantic_pairs(df, 0.88).collect()}
+    assert len(alike & split) >= 0.9 * len(alike)
+    assert fuzzy.dedupe_semantic(df.limit(0)).count() == 0
 
 
 def test_first_independent_is_greedy(spark):

@@ -243,10 +243,10 @@ def not_seen_before(spark, d):
     return ranking.not_seen(i, i.where("external_id % 4 = 0").select("hash")).select("external_id")
 
 
-def normed(spark, d) -> DataFrame:
-    """Titles with the first 300 characters, as the fuzzy operators compare them."""
-    t = F.concat_ws(" ", "title", F.substring("text", 1, 300))
-    return checkpointed(raw_items(spark, d).select(F.col("external_id").alias("id"), F.col("published_at").alias("at"), cleaning.normalise_dedupe(t).alias("norm")))
+def normed(spark, d, chars: int | None = None) -> DataFrame:
+    """Whole items, or titles with the first ``chars`` characters, as the fuzzy operators compare them."""
+    t = tx.normalise(F.col("text")) if chars is None else cleaning.normalise_dedupe(F.concat_ws(" ", "title", F.substring("text", 1, chars)))
+    return checkpointed(raw_items(spark, d).select(F.col("external_id").alias("id"), F.col("published_at").alias("at"), F.coalesce(t, F.lit("")).alias("norm")))
 
 
 @query(None)
@@ -257,7 +257,8 @@ def dedupe_fuzzy(spark, d):
 
 @query(None)
 def fuzzy_clusters(spark, d):
-    return fuzzy.cluster_first(normed(spark, d)).select(F.col("id").alias("external_id"), "cluster")
+    """Title and 300 characters are what the operator compares."""
+    return fuzzy.cluster_first(normed(spark, d, 300)).select(F.col("id").alias("external_id"), "cluster")
 
 
 @query(None)
