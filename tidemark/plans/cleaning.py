@@ -82,10 +82,10 @@ def valid_chain_rows(spark, d):
 
 
 @query(rf"""{ITEMS} SELECT external_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, 'https?://\S+', '', 'g'), '\b([A-Z]{{1,6}})\.US\b', '\1', 'g'), '\bThe\b', 'Them', 'g'), '[^\p{{L}}\p{{N}}_\s%.,;:!?()\-]', ' ', 'g'), '\s+', ' ', 'g'))) AS norm,
-    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '^(?:\[[^\]]{{0,40}}\]\s*)+', '', 'g'), 'https?://\S+', '', 'g'), '\b([A-Z]{{1,6}})\.US\b', '(\1)', 'g'), '\s{{2,}}', ' ', 'g')) AS header FROM raw_items""")
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '^ *(?:\[[^\[\]]*\] *)+', '', 'g'), 'https?://\S+', '', 'g'), '\b([A-Z]{{1,6}})\.US\b', '(\1)', 'g'), '\s{{2,}}', ' ', 'g')) AS header FROM raw_items""")
 def title_norms(spark, d):
     t = F.col("title")
-    return raw_items(spark, d).select("external_id", cl.normalise_dedupe(t, {"The": "Them"}).alias("norm"), cl.clean_header(t, [cl.HEADER_PATTERNS[0], cl.HEADER_PATTERNS[5]]).alias("header"))
+    return raw_items(spark, d).select("external_id", cl.normalise_dedupe(t, {"The": "Them"}).alias("norm"), cl.clean_header(t, [cl.LEADING_TAGS, cl.URL]).alias("header"))
 
 
 GREETING, HEADER_ONLY = "^(?:De|The|Und) ", r"^\S+\s?\S*$"
@@ -130,9 +130,6 @@ def hit_context(spark, d):
     return h.select("external_id", F.col("at").alias("place"), cl.context(F.col("text"), F.col("at"), F.lit(4), 20).alias("context"))
 
 
-FILING = "'<p>계약금액 ' || CASE o_orderkey % 4 WHEN 0 THEN '1조 ' || (o_orderkey % 900 + 1) || '억원' WHEN 1 THEN (o_orderkey % 5000 + 1) || ',000 백만원' WHEN 2 THEN '$' || (o_orderkey % 90 + 1) || ' million' ELSE '미정' END || '</p> 계약 상대방: Acme ' || o_custkey || ' 계약기간 2024.01.' || lpad(CAST(o_orderkey % 28 + 1 AS VARCHAR), 2, '0') || ' ~ 2025-03-01 매출액 대비 ' || (o_orderkey % 50) || '.5 %' || CASE WHEN o_orderkey % 9 = 0 THEN ' 정정' ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN ' 계약 해지' ELSE '' END"
-
-
 @query("""SELECT o_orderkey AS id, round(CASE o_orderkey % 4 WHEN 0 THEN 10000.0 + o_orderkey % 900 + 1 WHEN 1 THEN (o_orderkey % 5000 + 1) * 1000 / 100.0 WHEN 2 THEN (o_orderkey % 90 + 1) * 1e6 * 1370 / 1e8 END, 5) AS amount, 'Acme' AS client,
     '2024-01-' || lpad(CAST(o_orderkey % 28 + 1 AS VARCHAR), 2, '0') AS contract_start, '2025-03-01' AS contract_end, o_orderkey % 50 + 0.5 AS revenue_share, o_orderkey % 9 = 0 AS is_amendment, o_orderkey % 11 = 0 AS is_cancellation, CASE WHEN o_orderkey % 4 < 3 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM orders""")
 def contract_fields(spark, d):
@@ -140,8 +137,8 @@ def contract_fields(spark, d):
     k = F.col("o_orderkey")
     amount = F.when(k % 4 == 0, F.concat(F.lit("1조 "), k % 900 + 1, F.lit("억원"))).when(k % 4 == 1, F.concat(k % 5000 + 1, F.lit(",000 백만원"))).when(k % 4 == 2, F.concat(F.lit("$"), k % 90 + 1, F.lit(" million"))).otherwise("미정")
     text = F.concat(F.lit("<p>계약금액 "), amount, F.lit("</p> 계약 상대방: Acme "), "o_custkey", F.lit(" 계약기간 2024.01."), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit(" ~ 2025-03-01 매출액 대비 "), k % 50, F.lit(".5 %"), F.when(k % 9 == 0, " 정정").otherwise(""), F.when(k % 11 == 0, " 계약 해지").otherwise(""))
-    f = cl.contract_fields(text)
-    return read(spark, d, "orders").select(k.alias("id"), F.round(f.pop("amount"), 5).alias("amount"), *[c.alias(n) for n, c in f.items()])
+    filings = read(spark, d, "orders").select(k.alias("id"), text.alias("text"))
+    return cl.contract_fields(filings).withColumn("amount", F.round("amount", 5)).drop("text")
 
 
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date FROM orders""")
