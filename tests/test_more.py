@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import unicodedata
 from datetime import datetime, timedelta
 
@@ -10,7 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
-from tidemark.operators import cards, cleaning, evidence, fuzzy, graph, mentions, ranking, regime, relations, review, text
+from tidemark.operators import cards, cleaning, evidence, fuzzy, graph, mentions, ranking, regime, relations, review, terms, text
 from tidemark.plans import mentions as plans_mentions
 from tidemark.streaming import flows
 
@@ -87,6 +88,48 @@ def test_alias_mentions_by_hand(spark):
                     used |= set(range(at, at + len(a)))
                     want.add((s, at))
         assert got.get(i, set()) == want
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (99, None)], "external_id long, text string")
+    whole = terms.term_places(table, book, single=True, around=3)
+    parts = terms.term_places(table, book, single=True, around=3, most_chars=5)
+    rows = lambda f: sorted(map(str, f.collect()))
+    assert rows(whole) == rows(parts) and whole.where("external_id = 0").count() == 2 * len(got.get(0, ())) and whole.where("external_id is null").count() == len(got.get(1, ()))
+    every = {(i, s, at) for i, t in enumerate(texts) for s, a, _ in book for at in range(len(t)) if t[at : at + len(a)] == a}
+    assert {(r.external_id, r.symbol, r.at) for r in terms.term_places(table, book).where("external_id is not null").collect()} == every
+    assert terms.term_places(table, []).count() == 0 and all(r.before == texts[r.external_id][max(0, r.at - 3) : r.at] for r in whole.where("external_id is not null").collect())
+
+
+def test_terms_cost_hardly_more_when_they_are_many():
+    """The automaton reads a text once: ten thousand terms against ten, in one process."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    text = " ".join(word(rng.randint(2, 9)) for _ in range(40_000))
+
+    class Shipped:
+        def __init__(self, n):
+            self.value = [(f"S{k}", word(8), False, 0) for k in range(n)]
+
+    def took(n, number):
+        book = terms.automaton(Shipped(n), number)
+        best = 9.0
+        for _ in range(5):
+            began = time.perf_counter()
+            sum(1 for _ in book.iter(text))
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(10_000, -1) < 6 * took(10, -2) + 0.01 and took(10_000, -3) < 0.2  # a regular expression of as many took seconds
+
+
+def test_evidence_streams_by_hand(spark):
+    items = spark.createDataFrame([(1, "Citi) Acme rose on sales", "t1"), (2, "JPM says the market fell", "t2"), (3, "buy $AC today", "t3"), (4, "AC/DC is a band, Acme not", "t" * 70), (5, "BACK to ACME", None), (6, None, "x")], "external_id long, text string, title string")
+    hits = mentions.alias_mentions(items, [("AC.US", "Acme", False), ("JPM", "JPM", False)], [], "market")
+    tickers = spark.createDataFrame([("AC.US", "AC"), ("JPM", "JPM"), ("NONE", "BACK")], "symbol string, ticker string")
+    found = mentions.evidence_streams(items, hits, tickers, ["JPM", "Citi"], r"\)", "earnings", 8)
+    got = sorted((r.symbol, r.o.stream, r.o.external_id, r.context) for r in found.collect())
+    assert got == [("AC.US", 1, 1, "Acme rose on"), ("AC.US", 1, 4, "a band, Acme not"), ("AC.US", 2, 1, "Acme rose o"), ("AC.US", 3, 3, "buy $AC today"), ("AC.US", 3, 4, "AC/DC is a"), ("AC.US", 4, 3, "buy $AC today"), ("JPM", 3, 2, "JPM says th")]
+    best = {r.symbol: (r.contexts, r.n) for r in mentions.direct_evidence(found, "band", 3).collect()}
+    assert best["AC.US"][1] == 3 and best["AC.US"][0][0] == "Acme rose on"
+    assert {r.symbol: r.titles for r in mentions.titles(items, hits).collect()}["AC.US"] == ["t1", "t" * 59 + "…"]
 
 
 def brute_ratio(a, b):

@@ -2,81 +2,38 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
-
-from tidemark.operators.text import count_of
-
-#: Aliases at most: they are shipped to every task.
-MOST_ALIASES = 100_000
-HITS = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("alias", T.StringType()), T.StructField("at", T.IntegerType())])
 
+from tidemark.operators.cleaning import either
+from tidemark.operators.terms import term_places
+from tidemark.operators.text import count_of, truncate
 
 def holds(c: Column, words: list[str]) -> Column:
     """Whether a text holds any of the words as a part."""
     return F.greatest(*(F.instr(c, w) for w in words), F.lit(0)) > 0
 
 
-def alias_hits(text: str, aliases: list[tuple[str, str, bool]], stock: re.Pattern, window: int = 80) -> list[tuple[str, str, int]]:
-    """(symbol, alias, place) of the aliases in a text, longest first, each character used once.
-
-    An alias that needs context counts only where a stock word, $alias or (alias) stands within
-    ``window`` characters; what doesn't count uses up nothing."""
-    used, out = bytearray(len(text)), []
-    for symbol, alias, needs in aliases:
-        at = text.find(alias)
-        while at >= 0:
-            end = at + len(alias)
-            if not any(used[at:end]):
-                near = text[max(0, at - window) : end + window]
-                if not needs or f"${alias}" in near or f"({alias})" in near or stock.search(near):
-                    used[at:end] = b"\1" * len(alias)
-                    out.append((symbol, alias, at))
-            at = text.find(alias, at + 1)
-    return out
-
-
 def needs_context(alias: str, marked: bool, macro: set[str]) -> bool:
     """Aliases that are marked, macro words, or up to five upper-case ASCII characters."""
     return marked or alias in macro or (alias.isascii() and alias.isupper() and len(alias) <= 5)
 
 
-def alias_mentions(items: DataFrame, aliases: list[tuple[str, str, bool]], macro: list[str], stock_words: str) -> DataFrame:
-    """external_id, symbol, alias, at (0-based): every counted mention in every item.
-
-    ``aliases`` are (symbol, alias, marked).  Only those that stand in a text at all are tried one by one."""
-    if len(aliases) > MOST_ALIASES:
-        raise ValueError(f"more than {MOST_ALIASES} aliases")
-    order = sorted(((s, a, needs_context(a, m, set(macro))) for s, a, m in aliases), key=lambda x: -len(x[1]))
-    source = items.select("external_id", "text")
-    schema = T.StructType([source.schema["external_id"], *HITS.fields])
-    target = to_arrow_schema(schema)
-    # all aliases that begin with the same four characters are looked for together
-    heads: dict[str, list[int]] = {}
-    for k, (_, alias, _) in enumerate(order):
-        heads.setdefault(alias[:4], []).append(k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stock = re.compile(stock_words)
-        first = re.compile("(?=(" + "|".join(map(re.escape, sorted(heads, key=len, reverse=True))) + "))")
-        short = [h for h in heads if len(h) < 4]
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                seen = set(first.findall(text)) | {h for h in short if h in text}
-                own = sorted({k for h in seen for k in heads[h] if order[k][1] in text})
-                rows += [(key, *hit) for hit in alias_hits(text, [order[k] for k in own], stock)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(target), target)], schema=target)
-
-    return source.mapInArrow(run, schema)
+def alias_mentions(items: DataFrame, aliases: DataFrame | list[tuple[str, str, bool]], macro: list[str], stock_words: str) -> DataFrame:
+    """external_id, symbol, alias, at (0-based), before and after: every counted mention in every item,
+    longest aliases first, each character used once, with up to 100 characters on either side.
+
+    ``aliases`` (symbol, alias, marked) is a table of any size, or a few rows.  An alias of two symbols counts for
+    the first of them."""
+    if isinstance(aliases, DataFrame):
+        a = F.col("alias")
+        short = a.rlike(r"^[\x00-\x7F]{1,5}$") & (F.upper(a) == a) & (F.lower(a) != a)
+        book = aliases.select("symbol", "alias", (F.col("marked") | a.isin(macro) | short).alias("needs"))
+    else:
+        book = [(s, a, needs_context(a, m, set(macro))) for s, a, m in aliases]
+    return term_places(items, book, stock_words, single=True)
 
 
 def mention_table(hits: DataFrame) -> DataFrame:
@@ -91,38 +48,82 @@ def top_mentions(hits: DataFrame, false_positives: list[str], most: int = 10) ->
     return g.orderBy(F.desc("mentions"), "symbol").limit(most)
 
 
-def drop_attribution(hits: DataFrame, brokers: list[str], suffix: str, self_news: str, reach: int = 100) -> DataFrame:
-    """``hits`` with their text, without brokers that are named as a source: a suffix stands
-    right after the name, or no news of their own within ``reach`` characters."""
-    after = F.substring("text", F.col("at") + F.length("alias") + 1, F.lit(reach))
+def drop_attribution(hits: DataFrame, brokers: list[str], suffix: str, self_news: str) -> DataFrame:
+    """``hits`` without brokers that are named as a source: a suffix stands right after the
+    name, or no news of their own in the 100 characters after it."""
+    after = F.col("after")
     source = F.col("alias").isin(brokers) & (after.rlike(f"^(?:{suffix})") | ~after.rlike(self_news))
     return hits.where(~source)
 
 
-def direct_evidence(hits: DataFrame, noise: str, window: int = 80, most: int = 10) -> DataFrame:
-    """symbol, contexts, n: the first distinct contexts of each symbol without noise, and how many there are of the first ``most``."""
-    low = F.greatest(F.col("at") - window, F.lit(0))
-    d = hits.select("symbol", "external_id", "at", F.substring("text", low + 1, F.col("at") + F.length("alias") + window - low).alias("context")).where(~F.col("context").rlike(noise))
-    first = d.groupBy("symbol", "context").agg(F.min(F.struct("external_id", "at")).alias("o"))
+def _window(window: int) -> Column:
+    """A hit with up to ``window`` characters on either side."""
+    return F.concat(F.substring("before", -window, window) if window else F.lit(""), "alias", F.substring("after", 1, window))
+
+
+def first_places(hits: DataFrame, stream: int, window: int) -> DataFrame:
+    """symbol, o and context of the first hit of each alias in each item; ``o`` orders them by stream, length of the alias, item and place."""
+    first = hits.groupBy("symbol", "alias", "external_id").agg(F.min(F.struct("at", _window(window).alias("context"))).alias("hit"))
+    o = F.struct(F.lit(stream).alias("stream"), (-F.length("alias")).alias("length"), "external_id", F.col("hit.at").alias("at"))
+    return first.select("symbol", o.alias("o"), "hit.context")
+
+
+def evidence_streams(items: DataFrame, hits: DataFrame, tickers: DataFrame, brokers: list[str], suffix: str, self_news: str, window: int = 80) -> DataFrame:
+    """symbol, o and context of what may be direct evidence, by four streams: the first counted mention
+    of an alias in an item; an alias behind a house's name that leads a text; the symbol's
+    ticker as a word; and $ticker.
+
+    ``hits`` are alias_mentions() of ``items``; ``tickers`` (symbol, ticker) are looked for in all items, where the symbol is mentioned in any.
+    Names of houses as sources don't count."""
+    lead = rf"^(?i:{either(brokers)})\s*[)\]:]\s*"
+    seen = hits.select("symbol").distinct()
+    fair = drop_attribution(hits, brokers, suffix, self_news)
+    streams = [first_places(fair, 1, window).withColumn("context", F.regexp_replace("context", lead, ""))]
+    behind = items.where(F.col("text").rlike(lead + r".{5}")).select("external_id", F.regexp_replace("text", lead, "").alias("text"))
+    aliases = hits.where(~F.col("alias").isin(brokers)).select("symbol", "alias", F.lit(False).alias("needs")).distinct()
+    streams.append(first_places(drop_attribution(term_places(behind, aliases), brokers, suffix, self_news), 2, window * 3 // 4))
+    own = tickers.join(seen, "symbol").where((F.length("ticker") >= 2) & ~F.col("ticker").rlike(r"^\d+$"))
+    alone = lambda c, edge: ~F.coalesce(c.rlike(edge), F.lit(False))
+    both = own.select("symbol", F.explode(F.array("ticker", F.concat(F.lit("$"), "ticker"))).alias("alias"), F.lit(False).alias("needs"))
+    places = term_places(items, both)
+    marked = F.col("alias").startswith("$")
+    streams.append(first_places(places.where(~marked & alone(F.col("before"), r"[\p{L}\p{N}_]$") & alone(F.col("after"), r"^[\p{L}\p{N}_]")), 3, window))
+    streams.append(first_places(places.where(marked), 4, window))
+    return reduce(DataFrame.unionByName, streams)
+
+
+def direct_evidence(found: DataFrame, noise: str, most: int = 10) -> DataFrame:
+    """symbol, contexts, n: the first distinct contexts of each symbol without noise, and how many there
+    are of the first ``most``.  ``found`` has symbol, o (an order) and context."""
+    first = found.where(~F.col("context").rlike(noise)).groupBy("symbol", "context").agg(F.min("o").alias("o"))
     top = first.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("o", "context"))).where(F.col("k") <= most)
     return top.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "context"))), lambda x: x["context"]).alias("contexts"), F.count("*").alias("n"))
 
 
-def candidate_table(hits: DataFrame, evidence: DataFrame, good: str, bad: str, most: int = 20) -> DataFrame:
-    """symbol, mentions, sentiment, catalysts, risks, evidence: the most mentioned symbols, better
+def titles(items: DataFrame, hits: DataFrame, most: int = 3, length: int = 60) -> DataFrame:
+    """symbol, titles: of the first ``most`` items that mention it, cut at ``length`` characters."""
+    said = hits.select("symbol", "external_id").distinct()
+    top = said.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("external_id"))).where(F.col("k") <= most)
+    cut = truncate(F.coalesce("title", F.lit("")), length)
+    return top.join(items.select("external_id", cut.alias("title")), "external_id").groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]).alias("titles"))
+
+
+def candidate_table(hits: DataFrame, evidence: DataFrame, sources: DataFrame, good: str, bad: str, most: int = 20) -> DataFrame:
+    """symbol, mentions, sentiment, catalysts, risks, titles, evidence: the most mentioned symbols, better
     told and better backed ones first among equals.
 
-    The sentiment is that of all contexts; of the first three, those with good words are
+    ``evidence`` is direct_evidence(), ``sources`` titles().  The sentiment is that of all contexts; of the first three, those with good words are
     catalysts and those with bad ones risks, cut at 60 characters."""
     m = hits.groupBy("symbol").agg(F.count("*").alias("mentions"))
-    d = m.join(evidence, "symbol", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    d = m.join(evidence, "symbol", "left").join(sources, "symbol", "left").withColumns({"contexts": F.coalesce("contexts", none), "titles": F.coalesce("titles", none)})
     said = lambda p: F.exists("contexts", lambda x: x.rlike(p))
     three = F.slice("contexts", 1, 3)
     cut = lambda p: F.transform(F.filter(three, lambda x: x.rlike(p)), lambda x: F.substring(x, 1, 60))
     mood = F.when(said(good) & said(bad), "mixed").when(said(good), "positive").when(said(bad), "negative").otherwise("neutral")
-    d = d.select("symbol", "mentions", mood.alias("sentiment"), cut(good).alias("catalysts"), cut(bad).alias("risks"), F.coalesce("n", F.lit(0).cast("long")).alias("evidence"))
+    d = d.select("symbol", "mentions", mood.alias("sentiment"), cut(good).alias("catalysts"), cut(bad).alias("risks"), "titles", F.coalesce("n", F.lit(0).cast("long")).alias("evidence"))
     rank = F.when(F.col("sentiment") == "positive", 2).when(F.col("sentiment") == "mixed", 1).when(F.col("sentiment") == "neutral", 0).otherwise(-1)
-    return d.orderBy(F.desc("mentions"), F.desc(rank), F.desc(F.size("catalysts")), "symbol").limit(most)
+    return d.orderBy(F.desc("mentions"), F.desc(rank), F.desc(F.size("catalysts")), F.desc(F.size("titles")), "symbol").limit(most)
 
 
 def sentiment_alpha(sentiment: Column, n_catalysts: Column, n_risks: Column, n_titles: Column, source_points: Column, mentions: Column, evidence: Column, n_material: Column, n_reaction: Column) -> Column:

@@ -30,24 +30,25 @@ def query(sql: str | None):
     return keep
 
 
-def places(word: str) -> str:
+def places(word: str, table: str = "raw_items") -> str:
     """SQL of external_id, i (1-based) and the text after each place of a word that doesn't overlap itself."""
     return f"""(SELECT external_id, CAST(sum(length(part)) OVER w + k * {len(word)} - {len(word)} + 1 AS BIGINT) AS i, lead(part) OVER w AS after FROM (SELECT external_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k
-      FROM (SELECT external_id, string_split(text, '{word}') AS parts FROM raw_items) a) b WINDOW w AS (PARTITION BY external_id ORDER BY k) QUALIFY after IS NOT NULL)"""
+      FROM (SELECT external_id, string_split(text, '{word}') AS parts FROM {table}) a) b WINDOW w AS (PARTITION BY external_id ORDER BY k) QUALIFY after IS NOT NULL)"""
 
 
-HITS = f"""{ITEMS}, h0 AS (SELECT external_id, i, CASE WHEN starts_with(after, 're') THEN 'there' ELSE 'the' END AS alias FROM {places('the')} UNION ALL SELECT external_id, i, 'que' FROM {places('que')}
-      UNION ALL SELECT external_id, i, 'qui' FROM {places('qui')} UNION ALL SELECT external_id, i, 'der' FROM {places('der')}),
-    hits AS (SELECT h0.external_id, text, i - 1 AS place, alias, CASE alias WHEN 'there' THEN 'S_THERE' WHEN 'the' THEN 'S_THE' WHEN 'der' THEN 'S_DER' ELSE 'S_QUE' END AS symbol FROM h0 JOIN raw_items r ON r.external_id = h0.external_id
-      WHERE alias <> 'der' OR contains(substr(text, greatest(1, i - 80), i + 83 - greatest(1, i - 80)), '{STOCK}') OR contains(substr(text, greatest(1, i - 80), i + 83 - greatest(1, i - 80)), '$der') OR contains(substr(text, greatest(1, i - 80), i + 83 - greatest(1, i - 80)), '(der)'))"""
+def hits_sql(items: str, table: str = "raw_items") -> str:
+    near = "substr(text, greatest(1, i - 80), i + 83 - greatest(1, i - 80))"
+    return f"""{items}, h0 AS (SELECT external_id, i, CASE WHEN starts_with(after, 're') THEN 'there' ELSE 'the' END AS alias FROM {places('the', table)} UNION ALL SELECT external_id, i, 'que' FROM {places('que', table)}
+      UNION ALL SELECT external_id, i, 'qui' FROM {places('qui', table)} UNION ALL SELECT external_id, i, 'der' FROM {places('der', table)}),
+    hits AS (SELECT h0.external_id, text, i - 1 AS place, alias, CASE alias WHEN 'there' THEN 'S_THERE' WHEN 'the' THEN 'S_THE' WHEN 'der' THEN 'S_DER' ELSE 'S_QUE' END AS symbol FROM h0 JOIN {table} r ON r.external_id = h0.external_id
+      WHERE alias <> 'der' OR contains({near}, '{STOCK}') OR contains({near}, '$der') OR contains({near}, '(der)'))"""
 
 
-def hits(spark, d) -> DataFrame:
-    return mt.alias_mentions(raw_items(spark, d), ALIASES, [], STOCK)
+HITS = hits_sql(ITEMS)
 
 
-def with_text(spark, d) -> DataFrame:
-    return hits(spark, d).join(raw_items(spark, d).select("external_id", "text"), "external_id")
+def hits(spark, d) -> DataFrame:
+    return mt.alias_mentions(raw_items(spark, d), ALIASES, [], STOCK)
 
 
 @query(f"{HITS} SELECT external_id, symbol, count(*) AS mentions FROM hits GROUP BY external_id, symbol")
@@ -62,28 +63,68 @@ def top_mentions(spark, d):
 
 @query(f"{HITS} SELECT external_id, symbol, place FROM hits WHERE NOT (alias = 'the' AND (regexp_matches(substr(text, place + 4, 100), '^(?:\\)| of)') OR NOT regexp_matches(substr(text, place + 4, 100), 'ing')))")
 def drop_attribution(spark, d):
-    kept = mt.drop_attribution(with_text(spark, d), ["the"], r"\)| of", "ing")
+    kept = mt.drop_attribution(hits(spark, d), ["the"], r"\)| of", "ing")
     return kept.select("external_id", "symbol", F.col("at").alias("place"))
 
 
-EVIDENCE = f"""{HITS}, cx AS (SELECT symbol, external_id, place, substr(text, greatest(place - 20, 0) + 1, place + length(alias) + 20 - greatest(place - 20, 0)) AS context FROM hits),
-    f AS (SELECT symbol, context, min(external_id * 1000000 + place) AS o FROM cx WHERE NOT regexp_matches(context, '\\d') GROUP BY symbol, context),
-    ev AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY o, context) AS k FROM f QUALIFY k <= 10)"""
+@query(rf"""{ITEMS}, words AS (SELECT DISTINCT w AS alias, upper(substr(w, 1, 3)) AS symbol FROM (SELECT unnest(regexp_extract_all(title, '[A-Z][a-z]{{5}}')) AS w FROM raw_items WHERE title IS NOT NULL) q),
+    found AS (SELECT external_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{{5}}')) AS alias FROM raw_items WHERE text IS NOT NULL)
+    SELECT symbol, count(DISTINCT words.alias) AS aliases, count(DISTINCT external_id) AS items, count(*) AS mentions FROM found JOIN words ON words.alias = found.alias GROUP BY symbol""")
+def alias_table(spark, d):
+    """Aliases out of the titles, thousands of them: a capital and five letters, so that no two overlap."""
+    items = raw_items(spark, d)
+    words = items.select(F.explode(F.regexp_extract_all("title", F.lit("[A-Z][a-z]{5}"), 0)).alias("alias")).distinct()
+    book = words.select(F.upper(F.substring("alias", 1, 3)).alias("symbol"), "alias", F.lit(False).alias("marked"))
+    found = mt.alias_mentions(items, book, [], STOCK)
+    return found.groupBy("symbol").agg(F.count_distinct("alias").alias("aliases"), F.count_distinct("external_id").alias("items"), F.count("*").alias("mentions"))
+
+
+#: Items of which some begin with a house's name and some end with a ticker behind a dollar sign.
+MARKED = f"""{ITEMS}, marked AS (SELECT external_id, title, CASE WHEN external_id % 4 = 0 THEN 'Citi) ' ELSE '' END || text || CASE WHEN external_id % 5 = 0 THEN ' $De up' ELSE '' END AS text FROM raw_items)"""
+EDGE = r"[^\p{L}\p{N}_]"
+AROUND = lambda at, n, text="text", w=20: f"substr({text}, greatest({at} - {w}, 0) + 1, {at} + {n} + {w} - greatest({at} - {w}, 0))"
+WORD = lambda t: rf"(?s)^(|.*?{EDGE}){t}(?:{EDGE}|$)"
+EVIDENCE = rf"""{hits_sql(MARKED, 'marked')}, behind AS (SELECT external_id, regexp_replace(text, '^(?i:Citi)\s*[)\]:]\s*', '') AS text FROM marked WHERE regexp_matches(text, '^(?i:Citi)\s*[)\]:]\s*.{{5}}')),
+    names AS (SELECT DISTINCT symbol, alias FROM hits), tickers AS (SELECT * FROM (VALUES ('S_THE', 'De'), ('S_QUE', 'Und')) v(symbol, ticker) WHERE symbol IN (SELECT symbol FROM hits)),
+    words AS (SELECT symbol, ticker, external_id, text, length(regexp_extract(text, CASE ticker WHEN 'De' THEN '{WORD("De")}' ELSE '{WORD("Und")}' END, 1)) AS pl FROM marked, tickers WHERE regexp_matches(text, CASE ticker WHEN 'De' THEN '{WORD("De")}' ELSE '{WORD("Und")}' END)),
+    cx AS (SELECT symbol, 1 AS stream, -length(alias) AS l, external_id, min(place) AS pl, regexp_replace(arg_min({AROUND('place', 'length(alias)')}, place), '^(?i:Citi)\s*[)\]:]\s*', '') AS context FROM hits GROUP BY symbol, alias, external_id
+      UNION ALL SELECT symbol, 2, -length(alias), external_id, instr(text, alias) - 1, {AROUND('(instr(text, alias) - 1)', 'length(alias)', 'text', 15)} FROM behind, names WHERE contains(text, alias)
+      UNION ALL SELECT symbol, 3, -length(ticker), external_id, pl, {AROUND('pl', 'length(ticker)')} FROM words
+      UNION ALL SELECT symbol, 4, -length(ticker) - 1, external_id, instr(text, '$' || ticker) - 1, {AROUND("(instr(text, '$' || ticker) - 1)", '(length(ticker) + 1)')} FROM marked, tickers WHERE contains(text, '$' || ticker)),
+    f AS (SELECT * FROM cx WHERE NOT regexp_matches(context, '\d') QUALIFY row_number() OVER (PARTITION BY symbol, context ORDER BY stream, l, external_id, pl) = 1),
+    ev AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY stream, l, external_id, pl, context) AS k FROM f QUALIFY k <= 10)"""
+
+
+def marked(spark, d) -> DataFrame:
+    k = F.col("external_id")
+    text = F.concat(F.when(k % 4 == 0, "Citi) ").otherwise(""), "text", F.when(k % 5 == 0, " $De up").otherwise(""))
+    return raw_items(spark, d).withColumn("text", text)
+
+
+def evidence_of(spark, items: DataFrame, found: DataFrame) -> DataFrame:
+    tickers = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(s).alias("symbol"), F.lit(t).alias("ticker")) for s, t in (("S_THE", "De"), ("S_QUE", "Und"), ("S_DER", "12"), ("S_THERE", "x"))))))
+    return mt.direct_evidence(mt.evidence_streams(items, found, tickers, ["Citi"], r"\)| of", "ing", 20), r"\d")
 
 
 @query(f"{EVIDENCE} SELECT symbol, string_agg(context, '|' ORDER BY k) AS contexts, count(*) AS n FROM ev GROUP BY symbol")
 def direct_evidence(spark, d):
-    return mt.direct_evidence(with_text(spark, d), r"\d", 20).select("symbol", F.array_join("contexts", "|").alias("contexts"), "n")
+    items = marked(spark, d)
+    found = checkpointed(mt.alias_mentions(items, ALIASES, [], STOCK))
+    return evidence_of(spark, items, found).select("symbol", F.array_join("contexts", "|").alias("contexts"), "n")
 
 
 @query(f"""{EVIDENCE}, g AS (SELECT symbol, count(*) AS evidence, count(*) FILTER (regexp_matches(context, 'and|und')) AS p, count(*) FILTER (regexp_matches(context, 'of|le')) AS m,
-      string_agg(substr(context, 1, 60), '|' ORDER BY k) FILTER (k <= 3 AND regexp_matches(context, 'and|und')) AS catalysts, string_agg(substr(context, 1, 60), '|' ORDER BY k) FILTER (k <= 3 AND regexp_matches(context, 'of|le')) AS risks FROM ev GROUP BY symbol)
-    SELECT h.symbol, h.mentions, CASE WHEN p > 0 AND m > 0 THEN 'mixed' WHEN p > 0 THEN 'positive' WHEN m > 0 THEN 'negative' ELSE 'neutral' END AS sentiment, coalesce(catalysts, '') AS catalysts, coalesce(risks, '') AS risks, coalesce(evidence, 0) AS evidence
-    FROM (SELECT symbol, count(*) AS mentions FROM hits GROUP BY symbol) h LEFT JOIN g ON g.symbol = h.symbol""")
+      string_agg(substr(context, 1, 60), '|' ORDER BY k) FILTER (k <= 3 AND regexp_matches(context, 'and|und')) AS catalysts, string_agg(substr(context, 1, 60), '|' ORDER BY k) FILTER (k <= 3 AND regexp_matches(context, 'of|le')) AS risks FROM ev GROUP BY symbol),
+    said AS (SELECT symbol, external_id FROM hits GROUP BY symbol, external_id QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY external_id) <= 3),
+    tt AS (SELECT symbol, string_agg(CASE WHEN length(title) > 60 THEN substr(title, 1, 59) || '…' ELSE title END, '|' ORDER BY said.external_id) AS titles FROM said JOIN (SELECT external_id, coalesce(title, '') AS title FROM marked) m ON m.external_id = said.external_id GROUP BY symbol)
+    SELECT h.symbol, h.mentions, CASE WHEN p > 0 AND m > 0 THEN 'mixed' WHEN p > 0 THEN 'positive' WHEN m > 0 THEN 'negative' ELSE 'neutral' END AS sentiment, coalesce(catalysts, '') AS catalysts, coalesce(risks, '') AS risks, titles, coalesce(evidence, 0) AS evidence
+    FROM (SELECT symbol, count(*) AS mentions FROM hits GROUP BY symbol) h LEFT JOIN g ON g.symbol = h.symbol JOIN tt ON tt.symbol = h.symbol""")
 def candidate_table(spark, d):
-    h = checkpointed(with_text(spark, d))
-    c = mt.candidate_table(h, mt.direct_evidence(h, r"\d", 20), "and|und", "of|le")
-    return c.select("symbol", "mentions", "sentiment", F.array_join("catalysts", "|").alias("catalysts"), F.array_join("risks", "|").alias("risks"), "evidence")
+    items = marked(spark, d)
+    h = checkpointed(mt.alias_mentions(items, ALIASES, [], STOCK))
+    c = mt.candidate_table(h, evidence_of(spark, items, h), mt.titles(items, h), "and|und", "of|le")
+    lists = {n: F.array_join(n, "|") for n in ("catalysts", "risks", "titles")}
+    return c.withColumns(lists)
 
 
 @query("""WITH c AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'mixed' WHEN 2 THEN 'negative' ELSE 'neutral' END AS s, c_custkey % 6 AS a, c_custkey % 5 AS b, c_nationkey % 5 AS t, c_custkey % 9 * 2.5 AS sp, c_custkey % 11 AS m, c_custkey % 4 AS e, c_custkey % 7 AS x, c_nationkey % 6 AS r FROM customer)
