@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, packing, secret_scan, simhash, toxicity
-from tidemark.llm.common import discard, materialise, written
+from tidemark.llm.common import discard, folder
 from tidemark.llm.queries import vocabulary
 
 
@@ -53,12 +53,18 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over whole ``documents``; an empty table gives no row.
 
-    Each stage's table is written to the shared folder; what it and its predecessor
-    wrote there before is then deleted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = set(written())
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        *old, _ = [p for p in written() if p not in before]
-        discard(spark, old)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    A run has a folder of its own in the shared one.  Each stage's table is written there;
+    the table before it and what the stage wrote on its way are then deleted.  The last
+    stage's tables and its predecessor's stay, as the result reads them."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with folder(spark, "pipeline") as own:
+        for name, stage in STAGES[:-1]:
+            with folder(spark, name) as work:
+                made = stage(spark, docs, sf_dir)
+            made.write.parquet(f"{own}{name}")
+            docs = spark.read.schema(made.schema).parquet(f"{own}{name}")
+            for path in [work, before]:
+                if path:
+                    discard(spark, path)
+            before = f"{own}{name}"
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,13 +1,16 @@
 """Each stage of the pipeline against brute force on the rows that it was given."""
 
 import re
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm")
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from tidemark.llm import secret_scan, simhash, toxicity  # noqa: E402
+from tidemark.llm import common, exact_dedup, secret_scan, simhash, toxicity  # noqa: E402
 
 
 def norm(text):
@@ -63,6 +66,26 @@ def test_stages_on_an_empty_table_and_on_odd_rows(spark, sf):
 
 
 def test_run_keeps_nothing_but_its_last_table(spark, sf):
-    before = set(pipeline.written())
-    assert pipeline.run(spark, sf).count() > 0
-    assert len([p for p in pipeline.written() if p not in before]) == 1
+    """Nor does it delete what others write meanwhile: two runs at once, and a table beside them."""
+    shared = Path(common.shared_dir(spark).removeprefix("file:"))
+    here = lambda: {str(p.parent.relative_to(shared)) for p in shared.rglob("_SUCCESS")}
+    before = here()
+    beside = common.materialise(spark.range(5), "beside")
+    with ThreadPoolExecutor(2) as pool:
+        rows = [f.result() for f in [pool.submit(lambda: sorted(map(tuple, pipeline.run(spark, sf).select("doc_id", "start", "length").collect()))) for _ in range(2)]]
+    assert rows[0] == rows[1] and beside.count() == 5
+    left = [p for p in here() - before if p.startswith("pipeline")]
+    assert len({p.split("/")[0] for p in left}) == 2 and {p.split("/")[1] for p in left} == {"secret_scan"}
+
+
+def test_columns_may_have_any_name(spark):
+    names = ["__blob", "__findings", "__mark", "__fp", "__id", "__hex", "__place", "blob", "findings", "row", "fp", "id", "hex", "place", "n", "bucket", "salt", "a b", "c.d"]
+    rows = [(1, "password = hunter2hunter2 and more words here", 0), (2, "password = hunter2hunter2 and more words here", 0), (3, "clean words only", 16), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({f"`{n}`" if "." in n else n: F.lit(f"own {n}") for n in names if "." not in n})
+    docs = docs.toDF(*docs.columns)
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    for stage, n in ((secret_scan.redact_documents, 4), (simhash.keep_first, 3), (exact_dedup.keep_first, 3)):
+        got = stage(docs)
+        assert got.columns == docs.columns and got.count() == n
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in own)
+    assert {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact_documents(docs).collect()}[3] == ("clean words only", 16)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,26 +36,41 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-#: Paths that this process has handed out and not discarded.
-_written: list[str] = []
+#: The folder below the shared one in which this thread's tables go at present.
+_folder: ContextVar[str] = ContextVar("folder", default="")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
+    """A new path in the shared folder, or in the folder that folder() has set."""
+    return f"{shared_dir(spark)}/{_folder.get()}{name}-{uuid.uuid4().hex}"
 
 
-def written() -> list[str]:
-    return list(_written)
+@contextmanager
+def folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """Tables that this thread writes meanwhile are in one folder of their own, whose path is given.
+    Other threads' tables are elsewhere, so that discard() of the folder hits none of them."""
+    own = f"{_folder.get()}{name}-{uuid.uuid4().hex}/"
+    token = _folder.set(own)
+    try:
+        yield f"{shared_dir(spark)}/{own}"
+    finally:
+        _folder.reset(token)
 
 
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables of the shared folder that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-        _written.remove(path)
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def in_struct(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that no name of theirs clashes with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def out_of_struct(docs: DataFrame, row: str = "row", **changed: Column) -> list[Column]:
+    """The columns of in_struct() again, some of them changed."""
+    return [changed.get(c, F.col(row).getField(c)).alias(c) for c in docs.columns]
 
 
 #: Marks of touched(): what it broadcasts has no more rows, whatever the input.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import materialise, shared_path, slices, touched
+from tidemark.llm.common import in_struct, materialise, out_of_struct, shared_path, slices, touched
 
 #: Goes up whenever a rule below changes; blobs are then scanned anew.
 RULE_VERSION = 2
@@ -143,6 +143,8 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
         .where(F.size("findings") > 0)
         .dropDuplicates(["blob"])  # two scans at once may both have written a blob
     )
+    # written, so that the join reads two plain shuffles and AQE may split a text of many rows
+    findings = materialise(findings, "secret-found")
     return versions.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", F.lower(F.hex("blob")).alias("blob"), F.coalesce("findings", F.array()).alias("findings"))
 
 
@@ -160,19 +162,23 @@ def redact_documents(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 
     Findings come from the ledger's scan.  Only texts that have some, and few others,
     move to meet them; the rest stay where they are read.  Equal rows and null
-    doc_ids stay as they are; an empty table gives an empty one."""
-    found = scan_secrets(docs, ledger).where(F.size("findings") > 0).select(F.unhex("blob").alias("__blob"), F.col("findings").alias("__findings"))
-    found = materialise(found.dropDuplicates(["__blob"]), "secret-findings")
-    near, far = touched(docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))), found, "__blob")
+    doc_ids stay as they are; whole texts of any length are scanned; an empty table gives an empty
+    one.  Columns may have any names: rows are carried as one struct."""
+    plain = docs.select("text", F.lit(None).cast("long").alias("doc_id"))
+    found = scan_secrets(plain, ledger).where(F.size("findings") > 0).select(F.unhex("blob").alias("blob"), "findings")
+    found = materialise(found.dropDuplicates(["blob"]), "secret-findings")
+    rows = docs.select(in_struct(docs).alias("row"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
+    near, far = touched(rows, found, "blob")
     text = F.expr("""
         aggregate(
-          array_sort(transform(__findings, f -> struct(f.start AS s, f.end AS e))),
+          array_sort(transform(findings, f -> struct(f.start AS s, f.end AS e))),
           struct('' AS done, 0L AS at),
           (a, f) -> CASE
-            WHEN f.s >= a.at THEN struct(a.done || substring(text, int(a.at) + 1, int(f.s - a.at)) || '[SECRET]' AS done, f.e AS at)
+            WHEN f.s >= a.at THEN struct(a.done || substring(row.text, int(a.at) + 1, int(f.s - a.at)) || '[SECRET]' AS done, f.e AS at)
             ELSE struct(a.done AS done, greatest(a.at, f.e) AS at) END,
-          a -> a.done || substring(text, int(a.at) + 1))""")
-    joined = near.join(found, "__blob", "left").withColumn("text", F.when(F.col("__findings").isNotNull(), text).otherwise(F.col("text")))
+          a -> a.done || substring(row.text, int(a.at) + 1))""")
+    joined = near.join(found, "blob", "left").withColumn("text", F.when(F.col("findings").isNotNull(), text).otherwise(F.col("row.text")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__findings").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns).unionByName(far.select(*docs.columns))
+        changed["n_chars"] = F.when(F.col("findings").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return joined.select(*out_of_struct(docs, **changed)).unionByName(far.select(*out_of_struct(docs)))

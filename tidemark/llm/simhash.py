@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import extend_rows, map_texts, materialise, touched
+from tidemark.llm.common import extend_rows, in_struct, map_texts, materialise, out_of_struct, touched
 from tidemark.llm.components import components
 
 #: Words of a shingle, seed of its hash, and the bits by which linked fingerprints may differ.
@@ -60,7 +60,7 @@ def fingerprint(text: str) -> int:
 def fingerprint_column() -> Callable[[list[str]], dict[str, list]]:
     def work(texts: list[str]) -> dict[str, list]:
         found = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64).tolist()
-        return {"fp": found, "__fp": found}
+        return {"fp": found}
 
     return work
 
@@ -285,15 +285,16 @@ def keep_first(docs: DataFrame) -> DataFrame:
     stay where their group has none at all, one for each fingerprint.
 
     Only rows whose doc_id has lost a row, is null or stands twice are fingerprinted
-    again and move; the others stay where they are read."""
+    again and move; the others stay where they are read.  Whole texts of any length are
+    fingerprinted; columns may have any names: rows are carried as one struct."""
     found = materialise(near_duplicates(docs), "simhash-found")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     doubtful = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(stays).alias("all_stay")).where("doc_id is null or n > 1 or not all_stay")
-    near, far = touched(docs, doubtful, "doc_id")
-    named = extend_rows(near, fingerprint_column, T.StructField("__fp", T.LongType()))
-    kept = found.where(stays).select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__hex")).distinct()
-    hexed = F.lower(F.lpad(F.hex("__fp"), 16, "0"))
-    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__fp"))).orderBy("__fp", "text")
-    chosen = named.join(kept, (hexed == F.col("__hex")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    chosen = chosen.withColumn("__place", F.row_number().over(order)).where("__place = 1")
-    return far.unionByName(chosen.select(*docs.columns))
+    near, far = touched(docs.select("doc_id", "text", in_struct(docs).alias("row")), doubtful, "doc_id")
+    named = extend_rows(near, fingerprint_column, T.StructField("fp", T.LongType()))
+    kept = found.where(stays).select(F.col("doc_id").alias("id"), F.col("fingerprint").alias("hex")).distinct()
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp"))).orderBy("fp", "text")
+    chosen = named.join(kept, (hexed == F.col("hex")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    chosen = chosen.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return far.select(*out_of_struct(docs)).unionByName(chosen.select(*out_of_struct(docs)))
