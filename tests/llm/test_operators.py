@@ -130,15 +130,18 @@ def brute_licenses(text):
 def brute_labels(text):
     """Labels and score, template by template at every place."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
-    labels, score = set(), 0.0
-    for label, full, key in [*((label, key, key) for key, label in license_scan.BASE.items()), *license_scan.TEMPLATES]:
+    labels, score, found = set(brute_licenses(text)[-1].split(",")) - {""}, 0.0, []
+    denials = {w.decode() for w in license_scan.DENIALS}
+    for label, full, key in license_scan.TEMPLATES:
         full, key = full.split(), key.split()
         shift = next(i for i in range(len(full)) if full[i : i + len(key)] == key)
         for at in range(len(words)):
-            if words[at : at + len(key)] == key:
-                labels.add(label)
-                score = max(score, sum(0 <= at - shift + i < len(words) and words[at - shift + i] == w for i, w in enumerate(full)) / len(full))
-    return ",".join(sorted(labels)), score
+            if words[at : at + len(key)] == key and not denials & set(words[max(0, at - license_scan.BEFORE) : at]):
+                share = sum(0 <= at - shift + i < len(words) and words[at - shift + i] == w for i, w in enumerate(full)) / len(full)
+                found += [(at, len(key), label, share)] * (share >= license_scan.LEAST)
+    own = [(label, share) for at, n, label, share in found if not any(b == at and m > n for b, m, _, _ in found)]
+    score = max([1.0 if labels else 0.0, *(share for _, share in own)])
+    return ",".join(sorted(labels | {label for label, _ in own})), score
 
 
 LICENCES = [" ".join([a, *(full.split()[cut:]), b]) for a, b in (("", ""), ("x", "y z")) for _, full, _ in license_scan.TEMPLATES for cut in (0, 1, 3)]
@@ -153,6 +156,20 @@ def test_licenses(which, request, spark):
     same(got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect(), want)
 
 
+def test_licence_labels_by_hand():
+    """Openings of licences that share phrases, relatives, and denials."""
+    scan = lambda t: license_scan.Index({}, 0).scan(t)["labels"]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    boost = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\")"
+    assert scan(mit) == "mit" and scan(boost) == "boost" and scan("permission is hereby granted free of charge") == ""
+    assert scan("This work is licensed under a Creative Commons Attribution-NonCommercial license") == "cc-by-nc"
+    assert scan("licensed under a Creative Commons Attribution 4.0 International License") == "cc-by"
+    assert scan("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike license") == "cc-by-nc-sa"
+    assert scan("This file is not licensed under the GNU General Public License") == "" and scan("It is licensed under the GNU General Public License") == "gpl"
+    assert scan("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation") == "lgpl"
+    assert scan("the phrase creative commons attribution alone") == "" and scan("not under the MIT license") == "mit"  # base labels stay wherever their words stand
+
+
 def test_a_file_looks_up_its_own_rarest_words():
     """Which words are looked up follows the frequencies; what is found doesn't."""
     words = license_scan.words_of("a license under the mit license, the mit license under the mit license")

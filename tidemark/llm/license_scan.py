@@ -29,19 +29,35 @@ from tidemark.llm.common import map_texts
 #: Key phrases and their labels that must be reported wherever they stand (fixed values).
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Openings and headings of public licences: (label, template, mandatory key phrase in it), fixed values.
+#: Openings and headings of public licences: (label, template, mandatory key phrase in it that no other of these licences has), fixed values.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute this software"),
-    ("cc-by-nc", "creative commons attribution noncommercial", "attribution noncommercial"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "free of charge to any person obtaining a copy of this software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "free of charge to any person or organization obtaining a copy"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license"),
+    ("gpl", "licensed under the gnu general public license", "licensed under the gnu general public license"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "terms of the mozilla public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software for any purpose"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license", "terms of the eclipse public license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", "waived all copyright and related or neighboring rights"),
     ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike license", "creative commons attribution sharealike"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives license", "creative commons attribution noderivatives"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial license", "creative commons attribution noncommercial"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike license", "creative commons attribution noncommercial sharealike"),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives license", "creative commons attribution noncommercial noderivatives"),
 ]
+#: Share of a template that has to stand around its key phrase for a label beyond the base ones.
+LEAST = 0.5
+#: Words that deny what follows them, within so many words before the key phrase.
+DENIALS, BEFORE = frozenset(w.encode() for w in ("not", "never", "neither", "nor", "no", "isn", "aren", "wasn", "don", "doesn", "cannot", "unlike")), 6
 
 #: Rare words of a template whose proposals are intersected.
 LOOKUPS = 2
@@ -94,20 +110,30 @@ class Index:
     def scan(self, text: str) -> dict:
         words = words_of(text)
         places: list[tuple[int, int]] = []
-        labels: set[str] = set()
+        found: list[tuple[int, int, str, float]] = []  # where a key phrase begins and ends, its label, and the share of its template
         base: set[str] = set()
         score = 0.0
         for t, proposed in self.starts(words).items():
             label, full, key, shift, is_base = self.templates[t]
             for start in proposed:
-                if words[start + shift : start + shift + len(key)] != key:
+                at, end = start + shift, start + shift + len(key)
+                if words[at:end] != key:
                     continue
-                labels.add(label)
                 if is_base:
                     base.add(label)
                     places.append((start, t))
+                    score = 1.0
+                    continue
                 same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(full))
-                score = max(score, same / len(full))
+                if same / len(full) >= LEAST and not DENIALS & set(words[max(0, at - BEFORE) : at]):
+                    found.append((at, end, label, same / len(full)))
+        # of key phrases at one place the longest one names the licence
+        longest = {}
+        for at, end, _, _ in found:
+            longest[at] = max(end, longest.get(at, 0))
+        found = [f for f in found if f[1] == longest[f[0]]]
+        labels = base | {label for _, _, label, _ in found}
+        score = max([score, *(share for _, _, _, share in found)])
         starts = [p for p, _ in places]
         return {
             "n_words": len(words),
@@ -158,7 +184,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     last_word (word numbers of the first and last place, null without one),
     base_labels and labels (distinct, sorted, comma-joined; empty without any)
     and score (the best share of a template that stands where its key phrase
-    does; 0 without a label).
+    does; 0 without a label).  A label beyond the base ones takes LEAST of its template, and
+    no denial in the BEFORE words before its key phrase; where the key phrase of a longer
+    relative begins at the same word, that one names the licence.
 
     A null text counts as empty, a text of any length is scanned as a whole.  A null
     doc_id is kept; equal rows each get a row; an empty table gives an empty one; no
