@@ -7,13 +7,11 @@ A watermark bounds the state of each flow: the look-back of the feed it reads.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.indicators import by_time, rsi
 
@@ -47,35 +45,6 @@ def upsert(signals: DataFrame, keys: list[str], delay: str = "1 day") -> DataFra
     return g.select(*keys, F.col("w.start").alias("day"), "seen_count", "first_seen", "last_seen", "max_score")
 
 
-def quiet(events: DataFrame, hours: float = 2.0, delay: str = BAR_DELAY) -> DataFrame:
-    """Events (symbol, ts, id) that none of the same symbol precedes within the
-    quiet period; state is one time a symbol and goes after the period.
-
-    A task holds what a micro-batch has of a symbol: for streams whose micro-batches
-    are bounded (maxFilesPerTrigger).  ``latest_quiet`` takes any."""
-    out = events.select("symbol", "ts", "id").schema
-    span = pd.Timedelta(hours=hours)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        before = rows["ts"].shift()
-        if state.exists:
-            before.iloc[0] = pd.Timestamp(state.get[0], unit="us").tz_localize(rows["ts"].dt.tz)
-        last = rows["ts"].max()
-        if state.exists:
-            last = max(last, before.iloc[0])
-        micros = int(last.value // 1000)
-        state.update((micros,))
-        state.setTimeoutTimestamp(max(micros // 1000 + int(span.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield rows[before.isna() | (rows["ts"] - before >= span)]
-
-    source = events.select("symbol", "ts", "id").withWatermark("ts", delay)
-    return source.groupBy("symbol").applyInPandasWithState(run, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def latest_quiet(events: DataFrame, path: str, hours: float = 2.0) -> DataFrame:
     """Events (symbol, ts, id) that none of the same symbol precedes within the
     quiet period, over all that has arrived; events without a time are left out.
@@ -113,15 +82,18 @@ def price_alerts(prices: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def alerts_once(prices: DataFrame, picks: DataFrame, path: str) -> DataFrame:
-    """price_alerts() that fire once a pick: the first of a micro-batch, for picks without one before.
+    """price_alerts() that fire once a pick: the first of the micro-batch in which there is one.
 
-    What has fired is what earlier batches landed under ``path``, so a repeated batch does the same again."""
+    The picks that have fired are kept under ``path``, an id each, for the next micro-batch: it reads
+    that table of the batch before and no earlier batch's rows, so a repeated batch does the same again.
+    Picks that aren't given any more are forgotten."""
+    ids = picks.select("id").distinct()
 
     def work(batch: DataFrame, number: int) -> DataFrame:
+        fired = batch.sparkSession.read.schema(ids.schema).parquet(f"{path}/last/batch={number - 1}") if number else batch.select("id").limit(0)
         first = batch.groupBy("id").agg(F.min(F.struct("ts", "price", "alert", "symbol")).alias("a")).select("id", "a.symbol", "a.ts", "a.price", "a.alert")
-        if number:
-            fired = batch.sparkSession.read.schema(batch.schema).parquet(*(f"{path}/rows/batch={k}" for k in range(number)))
-            first = first.join(fired.select("id").distinct(), "id", "left_anti")
+        first = first.join(fired, "id", "left_anti")
+        fired.join(ids, "id", "left_semi").unionByName(first.select("id")).write.mode("overwrite").parquet(f"{path}/last/batch={number}")
         return first.select(*batch.columns)
 
     return latest(price_alerts(prices, picks), path, [], "append", work)
