@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
-from tidemark.operators import cards, cleaning, evidence, fuzzy, graph, mentions, ranking, regime, relations, review, terms, text
+from tidemark.operators import cards, cleaning, evidence, fuzzy, graph, lint, mentions, ranking, regime, relations, review, terms, text
 from tidemark.plans import mentions as plans_mentions
 from tidemark.streaming import flows
 
@@ -358,3 +358,34 @@ def test_contract_fields_by_hand(spark):
     names = ("amount", "client", "contract_start", "contract_end", "revenue_share", "is_amendment", "is_cancellation", "confidence")
     for r, (_, want) in zip(got, rows):
         assert tuple(r[n] for n in names) == want, r
+
+
+def test_report_lint_by_hand(spark):
+    """Lines that have to be found, and lines that are fine."""
+    text = "\n".join([
+        "[Web발신]", "A +9.5% (가격만 움직임(이유 불명)) → 연결고리: B", "HD 4H -4.8% / 1D -3.2% ... 급등 후 약세", "SK 4H +2.1% ... 급락 후 상승", "SK 4H +2.1% 급등 후 유지", "LONG 관찰 후보", "최종점수: 53.0", "  최종점수: 81.0",
+        "관망/추적 후보", "최종점수: 55.0", "현재 확인: 라이브 확인 미실행 — 통계만 참고", "현재 확인: 라이브 확인 미실행 — 통계만 참고", "계약 해지는 호재", "호재 뒤 해지", "수주  확정 수혜", "근거: 약함", "정상 문장",
+    ])
+    got = {(r.k, r.severity) for r in lint.lint(spark.createDataFrame([(1, text), (2, None), (3, "")], "external_id long, text string")).collect()}
+    assert got == {(1, "HIGH"), (2, "HIGH"), (3, "HIGH"), (4, "HIGH"), (7, "MEDIUM"), (12, "HIGH"), (13, "HIGH"), (15, "HIGH"), (16, "LOW")}
+
+
+def test_medians_of_a_hot_group(spark):
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice("abc"), rng.choice([1.0, 2.5, rng.uniform(1, 50)])) for _ in range(2001)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), (None, 3.0)]
+    got = {r.sector: r.median for r in cards.group_medians(spark.createDataFrame(rows, "sector string, pe double"), "sector", "pe").collect()}
+    assert got == {s: float(np.median([v for t, v in rows if t == s and v is not None])) for s in {t for t, v in rows if v is not None}}
+
+
+def test_budget_against_the_loop(spark):
+    rng = random.Random(5)
+    for p, n, m in [(0, 0, 0), (3, 1, 0), (30, 20, 12), (5, 20, 12), (20, 5, 3), (1, 19, 12), (9, 10, 12), (10, 9, 12), (30, 0, 12), (0, 20, 12), (15, 14, 45)]:
+        rows = [(k, b, rng.random()) for k, b in enumerate(["positive"] * p + ["negative"] * n + ["macro"] * m)]
+        caps, total = {"macro": 44, "positive": 30, "negative": 20}, 40
+        left = {"positive": min(p, 30), "negative": min(n, 20), "macro": min(m, 44)}
+        while sum(left.values()) > total:
+            b = "positive" if left["positive"] >= left["negative"] and left["positive"] else "negative" if left["negative"] else "macro"
+            left[b] -= 1
+        got = mentions.within_budget(spark.createDataFrame(rows, "id int, bucket string, score double"), caps, total).collect()
+        want = {r[0] for b, n_left in left.items() for r in sorted((r for r in rows if r[1] == b), key=lambda r: -r[2])[:n_left]}
+        assert {r.id for r in got} == want, (p, n, m)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import places
 from tidemark.operators.scores import by_side, clamp, first_of, rule_score
+from tidemark.sources.shared import checkpointed
 
 # Conditions and points of the fundamentals scores, base 50.
 FUND_LONG = [
@@ -46,12 +48,22 @@ def looked_up(key: Column, table: dict[str, float], otherwise: float) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(otherwise))
 
 
-def with_peers(df: DataFrame) -> DataFrame:
-    """``df`` with pe_discount, in percent of the sector's median P/E of those above 0.
+def group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group and median (the mean of the middle two of an even number) of the values that aren't null.
+
+    Places in the group tell the middle ones: rows are dealt by ranges of (group, value), so
+    that no task or buffer holds a group, and only the ranges' sizes are summed."""
+    d = places(df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v")), group, [F.col("_v")])
+    middle = d.where((F.col("place") == F.floor((F.col("size") + 1) / 2)) | (F.col("place") == F.floor((F.col("size") + 2) / 2)))
+    return middle.groupBy(group).agg(F.avg("_v").alias("median"))
 
-    The median is by rank over a sector's ratios, an aggregation that never holds them all."""
-    med = df.where("pe > 0").groupBy("sector").agg(F.percentile("pe", 0.5).alias("_m"))
-    return df.join(F.broadcast(med), "sector", "left").withColumn("pe_discount", F.when(F.col("pe") > 0, (F.col("_m") - F.col("pe")) / F.col("_m") * 100)).drop("_m")
+
+def with_peers(df: DataFrame) -> DataFrame:
+    """``df`` with pe_discount, in percent of the sector's median P/E of those above 0."""
+    med = group_medians(df.where("pe > 0"), "sector", "pe").select(F.col("sector").alias("_sector"), F.col("median").alias("_m"))
+    # written, so that the join reads two plain shuffles and AQE may split a sector of many rows
+    d = df.join(checkpointed(med), F.col("sector").eqNullSafe(F.col("_sector")), "left")
+    return d.withColumn("pe_discount", F.when(F.col("pe") > 0, (F.col("_m") - F.col("pe")) / F.col("_m") * 100)).drop("_m", "_sector")
 
 
 def fundamental_score(df: DataFrame) -> Column:

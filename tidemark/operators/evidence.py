@@ -43,6 +43,29 @@ def dollar_tickers(items: DataFrame, block: list[str]) -> DataFrame:
     return t.where(~F.col("ticker").isin(block)).groupBy("external_id", "ticker").agg(F.count("*").alias("n"))
 
 
+def first_distinct(rows: DataFrame, keys: list[str], value: str, order: list[str], most: int) -> DataFrame:
+    """keys and an array of the first ``most`` distinct values by ``order``.
+
+    Values meet once a key, and of each the first place counts; the first of each of 64 parts of
+    a key go on, so no task sees more of a key than these."""
+    first = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_o"))
+    part = Window.partitionBy(*keys, F.pmod(F.xxhash64(value), F.lit(64))).orderBy("_o", value)
+    best = first.withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= most)
+    best = best.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_o", value))).where(F.col("_k") <= most)
+    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value))), lambda x: x[value]).alias(value))
+
+
+def cluster_lists(items: DataFrame, hash_: Column, columns: dict[str, int]) -> DataFrame:
+    """hash and, for each array column of ``items``, the first of its distinct values in the cluster: of the newest
+    items first, in order within an item, as many as ``columns`` says."""
+    own = items.select(hash_.alias("hash"), (-F.unix_micros("published_at")).alias("_age"), "external_id", *columns)
+    out = own.select("hash").distinct()
+    for name, most in columns.items():
+        each = own.select("hash", "_age", "external_id", F.posexplode(name).alias("_i", name))
+        out = out.join(first_distinct(each, ["hash"], name, ["_age", "external_id", "_i"], most), "hash", "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in columns})
+
+
 def clusters(items: DataFrame, good: list[str], bad: list[str], quality: Column, research: list[str]) -> DataFrame:
     """One row a content hash: its size, sources, majority polarity (ties go to
     positive, then negative), newest time, representative and score.

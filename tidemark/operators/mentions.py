@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.cleaning import either
+from tidemark.operators.ranking import top_per
 from tidemark.operators.terms import term_places
 from tidemark.operators.text import count_of, truncate
+from tidemark.sources.shared import checkpointed
 
 def holds(c: Column, words: list[str]) -> Column:
     """Whether a text holds any of the words as a part."""
@@ -227,21 +229,17 @@ def within_budget(scored: DataFrame, caps: dict[str, int], total: int) -> DataFr
     """id, bucket, score: the best of each bucket up to its cap, then up to ``total`` of all: while
     there are too many, the last positive goes if there are as many as negatives, else the last negative, then macros.
 
-    How many stay follows from the three counts alone."""
-    ranked = scored.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "id")))
-    for name, cap in caps.items():
-        ranked = ranked.where((F.col("bucket") != name) | (F.col("k") <= cap))
-    count = {r.bucket: r.n for r in ranked.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # three rows
-    p, n, m = (count.get(b, 0) for b in ("positive", "negative", "macro"))
-    while p + n + m > total:
-        if p >= n and p:
-            p -= 1
-        elif n:
-            n -= 1
-        elif m:
-            m -= 1
-    left = F.when(F.col("bucket") == "positive", p).when(F.col("bucket") == "negative", n).otherwise(m)
-    return ranked.where(F.col("k") <= left).select("id", "bucket", "score")
+    ``caps`` names the buckets positive, negative and macro.  How many stay follows from the three counts: what
+    macros leave is what the other two share, and the larger of them is cut down to the smaller before both are."""
+    best = reduce(DataFrame.unionByName, [top_per(scored.where(F.col("bucket") == name), ["bucket"], "score", "id", cap) for name, cap in caps.items()])
+    best = checkpointed(best)
+    p, n, m = (F.count_if(F.col("bucket") == b) for b in ("positive", "negative", "macro"))
+    counts = best.agg(p.alias("p"), n.alias("n"), F.least(m, F.lit(total)).alias("m")).withColumn("s", F.least(F.col("p") + F.col("n"), total - F.col("m")))
+    half = F.floor(F.col("s") / 2)
+    counts = counts.withColumn("left_p", F.when(F.col("p") >= F.col("n"), F.greatest(F.col("s") - F.col("n"), half)).otherwise(F.col("s") - F.greatest(F.col("s") - F.col("p"), F.col("s") - half)))
+    pairs = (("positive", F.col("left_p")), ("negative", F.col("s") - F.col("left_p")), ("macro", F.col("m")))
+    room = counts.select(F.inline(F.array(*(F.struct(F.lit(b).alias("bucket"), c.cast("long").alias("room")) for b, c in pairs))))
+    return best.join(F.broadcast(room), "bucket").where(F.col("rank") <= F.col("room")).select("id", "bucket", "score")
 
 
 def category_headlines(items: DataFrame, words: list[tuple[str, list[str]]], most: int = 2) -> DataFrame:

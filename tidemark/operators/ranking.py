@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,9 +116,9 @@ def two_sided_quota(df: DataFrame, score: str, most: int = 8, per_side: int = 2)
 def order_scenarios(df: DataFrame, caps: dict[str, int], bonus: float = 5.0) -> DataFrame:
     """The first of each side by score with its place; watched LONG rows stand higher by ``bonus``."""
     worth = F.col("score") + F.when((F.col("side") == "LONG") & F.col("watched"), bonus).otherwise(0.0)
-    d = df.withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy(F.desc(worth), "id")))
-    cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("side"))
-    return d.where(F.col("place") <= cap)
+    # a side at a time and with its own cap as a literal, so that each part of it is cut before it moves
+    one = lambda side, cap: top_per(df.where(F.col("side") == side).withColumn("_worth", worth), ["side"], "_worth", "id", cap)
+    return reduce(DataFrame.unionByName, [one(*c) for c in caps.items()]).withColumnRenamed("rank", "place").drop("_worth")
 
 
 def order_amount(df: DataFrame, most: int) -> DataFrame:

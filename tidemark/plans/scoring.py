@@ -316,6 +316,21 @@ def evidence_clusters(spark, d):
     return rounded(clustered(spark, d), "hash", "size", "sources", "representative", "polarity", "score")
 
 
+@query(f"""{HASHED}, w AS (SELECT hash, external_id, regexp_extract_all(text, '[A-Z][a-z]{{7,}}') AS tickers, list_filter([CASE WHEN contains(text, 'und') THEN 'land' END, CASE WHEN contains(text, 'the') THEN 'sea' END, CASE WHEN contains(text, 'que') THEN 'sky' END], lambda x: x IS NOT NULL) AS themes FROM h),
+    t AS (SELECT hash, v, min(-external_id * 100000 + i) AS o FROM (SELECT hash, external_id, unnest(tickers) AS v, generate_subscripts(tickers, 1) AS i FROM w) q GROUP BY hash, v),
+    m AS (SELECT hash, v, min(-external_id * 100000 + i) AS o FROM (SELECT hash, external_id, unnest(themes) AS v, generate_subscripts(themes, 1) AS i FROM w) q GROUP BY hash, v)
+    SELECT c.hash, coalesce(array_to_string(a.l[1:8], ','), '') AS tickers, coalesce(array_to_string(b.l[1:8], ','), '') AS themes FROM (SELECT DISTINCT hash FROM h) c
+    LEFT JOIN (SELECT hash, list(v ORDER BY o) AS l FROM t GROUP BY hash) a ON a.hash = c.hash LEFT JOIN (SELECT hash, list(v ORDER BY o) AS l FROM m GROUP BY hash) b ON b.hash = c.hash""")
+def cluster_tickers_themes(spark, d):
+    """Long capitalised words stand for tickers."""
+    from tidemark.operators import mentions, text
+
+    t = F.coalesce("text", F.lit(""))
+    items = raw_items(spark, d).withColumn("tickers", F.regexp_extract_all("text", F.lit("[A-Z][a-z]{7,}"), 0)).withColumn("themes", mentions.themes(t, {"land": ["und"], "sea": ["the"], "sky": ["que"]}))
+    lists = evidence.cluster_lists(items, text.content_hash(F.col("text")), {"tickers": 8, "themes": 8})
+    return lists.select("hash", F.array_join("tickers", ",").alias("tickers"), F.array_join("themes", ",").alias("themes"))
+
+
 @query(f"""{HASHED}, {POL}, g AS (SELECT source_name, count(*) FILTER (polarity = 'positive') AS bull, count(*) FILTER (polarity = 'negative') AS bear FROM pp GROUP BY source_name)
     SELECT source_name, bull, bear, round(100.0 * bull / (bull + bear), 6) AS score, CASE WHEN bull + bear >= 3 THEN 'high' WHEN bull + bear = 2 THEN 'medium' ELSE 'low' END AS confidence,
     CASE WHEN 100.0 * bull / (bull + bear) >= 65 THEN 'STRONG' WHEN 100.0 * bull / (bull + bear) >= 55 THEN 'WARM' WHEN 100.0 * bull / (bull + bear) > 45 THEN 'NEUTRAL' WHEN 100.0 * bull / (bull + bear) > 35 THEN 'COOL' ELSE 'WEAK' END AS mood FROM g WHERE bull + bear > 0""")

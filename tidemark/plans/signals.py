@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranking, review, text
+from tidemark.operators import lint, ranking, review, text
 from tidemark.plans.tables import daily_bars, fundamentals, raw_items, signals, symbols, with_tables
 
 QUERIES, SQL = {}, {}
@@ -276,6 +276,20 @@ def output_lint(spark, d):
     return text.lint_lines(raw_items(spark, d))
 
 
+@query(rf"""{ITEMS}, a AS (SELECT external_id, regexp_split_to_array(text, '\r?\n') AS parts FROM raw_items WHERE text IS NOT NULL),
+    l AS (SELECT external_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS k FROM a), b AS (SELECT *, regexp_replace(line, '\s+', '', 'g') AS t FROM l),
+    s AS (SELECT *, last_value(CASE WHEN contains(t, 'Und') THEN '' WHEN contains(t, 'De') THEN 'main' END IGNORE NULLS) OVER (PARTITION BY external_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS section FROM b),
+    f AS (SELECT external_id, 'phrase' AS rule, 'HIGH' AS severity, k, line FROM s WHERE contains(t, 'theand') UNION ALL SELECT external_id, 'both', 'MEDIUM', k, line FROM s WHERE regexp_matches(t, 'leau.*und')
+      UNION ALL SELECT external_id, 'inside', 'LOW', k, line FROM s WHERE section = 'main' AND contains(t, 'eren')
+      UNION ALL SELECT external_id, 'again', 'LOW', k, line FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY k) AS n FROM s WHERE contains(t, 'sch')) q WHERE n = 2)
+    SELECT external_id, rule, severity, k, md5(substr(trim(line), 1, 80)) AS excerpt FROM f""")
+def report_lint(spark, d):
+    """A phrase, one followed by another, one within a section, and one in several lines."""
+    rules = [lint.rule("phrase", "HIGH", "the and"), lint.rule("both", "MEDIUM", "leau", then="und"), lint.rule("inside", "LOW", "eren", section="main"), lint.rule("again", "LOW", "sch", least=2)]
+    found = lint.lint(raw_items(spark, d), rules, {"main": ["De"], "": ["Und"]})
+    return found.withColumn("excerpt", F.md5("excerpt"))
+
+
 @query(f"""{ITEMS}, x AS (SELECT external_id, source_name, row_number() OVER (PARTITION BY source_name ORDER BY published_at DESC, external_id) AS n FROM raw_items) SELECT external_id, source_name FROM x WHERE n <= 10""")
 def cap_per_source(spark, d):
     return ranking.cap_per_source(raw_items(spark, d), "source_name", [F.desc("published_at"), F.col("external_id")], 10).select("external_id", "source_name")
