@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import text as tx
+from tidemark.operators.ranking import top_per
 
 #: Fixed value: won a dollar.
 KRW_PER_USD = 1370.0
@@ -134,8 +137,26 @@ def usd_to_krw(millions: Column, rate: float = KRW_PER_USD) -> Column:
     return millions * 1e6 * rate / 1e8
 
 
-def backlog_tier(amount: Column) -> Column:
-    return F.when(amount >= 150000, "HIGH").when(amount >= 30000, "MEDIUM").otherwise("LOW")
+def backlog_tier(amount: Column, scale: float = 1.0) -> Column:
+    return F.when(amount >= 150000 * scale, "HIGH").when(amount >= 30000 * scale, "MEDIUM").otherwise("LOW")
+
+
+def backlog_report(events: DataFrame, most: int = 10, few: int = 5, scale: float = 1.0) -> DataFrame:
+    """``events`` with tier, bucket and place: what a report on orders shows, the newest first in each bucket.
+
+    new: filings with an amount, neither amended nor cancelled; unparsed: those without one; high: the newest
+    event of each symbol of the highest tier, standing entries too; risk: amended or cancelled; second:
+    those further down a chain.  An event may be in several buckets."""
+    d = events.withColumn("tier", backlog_tier(F.col("amount"), scale))
+    filed, whole = F.col("source") != "STATIC", ~F.col("is_amendment") & ~F.col("is_cancellation")
+    newest = Window.partitionBy("symbol").orderBy(F.desc("event_date"), "id")
+    high = d.where(F.col("tier") == "HIGH").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    buckets = [
+        ("new", d.where(filed & F.col("amount").isNotNull() & whole), most), ("unparsed", d.where((F.col("source") == "DART") & F.col("amount").isNull() & ~F.col("is_cancellation")), few),
+        ("high", high, most), ("risk", d.where(filed & ~whole), few), ("second", d.where(filed & (F.col("chain_tier") >= 2)), few),
+    ]
+    one = lambda name, rows, n: top_per(rows.withColumn("bucket", F.lit(name)).withColumn("_day", F.datediff("event_date", F.lit("1970-01-01"))), ["bucket"], "_day", "id", n)
+    return reduce(DataFrame.unionByName, [one(*b) for b in buckets]).withColumnRenamed("rank", "place").drop("_day")
 
 
 #: Fixed value: letters that tell the share classes of one product.

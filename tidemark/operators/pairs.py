@@ -69,15 +69,16 @@ def pair_meta(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("total_seen"))
 
 
-def session_moves(bars: DataFrame, floor: float = 0.0) -> DataFrame:
+def session_moves(bars: DataFrame, floor: float = 0.0, session_bars: int = 78) -> DataFrame:
     """symbol, day, open, close, volume, change_pct and volume_ratio of each
-    session out of intraday bars: the ratio is of volume a bar to that of the
-    session before."""
+    session out of intraday bars: the ratio is of the volume so far, taken up to a
+    whole session of ``session_bars``, to that of the session before."""
     at = F.col("ts")
     s = bars.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.min_by("open", at).alias("open"), F.max_by("close", at).alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n_bars"))
     w = Window.partitionBy("symbol").orderBy("day")
-    per_bar = F.col("volume") / F.col("n_bars")
-    s = s.withColumn("change_pct", F.when(F.col("open") > 0, (F.col("close") - F.col("open")) / F.col("open") * 100)).withColumn("volume_ratio", per_bar / F.lag(per_bar).over(w))
+    gone = F.lit(session_bars) / F.greatest(F.least("n_bars", F.lit(session_bars)), F.lit(1))
+    s = s.withColumn("_before", F.lag("volume").over(w))
+    s = s.withColumn("change_pct", F.when(F.col("open") > 0, (F.col("close") - F.col("open")) / F.col("open") * 100)).withColumn("volume_ratio", F.when(F.col("_before").isNotNull(), F.col("volume") / F.greatest(F.col("_before"), F.lit(1)) * gone)).drop("_before")
     return s.where(F.abs("change_pct") >= floor)
 
 

@@ -123,8 +123,11 @@ def archive_duplicates(signals: DataFrame) -> DataFrame:
 
 
 def duplicate_stats(signals: DataFrame) -> DataFrame:
-    g = signals.groupBy("symbol", "side").count().where("count > 1")
-    return g.agg(F.count("*").alias("groups"), F.sum(F.col("count") - 1).alias("to_archive"))
+    """groups, to_archive, missing_price and unverified of the rows (symbol, side, price, price_source, archived) that aren't archived."""
+    live = signals.where(~F.coalesce("archived", F.lit(False)))
+    own = live.groupBy("symbol", "side").agg(F.count("*").alias("n"), F.count_if(F.col("price").isNull()).alias("missing"), F.count_if(F.col("price_source") == "unverified").alias("unverified"))
+    many = F.col("n") > 1
+    return own.agg(F.count_if(many).alias("groups"), F.coalesce(F.sum(F.when(many, F.col("n") - 1)), F.lit(0)).alias("to_archive"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_price"), F.coalesce(F.sum("unverified"), F.lit(0)).alias("unverified"))
 
 
 def backfill_prices(signals: DataFrame, closes: DataFrame, within: int = 8) -> DataFrame:

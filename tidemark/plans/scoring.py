@@ -275,12 +275,12 @@ def pair_meta(spark, d):
 TICKS = with_tables("ticks")
 SESSION = f"""{TICKS}, m5 AS (SELECT symbol, ts, price, id, CAST(ts AS DATE) AS day FROM ticks),
     se AS (SELECT symbol, day, arg_min(price, ts) AS open, arg_max(price, ts) AS close, count(*) AS volume, count(DISTINCT date_trunc('hour', ts)) AS n_bars FROM m5 GROUP BY symbol, day),
-    ss AS (SELECT *, (close - open) / nullif(open, 0) * 100 AS change_pct, volume / n_bars / lag(volume / n_bars) OVER (PARTITION BY symbol ORDER BY day) AS volume_ratio FROM se)"""
+    ss AS (SELECT *, (close - open) / nullif(open, 0) * 100 AS change_pct, volume / greatest(lag(volume) OVER (PARTITION BY symbol ORDER BY day), CASE WHEN lag(volume) OVER (PARTITION BY symbol ORDER BY day) IS NULL THEN NULL ELSE 1 END) * 24 / greatest(least(n_bars, 24), 1) AS volume_ratio FROM se)"""
 
 
 @query(f"{SESSION} SELECT symbol, day, round(open, 6) AS open, round(close, 6) AS close, volume, n_bars, round(change_pct, 6) AS change_pct, round(volume_ratio, 6) AS volume_ratio FROM ss WHERE open > 0")
 def session_moves(spark, d):
-    s = pairs.session_moves(bar_ops.resample(ticks(spark, d), 1))
+    s = pairs.session_moves(bar_ops.resample(ticks(spark, d), 1), session_bars=24)
     return rounded(s, "symbol", "day", "open", "close", "volume", "n_bars", "change_pct", "volume_ratio")
 
 

@@ -152,9 +152,13 @@ def backfill_prices(spark, d):
     return review.backfill_prices(s, daily_bars(spark, d)).select("id", F.round("price", 8).alias("price"), "price_source")
 
 
-@query(f"{SIG} SELECT count(*) AS groups, sum(n - 1) AS to_archive FROM (SELECT count(*) AS n FROM signals GROUP BY symbol, side HAVING count(*) > 1) q")
+@query(f"""{SIG}, l AS (SELECT *, CASE WHEN id % 3 <> 0 THEN score END AS price, CASE WHEN id % 4 = 0 THEN 'unverified' ELSE 'close' END AS price_source FROM signals WHERE id % 9 <> 0), g AS (SELECT symbol, side, count(*) AS n FROM l GROUP BY symbol, side)
+    SELECT (SELECT count(*) FROM g WHERE n > 1) AS groups, (SELECT sum(n - 1)::BIGINT FROM g WHERE n > 1) AS to_archive, count(*) FILTER (price IS NULL) AS missing_price, count(*) FILTER (price_source = 'unverified') AS unverified FROM l""")
 def duplicate_stats(spark, d):
-    return review.duplicate_stats(signals(spark, d))
+    """Every ninth signal is archived and doesn't count."""
+    k = F.col("id")
+    s = signals(spark, d).withColumns({"price": F.when(k % 3 != 0, F.col("score")), "price_source": F.when(k % 4 == 0, "unverified").otherwise("close"), "archived": k % 9 == 0})
+    return review.duplicate_stats(s)
 
 
 @query(f"{SIG} SELECT a.id, a.symbol, a.side FROM signals a WHERE score >= 50 AND NOT EXISTS (SELECT 1 FROM signals b WHERE b.side = 'WATCH' AND b.symbol = a.symbol AND b.created_at = a.created_at)")
