@@ -191,3 +191,43 @@ def referential_audit(edges: DataFrame, dim: DataFrame) -> DataFrame:
     loops = edges.where("source = target").select(F.lit("self_loop").alias("finding"), "source", "target")
     twice = edges.groupBy("source", "target").count().where("count > 1").select(F.lit("duplicate").alias("finding"), "source", "target")
     return lost("source", "unknown_source").unionByName(lost("target", "unknown_target")).unionByName(loops).unionByName(twice)
+
+
+#: Words that stand where a name or sector is still to come.
+PLACEHOLDERS = ["TBD", "TODO", "N/A", "dummy"]
+SEVERITIES = ["HIGH", "MEDIUM", "LOW"]
+
+
+def audit_universe(dim: DataFrame, rules: DataFrame, brokers: list[str]) -> DataFrame:
+    """severity, finding and subject: faults of symbols (symbol, name, sector, market) and of rules
+    (rule, source, target, direction, least_move).
+
+    A repeated id is found once, a repeated edge (source, target, direction) under its last rule."""
+    empty = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    held = r"(?i)\b(?:" + "|".join(PLACEHOLDERS) + r")\b"
+    of_dim = [
+        ("missing_name", "HIGH", empty("name")), ("missing_sector", "MEDIUM", empty("sector")), ("bad_code", "HIGH", (F.col("market") == "KR") & ~F.col("symbol").rlike(r"^\d{6}$")),
+        ("placeholder", "HIGH", F.concat_ws(" ", "name", "sector").rlike(held)), ("short_ticker", "LOW", F.length("symbol") <= 1),
+    ]
+    of_rule = [
+        ("self_loop", "HIGH", F.col("source") == F.col("target")), ("missing_threshold", "MEDIUM", F.col("least_move").isNull()), ("bad_threshold", "HIGH", F.col("least_move") <= 0),
+        ("missing_field", "HIGH", empty("rule") | empty("source") | empty("target") | empty("direction")), ("broker_target", "LOW", F.col("target").isin(brokers)),
+    ]
+
+    def marked(df: DataFrame, subject: str, faults: list[tuple]) -> DataFrame:
+        """All faults of a row at once: the table is read once."""
+        each = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(f).alias("finding"))) for f, s, c in faults))
+        return df.select(F.col(subject).alias("subject"), F.explode(F.array_compact(each)).alias("f")).select("f.severity", "f.finding", "subject")
+
+    one = lambda df, finding, severity: df.select(F.lit(severity).alias("severity"), F.lit(finding).alias("finding"), F.col("rule").alias("subject"))
+    known = dim.select("symbol").distinct()
+    lost = lambda end, severity: one(rules.join(known.withColumnRenamed("symbol", end), end, "left_anti"), f"unknown_{end}", severity)
+    twice = rules.groupBy("rule").count().where("count > 1")
+    edges = rules.groupBy("source", "target", "direction").agg(F.count("*").alias("n"), F.max("rule").alias("rule")).where("n > 1")
+    parts = [marked(dim, "symbol", of_dim), marked(rules, "rule", of_rule), one(twice, "duplicate_id", "HIGH"), one(edges, "duplicate_edge", "MEDIUM"), lost("source", "HIGH"), lost("target", "MEDIUM")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def by_severity(findings: DataFrame) -> DataFrame:
+    """The gravest findings first."""
+    return findings.orderBy(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), "finding", "subject")

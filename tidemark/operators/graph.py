@@ -143,8 +143,9 @@ def coverage(universe: DataFrame) -> DataFrame:
 
 def enrich(df: DataFrame, dim: DataFrame, keywords: list[tuple[str, list[str]]]) -> DataFrame:
     """``df`` with the sector of the dimension, else the first whose keyword stands in the
-    name or symbol, else unclassified."""
-    text = F.lower(F.concat_ws(" ", F.col("symbol").cast("string"), "name"))
+    symbol, the name or, where ``df`` has them, the themes, else unclassified."""
+    themes = [F.array_join("themes", " ")] if "themes" in df.columns else []
+    text = F.lower(F.concat_ws(" ", F.col("symbol").cast("string"), "name", *themes))
     guess = F.coalesce(*(F.when(F.greatest(*(F.instr(text, w.lower()) for w in words), F.lit(0)) > 0, sector) for sector, words in keywords))
     known = dim.select("symbol", F.col("sector").alias("_known")).dropDuplicates(["symbol"])
     return df.join(known, "symbol", "left").withColumn("sector", F.coalesce(F.nullif("_known", F.lit("")), guess, F.lit("unclassified"))).drop("_known")

@@ -121,6 +121,20 @@ def order_scenarios(df: DataFrame, caps: dict[str, int], bonus: float = 5.0) ->
     return reduce(DataFrame.unionByName, [one(*c) for c in caps.items()]).withColumnRenamed("rank", "place").drop("_worth")
 
 
+def prefilter(df: DataFrame, keys: list[str], most: int = 40, rsi: str = "rsi", obv: str = "obv", volume_ratio: str = "volume_ratio") -> DataFrame:
+    """The first ``most`` of each of ``keys`` by a priority that takes no deep score.
+
+    LONG rows need an RSI below 75 and come by how far below they are, a rising OBV (5) and the
+    volume ratio (3 each, up to 3); SHORT rows need one above 40 and come by it, a rising OBV takes off 5."""
+    known = F.nullif(F.col(rsi), F.lit(0.0))
+    up = F.when(F.col(obv) == "UP", 5.0).otherwise(0.0)
+    level, heat = F.coalesce(known, F.lit(50.0)), F.coalesce(F.nullif(F.col(volume_ratio), F.lit(0.0)), F.lit(1.0))
+    long = F.col("side") == "LONG"
+    worth = F.when(long, (75 - level) * 0.5 + up + F.least(heat, F.lit(3.0)) * 3).otherwise(level * 0.5 - up)
+    fits = F.when(long, F.coalesce(known, F.lit(100.0)) < 75).otherwise(F.coalesce(known, F.lit(0.0)) > 40)
+    return top_per(df.where(fits).withColumn("_worth", F.round(worth, 9)), keys, "_worth", "symbol", most).drop("_worth", "rank")
+
+
 def order_amount(df: DataFrame, most: int) -> DataFrame:
     """The greatest amounts first, unknown ones last."""
     return df.orderBy(F.desc_nulls_last("amount"), F.desc("date"), "id").limit(most)

@@ -41,14 +41,14 @@ def price_floor(spark, d):
     return cl.price_floor(quotes(spark, d), 1200.0).select("symbol")
 
 
-NAMES = "nm AS (SELECT c_custkey AS id, c_name || CASE c_custkey % 6 WHEN 0 THEN ' 2X Long' WHEN 1 THEN ' ETF' WHEN 2 THEN ' Ultra Daily' WHEN 3 THEN ' Holdings' ELSE '' END AS name FROM customer)"
+NAMES = "nm AS (SELECT c_custkey AS id, c_name || CASE c_custkey % 6 WHEN 0 THEN ' 2X Long' WHEN 1 THEN ' ETF' WHEN 2 THEN ' Ultra Daily' WHEN 3 THEN ' Holdings' ELSE '' END AS name, CASE WHEN c_custkey % 10 = 3 THEN 'etf_context' WHEN c_custkey % 10 = 4 THEN NULL ELSE c_mktsegment END AS sector FROM customer)"
 
 
-@query(f"WITH {NAMES} SELECT id FROM nm WHERE NOT regexp_matches(lower(name), '2x|3x|leverage|leveraged|inverse|t-rex|tradr|direxion|proshares|etf|etn|daily target|ultra|bear|bull')")
+@query(f"WITH {NAMES} SELECT id FROM nm WHERE NOT regexp_matches(lower(name), '2x|3x|leverage|leveraged|inverse|t-rex|tradr|direxion|proshares|etf|etn|daily target|ultra|bear|bull') AND upper(coalesce(sector, '')) <> 'ETF_CONTEXT'")
 def exclude_products(spark, d):
     k = F.col("c_custkey") % 6
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.when(k == 0, " 2X Long").when(k == 1, " ETF").when(k == 2, " Ultra Daily").when(k == 3, " Holdings").otherwise("")).alias("name"))
-    return cl.exclude_products(c).select("id")
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.when(k == 0, " 2X Long").when(k == 1, " ETF").when(k == 2, " Ultra Daily").when(k == 3, " Holdings").otherwise("")).alias("name"), F.when(F.col("c_custkey") % 10 == 3, "etf_context").when(F.col("c_custkey") % 10 == 4, None).otherwise(F.col("c_mktsegment")).alias("sector"))
+    return cl.exclude_products(c, sector="sector").select("id")
 
 
 @query(f"{ITEMS} SELECT external_id FROM raw_items WHERE NOT contains(coalesce(text, ''), 'eren') AND NOT contains(coalesce(text, ''), 'leau') AND length(trim(coalesce(text, ''))) >= 60 AND lower(source_name) NOT IN ('src3', 'src7')")

@@ -194,11 +194,12 @@ def candidate_coverage(spark, d):
 SECTOR_WORDS = [("one", ["00001", "00002"]), ("two", ["00003", "2"])]
 
 
-@query(f"""{with_tables('symbols')} SELECT y.symbol, coalesce(CASE WHEN y.symbol % 2 = 0 THEN sector END, CASE WHEN contains(lower(y.symbol || ' ' || name), '00001') OR contains(lower(y.symbol || ' ' || name), '00002') THEN 'one'
-    WHEN contains(lower(y.symbol || ' ' || name), '00003') OR contains(lower(y.symbol || ' ' || name), '2') THEN 'two' END, 'unclassified') AS sector FROM symbols y""")
+@query(f"""{with_tables('symbols')}, y AS (SELECT symbol, sector, name || CASE WHEN symbol % 7 = 0 THEN ' sea 00001' ELSE '' END AS name FROM symbols) SELECT y.symbol, coalesce(CASE WHEN y.symbol % 2 = 0 THEN sector END, CASE WHEN contains(lower(y.symbol || ' ' || name), '00001') OR contains(lower(y.symbol || ' ' || name), '00002') THEN 'one'
+    WHEN contains(lower(y.symbol || ' ' || name), '00003') OR contains(lower(y.symbol || ' ' || name), '2') THEN 'two' END, 'unclassified') AS sector FROM y""")
 def sector_enrichment(spark, d):
     s = symbols(spark, d)
-    return graph.enrich(s.select("symbol", "name"), s.where("symbol % 2 = 0"), SECTOR_WORDS).select("symbol", "sector")
+    themes = F.when(F.col("symbol") % 7 == 0, F.array(F.lit("sea"), F.lit("00001")))
+    return graph.enrich(s.select("symbol", "name", themes.alias("themes")), s.where("symbol % 2 = 0"), SECTOR_WORDS).select("symbol", "sector")
 
 
 TRIGGERS = ["the", "eren", "tion", "quiz", "leau", "sche", "and", "zzzz"]

@@ -160,11 +160,13 @@ def speculative_marks(spark, d):
     return rounded(scores.mark_speculative(scored(spark, d).withColumn("turnover", F.col("turnover_d"))), "symbol", "side", "final", "speculative")
 
 
-@query(f"""{COMP}, x AS (SELECT symbol, side, market, final, row_number() OVER (PARTITION BY market, side ORDER BY final DESC, symbol) AS rank FROM fin WHERE CASE WHEN side = 'LONG' THEN rsi_h < 75 ELSE rsi_h > 40 END)
+@query(f"""{COMP}, p AS (SELECT *, row_number() OVER (PARTITION BY market, side ORDER BY round(CASE WHEN side = 'LONG' THEN (75 - coalesce(nullif(rsi_h, 0), 50)) * 0.5 + CASE WHEN obv_h = 'UP' THEN 5 ELSE 0 END + least(coalesce(nullif(vr_h, 0), 1), 3) * 3 ELSE coalesce(nullif(rsi_h, 0), 50) * 0.5 - CASE WHEN obv_h = 'UP' THEN 5 ELSE 0 END END, 9) DESC, symbol) AS k FROM fin
+      WHERE close_h IS NOT NULL AND CASE WHEN side = 'LONG' THEN coalesce(nullif(rsi_h, 0), 100) < 75 ELSE coalesce(nullif(rsi_h, 0), 0) > 40 END QUALIFY k <= 40),
+    x AS (SELECT symbol, side, market, final, row_number() OVER (PARTITION BY market, side ORDER BY final DESC, symbol) AS rank FROM p)
     SELECT symbol, side, market, round(final, 6) AS final, rank FROM x WHERE rank <= 30""")
 def daily_screen(spark, d):
-    """The 30 best candidates of each market and side within the RSI bounds."""
-    c = scored(spark, d).where(scores.by_side(F.col("rsi_h") < 75, F.col("rsi_h") > 40))
+    """The 30 best of the 40 of each market and side that the staged filter lets through."""
+    c = ranking.prefilter(scored(spark, d).where("close_h is not null"), ["market", "side"], 40, "rsi_h", "obv_h", "vr_h")
     return rounded(ranking.top_per(c, ["market", "side"], "final", "symbol", 30), "symbol", "side", "market", "final", "rank")
 
 
@@ -373,6 +375,28 @@ def referential_audit(spark, d):
     return evidence.referential_audit(e, symbols(spark, d))
 
 
+@query(f"""{with_tables('symbols')}, dm AS (SELECT CASE WHEN symbol % 10 = 0 THEN CAST(symbol AS VARCHAR) ELSE lpad(CAST(symbol AS VARCHAR), 6, '0') END AS symbol, CASE WHEN symbol % 8 = 0 THEN '' ELSE name END AS name, CASE symbol % 9 WHEN 0 THEN NULL WHEN 1 THEN 'TBD' ELSE sector END AS sector, market, symbol AS n FROM symbols),
+    rl AS (SELECT 'r' || CASE WHEN n % 13 = 0 THEN 0 ELSE n END AS rule, symbol AS source, CASE n % 6 WHEN 0 THEN symbol WHEN 1 THEN 'GONE' || n WHEN 2 THEN 'JPM' ELSE '000001' END AS target, CASE WHEN n % 7 = 0 THEN '' ELSE 'UP' END AS direction, CASE n % 5 WHEN 0 THEN NULL WHEN 1 THEN -1.0 ELSE 2.0 END AS least_move FROM dm),
+    k AS (SELECT DISTINCT symbol FROM dm),
+    f AS (SELECT symbol AS subject, 'missing_name' AS finding, 'HIGH' AS severity FROM dm WHERE coalesce(name, '') = '' UNION ALL SELECT symbol, 'missing_sector', 'MEDIUM' FROM dm WHERE coalesce(sector, '') = '' UNION ALL SELECT symbol, 'bad_code', 'HIGH' FROM dm WHERE market = 'KR' AND NOT regexp_full_match(symbol, '\\d{{6}}')
+      UNION ALL SELECT symbol, 'placeholder', 'HIGH' FROM dm WHERE regexp_matches(concat_ws(' ', name, sector), '(?i)\\b(TBD|TODO|N/A|dummy)\\b') UNION ALL SELECT symbol, 'short_ticker', 'LOW' FROM dm WHERE length(symbol) <= 1
+      UNION ALL SELECT rule, 'self_loop', 'HIGH' FROM rl WHERE source = target UNION ALL SELECT DISTINCT rule, 'duplicate_id', 'HIGH' FROM rl WHERE rule IN (SELECT rule FROM rl GROUP BY rule HAVING count(*) > 1)
+      UNION ALL SELECT max(rule), 'duplicate_edge', 'MEDIUM' FROM rl GROUP BY source, target, direction HAVING count(*) > 1 UNION ALL SELECT rule, 'missing_threshold', 'MEDIUM' FROM rl WHERE least_move IS NULL UNION ALL SELECT rule, 'bad_threshold', 'HIGH' FROM rl WHERE least_move <= 0
+      UNION ALL SELECT rule, 'missing_field', 'HIGH' FROM rl WHERE direction = '' UNION ALL SELECT rule, 'unknown_source', 'HIGH' FROM rl WHERE source NOT IN (SELECT symbol FROM k) UNION ALL SELECT rule, 'unknown_target', 'MEDIUM' FROM rl WHERE target NOT IN (SELECT symbol FROM k) UNION ALL SELECT rule, 'broker_target', 'LOW' FROM rl WHERE target = 'JPM')
+    SELECT severity, finding, subject, count(*) AS n FROM f GROUP BY severity, finding, subject""")
+def universe_audit(spark, d):
+    """Symbols and rules with planted faults."""
+    k = F.col("symbol")
+    code = F.when(k % 10 == 0, k.cast("string")).otherwise(F.lpad(k.cast("string"), 6, "0"))
+    base = symbols(spark, d).withColumn("n", k)
+    dim = base.select(code.alias("symbol"), F.when(k % 8 == 0, "").otherwise(F.col("name")).alias("name"), F.when(k % 9 == 0, None).when(k % 9 == 1, "TBD").otherwise(F.col("sector")).alias("sector"), "market", "n")
+    n, s = F.col("n"), F.col("symbol")
+    rules = dim.select(
+        F.concat(F.lit("r"), F.when(n % 13 == 0, 0).otherwise(n)).alias("rule"), s.alias("source"), F.when(n % 6 == 0, s).when(n % 6 == 1, F.concat(F.lit("GONE"), n)).when(n % 6 == 2, "JPM").otherwise("000001").alias("target"),
+        F.when(n % 7 == 0, "").otherwise("UP").alias("direction"), F.when(n % 5 == 0, None).when(n % 5 == 1, -1.0).otherwise(2.0).alias("least_move"))
+    return evidence.audit_universe(dim, rules, ["JPM"]).groupBy("severity", "finding", "subject").agg(F.count("*").alias("n"))
+
+
 @query(f"""{with_tables('signals')}, x AS (SELECT symbol, count(*) AS n, count(*) FILTER (side = 'WATCH') AS watch, bool_or(score >= 80) AS crossed FROM signals GROUP BY symbol) SELECT count(*) AS symbols, CAST(sum(n) AS BIGINT) AS signals, CAST(sum(watch) AS BIGINT) AS unevaluable, count(*) FILTER (NOT crossed) AS never_crossed FROM x""")
 def signal_coverage(spark, d):
     return review.signal_coverage(signals(spark, d))
