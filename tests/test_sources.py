@@ -2,10 +2,11 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import pairs
-from tidemark.sources import readers
+from tidemark.sources import readers, store
 from tidemark.streaming import flows
 
 
@@ -87,3 +88,22 @@ def test_bars_are_updated_by_later_batches(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = flows.latest(flows.bars(stream), str(tmp_path / "out"), ["symbol", "ts"]).orderBy("ts").collect()
     assert [(r.open, r.high, r.close, r.volume) for r in got] == [(0, 2, 2, 3), (3, 3, 3, 1)]
+
+
+def test_merges_touch_their_own_buckets(spark, tmp_path):
+    path, keys, folds = f"{tmp_path}/store", ["k"], {"n": "sum", "last": "max"}
+    frame = lambda rows: spark.createDataFrame(rows, "k long, n long, last long")
+    assert store.read_store(spark, path) is None
+    assert store.merge(frame([(i, 1, i) for i in range(200)] + [(None, 5, 1)]), path, keys, folds, 8) == 0
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "data").rglob("*.parquet")}
+    old, first = files(), store.manifest(spark, path, 0)["buckets"]
+    assert store.merge(frame([(7, 2, 99), (7, 1, 3), (500, 1, 1)]), path, keys, folds) == 1
+    second = store.manifest(spark, path, 1)["buckets"]
+    moved = {b for b in first if first[b] != second[b]}
+    assert 1 <= len(moved) <= 2 and all(files()[p] == t for p, t in old.items())  # no file that was there has changed
+    got = {r.k: (r.n, r["last"]) for r in store.read_store(spark, path).collect()}
+    assert got[7] == (4, 99) and got[500] == (1, 1) and got[None] == (5, 1) and len(got) == 202
+    assert {r.k: r.n for r in store.read_store(spark, path, 0).collect()}[7] == 1  # the version before is still whole
+    with pytest.raises(FileExistsError):
+        store.commit(spark, path, 1, {})
+    assert store.merge(frame([]), path, keys, folds) == 2 and store.read_store(spark, path).count() == 202

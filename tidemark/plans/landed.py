@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evidence, text
 from tidemark.plans.tables import daily_bars, neighbours, pair_rules, raw_items, read, signals, symbols, with_tables
-from tidemark.sources import readers
+from tidemark.sources import readers, store
 from tidemark.sources.shared import shared_path
 
 QUERIES, SQL = {}, {}
@@ -171,3 +171,14 @@ def contracts(spark, d) -> DataFrame:
 def backlog_report(spark, d):
     """Tiers at a tenth of the operator's thresholds, as orders are small."""
     return evidence.backlog_report(contracts(spark, d), scale=0.1).select("bucket", "id", "place", "tier")
+
+
+@query(f"{with_tables('signals')} SELECT symbol, side, count(*) AS seen_count, min(created_at) AS first_seen, max(created_at) AS last_seen, round(max(score), 6) AS max_score FROM signals GROUP BY symbol, side")
+def upsert_store(spark, d):
+    """Signals in three batches, the last of a few symbols, merged into a store of buckets."""
+    path = shared_path(spark, "signal-store")
+    s = signals(spark, d).select("symbol", "side", F.lit(1).cast("long").alias("seen_count"), F.col("created_at").alias("first_seen"), F.col("created_at").alias("last_seen"), F.col("score").alias("max_score"), "id")
+    few = F.col("symbol") % 16 == 0
+    for part in (~few & (F.col("id") % 2 == 0), ~few & (F.col("id") % 2 == 1), few):
+        store.merge(s.where(part), path, ["symbol", "side"], {"seen_count": "sum", "first_seen": "min", "last_seen": "max", "max_score": "max"}, 16)
+    return store.read_store(spark, path).withColumn("max_score", F.round("max_score", 6))
