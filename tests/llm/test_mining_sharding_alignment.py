@@ -213,3 +213,8 @@ def test_forgetting_changes_nothing(monkeypatch):
     few = alignment.Aligner(BYTE, PIECE)
     assert [few.measure([t]) for t in texts] == want
     assert few.measure(texts)["groups_sha256"] == [w["groups_sha256"][0] for w in want]
+    monkeypatch.setattr(alignment, "MEMO_BYTES", 5000)  # few pieces that are long are forgotten too
+    long = alignment.Aligner(BYTE, PIECE)
+    for k in range(40):
+        long.measure(["  ".join(f"{k} word{j}" for j in range(200))])
+    assert long.chars < 30_000 and len(long.number) == len(long.groups) == len(long.figures) == len(long.uses)

@@ -155,7 +155,7 @@ class Aligner:
 
     def _forget(self) -> None:
         """Keeps the half of the pieces that were met most often."""
-        keep = np.sort(np.argsort(-self.uses, kind="stable")[: PIECES // 2])
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: min(PIECES, len(self.uses)) // 2])
         names = list(self.number)
         self.number = Numbers((names[k], n) for n, k in enumerate(keep.tolist()))
         self.groups = [self.groups[k] for k in keep.tolist()]
