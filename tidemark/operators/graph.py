@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.relations import gap_class, primary_return
+from tidemark.operators.terms import term_places
 
-#: Characters of a rule's keyword at most: what a name is cut into to meet keywords.
-KEYWORD_CHARS = 40
 #: Points of a confirmed relation by its confidence.
 BOOSTS = {"high": 2.0, "medium": 1.0}
 
@@ -39,14 +38,14 @@ def attach_pair_stats(pairs: DataFrame, *tables: DataFrame) -> DataFrame:
 def match_rules(movers: DataFrame, rules: DataFrame) -> DataFrame:
     """symbol, rule: movers whose market a rule takes and that it lists, or whose name holds one of its keywords.
 
-    Keywords meet names in an equi join over the parts of each name that are as long as a keyword can be."""
+    Keywords of any length are found in the names by one automaton for all of them."""
     takes = (F.col("rule_market") == F.col("market")) | F.col("rule_market").isin("BOTH", "CROSS")
     r = rules.withColumnRenamed("market", "rule_market")
     listed = movers.join(r.select("rule", "rule_market", F.col("source").alias("symbol")), "symbol").where(takes).select("symbol", "rule")
-    words = r.select("rule", "rule_market", F.explode("keywords").alias("k")).select("rule", "rule_market", F.lower("k").alias("part")).where(F.length("part").between(1, KEYWORD_CHARS))
-    starts = movers.select("symbol", "market", F.lower("name").alias("n")).where("length(n) > 0").select("symbol", "market", "n", F.explode(F.expr("sequence(1, length(n))")).alias("at"))
-    parts = starts.select("symbol", "market", F.explode(F.expr(f"transform(sequence(1, least({KEYWORD_CHARS}, length(n) - at + 1)), k -> substring(n, at, k))")).alias("part")).distinct()
-    named = parts.join(words, "part").where(takes).select("symbol", "rule")
+    words = r.select("rule", "rule_market", F.explode("keywords").alias("k")).select("rule", "rule_market", F.lower("k").alias("alias")).where("alias <> ''")
+    names = movers.select(F.struct("symbol", "market").alias("external_id"), F.lower("name").alias("text"))
+    held = term_places(names, words.select(F.lit("").alias("symbol"), "alias", F.lit(False).alias("needs")).distinct(), around=0).select("external_id.*", "alias").distinct()
+    named = held.join(words, "alias").where(takes).select("symbol", "rule")
     return listed.unionByName(named).distinct()
 
 
@@ -154,10 +153,10 @@ def enrich(df: DataFrame, dim: DataFrame, keywords: list[tuple[str, list[str]]])
 def active_cycles(edges: DataFrame, triggers: DataFrame, keywords: DataFrame, quotes: DataFrame, market: str, most: int = 5) -> DataFrame:
     """cycle, n_keywords, n_sources, match_score: 15 points for a trigger that stands in a recent
     keyword, 20 for a leader of the market that moved 2 % in a day; at least 15, 100 at most; the best five."""
-    parts = keywords.select(F.lower("keyword").alias("w")).where("length(w) > 0").distinct()
-    starts = parts.select("w", F.explode(F.expr("sequence(1, length(w))")).alias("at"))
-    parts = starts.select(F.explode(F.expr(f"transform(sequence(1, least({KEYWORD_CHARS}, length(w) - at + 1)), k -> substring(w, at, k))")).alias("t")).distinct()
-    told = triggers.select("cycle", F.lower("trigger").alias("t")).distinct().join(parts, "t", "left_semi").groupBy("cycle").agg(F.count("*").alias("n_keywords"))
+    words = keywords.select(F.lower("keyword").alias("text")).where("length(text) > 0").distinct().withColumn("external_id", F.col("text"))
+    asked = triggers.select("cycle", F.lower("trigger").alias("alias")).where("alias <> ''").distinct()
+    held = term_places(words, asked.select(F.lit("").alias("symbol"), "alias", F.lit(False).alias("needs")).distinct(), around=0).select("alias").distinct()
+    told = asked.join(held, "alias", "left_semi").groupBy("cycle").agg(F.count("*").alias("n_keywords"))
     moved = edges.where((F.col("stage") == "LEADER") & (F.col("market") == market)).join(quotes.where("abs(return_1d) >= 2.0").select("symbol"), "symbol").groupBy("cycle").agg(F.count("*").alias("n_sources"))
     d = edges.select("cycle").distinct().join(told, "cycle", "left").join(moved, "cycle", "left").na.fill(0, ["n_keywords", "n_sources"])
     d = d.withColumn("match_score", F.least(F.lit(100.0), F.col("n_keywords") * 15.0 + F.col("n_sources") * 20.0)).where("match_score >= 15")
