@@ -76,7 +76,7 @@ def test_quiet_period_holds_across_batches(spark, tmp_path):
     for k in range(3):  # three files, one a batch
         rows.where(F.col("id").between(2 * k, 2 * k + 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = flows.latest(flows.quiet(stream), str(tmp_path / "out"), [], "append")
+    got = flows.latest_quiet(stream, str(tmp_path / "out"))
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in pairs.quiet(rows).collect()) == [0, 2, 4, 5]
 
 
