@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evidence, pairs, review, scores
+from tidemark.operators import cards, evidence, pairs, review, scores
 
 FIELDS = "symbol long, side string, rsi_d double, obv_d string, bb_d double, vr_d double, rsi_h double, obv_h string, bb_h double, vr_h double, pe double, pb double, roe double, growth double, margin double, sentiment double, evidence string"
 
@@ -109,3 +109,11 @@ def test_spillover_follows_the_strongest_source(spark):
     moved = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, -4.0)], "symbol long, return_pct double")
     edges = spark.createDataFrame([("r", 1, 9, "BENEFICIARY"), ("r", 2, 9, "BENEFICIARY"), ("r", 3, 9, "BENEFICIARY"), ("r", 3, 8, "VICTIM"), ("r", 2, 2, "BENEFICIARY")], "rule string, source long, target long, relation string")
     assert sorted(map(tuple, pairs.spillover_targets(moved, edges).select("target", "source").collect())) == [(8, 3), (9, 2)]
+
+
+def test_spillover_scores_are_compared_at_nine_places(spark):
+    """The parts of both add up to 45; as doubles, to a little less."""
+    fields = "symbol long, source long, side string, source_return double, market string, reason string, confidence string, relation string, sentiment int, value int, fast int, slow int, volume_score int, penalty int, backlog double"
+    rows = [(1, 1, "LONG", -5.0, "KR", "rumour", "MEDIUM", "PEER_MOMENTUM", 18, 60, 90, 39, 71, 13, 0.0), (2, 2, "LONG", -5.5, "US", "guidance_down", "HIGH", "LAGGING_BENEFICIARY", 18, 60, 90, 39, 25, 17, 0.0)]
+    got = cards.spillover_score(spark.createDataFrame(rows, fields), 45.0).select("symbol", "source", F.round("score", 5)).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 45.0), (2, 2, 45.0)]

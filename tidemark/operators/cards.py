@@ -93,15 +93,16 @@ def spillover_score(targets: DataFrame, least: float = 55.0, most: int | None =
     """``targets`` with their score, those of unknown reasons and below ``least`` without.
 
     Columns: side, source_return, market, reason, confidence, relation, sentiment, value, fast, slow,
-    volume_score, penalty, backlog (0 where none).  The best source of a symbol and side stays."""
+    volume_score, penalty, backlog (0 where none).  The best source of a symbol and side stays.
+    Scores are compared at nine places, so that equal sums of parts are equal whatever their last bits."""
     d = targets.where("reason <> 'unknown_price_only'")
     s = F.when(F.col("side") == "LONG", F.col("sentiment")).otherwise(100 - F.col("sentiment"))
     total = (source_move_score(F.col("source_return"), F.col("market")) * 0.15 + source_reason_quality(F.col("reason"), F.col("confidence")) * 0.15 + looked_up(F.col("relation"), RELEVANCE, 70.0) * 0.15
              + s * 0.10 + F.col("value") * 0.15 + F.col("fast") * 0.15 + F.col("slow") * 0.10 + F.col("volume_score") * 0.05 - F.col("penalty") + F.col("backlog") * F.when(F.col("side") == "LONG", 0.05).otherwise(0.03))
-    d = d.withColumn("score", clamp(total)).where(F.col("score") >= least)
-    first = Window.partitionBy("symbol", "side").orderBy(F.desc("score"), "source")
+    d = d.withColumn("score", clamp(total)).withColumn("_at", F.round("score", 9)).where(F.col("_at") >= least)
+    first = Window.partitionBy("symbol", "side").orderBy(F.desc("_at"), "source")
     d = d.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return d.orderBy(F.desc("score"), "symbol").limit(most) if most else d
+    return (d.orderBy(F.desc("_at"), "symbol").limit(most) if most else d).drop("_at")
 
 
 def scenario_type(side: Column, source: Column, relation: Column, reason: Column, style: Column) -> Column:
