@@ -9,6 +9,7 @@ import unicodedata
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
@@ -389,3 +390,16 @@ def test_budget_against_the_loop(spark):
         got = mentions.within_budget(spark.createDataFrame(rows, "id int, bucket string, score double"), caps, total).collect()
         want = {r[0] for b, n_left in left.items() for r in sorted((r for r in rows if r[1] == b), key=lambda r: -r[2])[:n_left]}
         assert {r.id for r in got} == want, (p, n, m)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_lint_checks_hits_before_anything_is_shuffled(spark):
+    from tidemark.operators import lint
+
+    df = lint.lint(spark.createDataFrame([(1, "a\nthe and\nthe and")], "external_id long, text string"), [lint.rule("p", "HIGH", "the and"), lint.rule("again", "LOW", "and", least=2)], {"main": ["De"]})
+    assert sorted((r.rule, r.k, r.excerpt) for r in df.collect()) == [("again", 3, "the and"), ("p", 2, "the and"), ("p", 3, "the and")]
+    assert "SortMergeJoin" not in plan_of(df) and "hashpartitioning(rule" not in plan_of(df)

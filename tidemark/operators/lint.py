@@ -36,10 +36,10 @@ RULES = [
 
 
 def numbered_lines(reports: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
-    """external_id, k (from 1), line, text (the line without white space) and section, that of the last heading up to it."""
+    """external_id, k (from 1), excerpt (the first 80 characters of the line), text (the line without white space) and section, that of the last heading up to it."""
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
     lines = reports.select("external_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("k", "line"))
-    lines = lines.select("external_id", (F.col("k") + 1).alias("k"), "line", bare("line").alias("text"))
+    lines = lines.select("external_id", (F.col("k") + 1).alias("k"), F.substring(F.trim("line"), 1, 80).alias("excerpt"), bare("line").alias("text"))
     opened = F.lit(None).cast("string")
     for name, headings in sections.items():
         for h in headings:
@@ -52,13 +52,15 @@ def lint(reports: DataFrame, rules: DataFrame | list[tuple] | None = None, secti
     """external_id, rule, severity, k and excerpt: what the rules find in reports (external_id, text).
 
     A line is reported once a rule; a rule of several lines once a report.  Null texts have no
-    findings.  The headings that come later in ``sections`` win where a line has several."""
+    findings.  The headings that come later in ``sections`` win where a line has several.
+
+    Hits meet their rules and are checked where they are found: only findings are shuffled."""
     spark = reports.sparkSession
     rules = RULES if rules is None else rules
-    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, SCHEMA)
+    table = rules if isinstance(rules, DataFrame) else F.broadcast(spark.createDataFrame(rules, SCHEMA))
     table = table.withColumn("bare", F.regexp_replace("phrase", r"\s+", "")).withColumn("then_bare", F.regexp_replace("then", r"\s+", "")).withColumnRenamed("section", "wanted")
     lines = numbered_lines(reports, SECTIONS if sections is None else sections)
-    named = lines.select(F.struct("external_id", "k", "line", "section").alias("external_id"), "text")
+    named = lines.select(F.struct("external_id", "k", "excerpt", "section").alias("external_id"), "text")
     hits = term_places(named, table.select(F.col("rule").alias("symbol"), F.col("bare").alias("alias"), F.lit(False).alias("needs")), around=2000)
     hits = hits.select(F.col("symbol").alias("rule"), "external_id.*", "before", "after").join(table, "rule")
     percent = F.regexp_extract_all("before", F.lit(r"([+-]?)\d+(?:\.\d+)?%"), 1)
@@ -70,6 +72,6 @@ def lint(reports: DataFrame, rules: DataFrame | list[tuple] | None = None, secti
         & (F.col("wanted").isNull() | (F.coalesce("section", F.lit("")) == F.col("wanted")))
         & (F.col("low").isNull() | (number >= F.col("low"))) & (F.col("high").isNull() | (number < F.col("high")))
     )
-    found = hits.where(F.coalesce(fits, F.lit(False))).groupBy("external_id", "rule", "severity", "least", "k").agg(F.first(F.substring(F.trim("line"), 1, 80)).alias("excerpt"))
+    found = hits.where(F.coalesce(fits, F.lit(False))).select("external_id", "rule", "severity", "least", "k", "excerpt").distinct()
     place = F.row_number().over(Window.partitionBy("external_id", "rule").orderBy("k"))
     return found.withColumn("place", place).where((F.col("least") <= 1) | (F.col("place") == F.col("least"))).select("external_id", "rule", "severity", "k", "excerpt")
