@@ -403,3 +403,24 @@ def test_lint_checks_hits_before_anything_is_shuffled(spark):
     df = lint.lint(spark.createDataFrame([(1, "a\nthe and\nthe and")], "external_id long, text string"), [lint.rule("p", "HIGH", "the and"), lint.rule("again", "LOW", "and", least=2)], {"main": ["De"]})
     assert sorted((r.rule, r.k, r.excerpt) for r in df.collect()) == [("again", 3, "the and"), ("p", 2, "the and"), ("p", 3, "the and")]
     assert "SortMergeJoin" not in plan_of(df) and "hashpartitioning(rule" not in plan_of(df)
+
+
+
+def test_places_leave_a_worker_in_small_batches():
+    """One batch of texts with 240,000 places, each with 200 characters around it."""
+    import ahocorasick
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from tidemark.operators import terms
+
+    book = ahocorasick.Automaton()
+    book.add_word("ab", [("S", "ab", False, 0)])
+    book.make_automaton()
+    texts = ["ab xyz " * 400] * 600 + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"external_id": pa.array(range(602), pa.int64()), "text": pa.array(texts)})
+    target = to_arrow_schema(T.StructType([T.StructField("external_id", T.LongType()), *terms.PLACES.fields]))
+    out = list(terms.places_in(iter([batch]), book, target, 1, None, 80, 100, True))
+    assert sum(b.num_rows for b in out) == 240_000 and max(b.nbytes for b in out) < 4_000_000
+    assert [(r["external_id"], r["at"]) for b in out for r in b.select(["external_id", "at"]).to_pylist()] == [(k, 7 * n) for k in range(600) for n in range(400)]

@@ -23,6 +23,8 @@ from tidemark.sources.shared import checkpointed
 
 #: Characters of terms in one automaton, some hundred bytes each.
 MOST_CHARS = 400_000
+#: Characters around hits, and their fields as so many, that a worker holds before it hands them on.
+HELD_CHARS, ROW_CHARS = 2_000_000, 400
 PLACES = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("alias", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("rank", T.IntegerType()),
     T.StructField("before", T.StringType()), T.StructField("after", T.StringType()),
@@ -66,6 +68,42 @@ def resolve(rows: list[tuple], length: int) -> list[tuple]:
     return out
 
 
+def places_in(batches: Iterator[pa.RecordBatch], book: ahocorasick.Automaton, target: pa.Schema, place: int, stock: re.Pattern | None, window: int, around: int, settled: bool) -> Iterator[pa.RecordBatch]:
+    """The places of the automaton's terms in the texts of column ``place``, in batches of about HELD_CHARS:
+    one text at a time is a Python string, and how many places the texts of a batch have doesn't matter."""
+    others = [n for n in range(len(target) - len(PLACES) + 1) if n != place]
+
+    def made(batch: pa.RecordBatch, at_rows: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(PLACES)
+        ids = [batch.column(n).take(pa.array(at_rows, pa.int64())) for n in others]
+        return pa.RecordBatch.from_arrays([*ids, *(pa.array(c, type=f.type) for c, f in zip(columns, list(target)[len(others) :]))], schema=target)
+
+    for batch in batches:
+        at_rows, rows, held = [], [], 0
+        for k, value in enumerate(batch.column(place)):
+            text = value.as_py()
+            if not text or not len(book):
+                continue
+            hits = []
+            for end, entries in book.iter(text):
+                for symbol, alias, needs, rank in entries:
+                    at = end + 1 - len(alias)
+                    if needs:
+                        near = text[max(0, at - window) : end + 1 + window]
+                        if not (f"${alias}" in near or f"({alias})" in near or stock and stock.search(near)):
+                            continue
+                    hits.append((symbol, alias, at, rank))
+            for hit in resolve(hits, len(text)) if settled else hits:
+                at, end = hit[2], hit[2] + len(hit[1])
+                rows.append((*hit, text[max(0, at - around) : at], text[end : end + around]))
+                at_rows.append(k)
+                held += ROW_CHARS + len(rows[-1][4]) + len(rows[-1][5])
+                if held >= HELD_CHARS:
+                    yield made(batch, at_rows, rows)
+                    at_rows, rows, held = [], [], 0
+        yield made(batch, at_rows, rows)
+
+
 def term_places(items: DataFrame, terms: DataFrame | list[tuple], stock_words: str | None = None, window: int = 80, around: int = 100, single: bool = False, most_chars: int = MOST_CHARS) -> DataFrame:
     """external_id, symbol, alias, at (0-based), and up to ``around`` characters before and after: every place of every term.
 
@@ -90,29 +128,8 @@ def term_places(items: DataFrame, terms: DataFrame | list[tuple], stock_words: s
         shipped = spark.sparkContext.broadcast([tuple(r) for r in own.orderBy("symbol", "alias").collect()])
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, number=shipped._jbroadcast.id()) -> Iterator[pa.RecordBatch]:
-            book = automaton(shipped, number)
             stock = re.compile(stock_words) if stock_words else None
-            for batch in batches:
-                at_rows, rows = [], []
-                for k, text in enumerate(batch.column(place).to_pylist()):
-                    if not text or not len(book):
-                        continue
-                    hits = []
-                    for end, entries in book.iter(text):
-                        for symbol, alias, needs, rank in entries:
-                            at = end + 1 - len(alias)
-                            if needs:
-                                near = text[max(0, at - window) : end + 1 + window]
-                                if not (f"${alias}" in near or f"({alias})" in near or stock and stock.search(near)):
-                                    continue
-                            hits.append((symbol, alias, at, rank))
-                    for hit in resolve(hits, len(text)) if here else hits:
-                        at, end = hit[2], hit[2] + len(hit[1])
-                        rows.append((*hit, text[max(0, at - around) : at], text[end : end + around]))
-                        at_rows.append(k)
-                columns = zip(*rows) if rows else [[]] * len(PLACES)
-                ids = [batch.column(n).take(pa.array(at_rows, pa.int64())) for n in range(len(batch.columns)) if n != place]
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, type=f.type) for c, f in zip(columns, list(target)[len(keys) :]))], schema=target)
+            return places_in(batches, automaton(shipped, number), target, place, stock, window, around, here)
 
         more = source.mapInArrow(run, schema)
         found = more if found is None else found.unionByName(more)
