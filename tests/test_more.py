@@ -424,3 +424,14 @@ def test_places_leave_a_worker_in_small_batches():
     out = list(terms.places_in(iter([batch]), book, target, 1, None, 80, 100, True))
     assert sum(b.num_rows for b in out) == 240_000 and max(b.nbytes for b in out) < 4_000_000
     assert [(r["external_id"], r["at"]) for b in out for r in b.select(["external_id", "at"]).to_pylist()] == [(k, 7 * n) for k in range(600) for n in range(400)]
+
+
+
+def test_words_meet_terms_where_they_are_read(spark):
+    from tidemark.operators import evidence
+
+    items = spark.createDataFrame([(1, "a A a, b"), (2, "b a"), (3, ""), (4, None)], "external_id long, text string")
+    terms = spark.createDataFrame([("a",), ("A a",), ("b a",), ("a a a b c",), ("a-a-A-b",), ("--",)], "term string")
+    df = evidence.items_for_terms(items, terms)
+    assert sorted(map(tuple, df.select("term", "external_id", "n").collect())) == [("A a", 1, 2), ("a", 1, 3), ("a", 2, 1), ("a-a-A-b", 1, 1), ("b a", 2, 1)]
+    assert "SortMergeJoin" not in plan_of(df)

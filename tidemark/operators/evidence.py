@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import text as tx
 from tidemark.operators.ranking import top_per
+from tidemark.sources.shared import checkpointed
 
 #: Fixed value: won a dollar.
 KRW_PER_USD = 1370.0
@@ -28,15 +29,25 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+#: Terms up to which their table is shipped to the items instead of the items' words to it.
+SHIPPED_TERMS = 500_000
+
+
 def items_for_terms(items: DataFrame, terms: DataFrame, since: Column | None = None) -> DataFrame:
     """term, external_id, n: mentions as whole words in items since a moment.
 
-    A term of several words stands where all of them do, one after the other: words of items
-    and of terms meet in an equi join, and hits that agree on the place count together."""
+    A term of several words stands where all of them do, one after the other: runs of as many words
+    as any term has are made where an item is read, meet the terms in an equi join and count together."""
     own = items if since is None else items.where(F.col("published_at") >= since)
-    said = own.select("external_id", F.posexplode(tokens(F.col("text"))).alias("p", "word"))
-    asked = terms.select("term", tokens(F.col("term")).alias("ws")).select("term", F.size("ws").alias("k"), F.posexplode("ws").alias("i", "word"))
-    hits = said.join(asked, "word").groupBy("external_id", "term", "k", (F.col("p") - F.col("i")).alias("at")).agg(F.count("*").alias("n")).where("n = k")
+    asked = terms.select("term", tokens(F.col("term")).alias("ws")).where("size(ws) > 0")
+    asked = checkpointed(asked.select("term", F.size("ws").alias("k"), F.concat_ws(" ", "ws").alias("run")))
+    sizes = asked.groupBy("k").agg(F.count("*").alias("n")).collect()  # a row a length of terms
+    runs = lambda k: F.when(F.size("ws") >= k, F.transform(F.sequence(F.lit(1), F.size("ws") - k + 1), lambda i: F.concat_ws(" ", F.slice("ws", i, k)))).otherwise(none)
+    none = F.array().cast("array<string>")
+    every = F.flatten(F.array(*(F.col("ws") if r.k == 1 else runs(r.k) for r in sizes), none))
+    said = own.select("external_id", tokens(F.col("text")).alias("ws")).select("external_id", F.explode(every).alias("run"))
+    asked = asked.select("term", "run")
+    hits = said.join(F.broadcast(asked) if sum(r.n for r in sizes) <= SHIPPED_TERMS else asked, "run")
     return hits.groupBy("term", "external_id").agg(F.count("*").alias("n"))
 
 
