@@ -435,3 +435,13 @@ def test_words_meet_terms_where_they_are_read(spark):
     df = evidence.items_for_terms(items, terms)
     assert sorted(map(tuple, df.select("term", "external_id", "n").collect())) == [("A a", 1, 2), ("a", 1, 3), ("a", 2, 1), ("a-a-A-b", 1, 1), ("b a", 2, 1)]
     assert "SortMergeJoin" not in plan_of(df)
+
+
+
+def test_snippets_of_many_lines(spark):
+    from tidemark.operators import cleaning
+
+    d = spark.range(3).select(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.concat(F.lit("line number "), (i / 2).cast("int").cast("string"))).alias("a"))
+    began = time.monotonic()
+    got = d.select(cleaning.snippets(F.col("a"), [r"number [02]$"], 2, 40).alias("s")).collect()
+    assert [r.s for r in got] == [["line number 1", "line number 3"]] * 3 and time.monotonic() - began < 15
