@@ -445,3 +445,16 @@ def test_snippets_of_many_lines(spark):
     began = time.monotonic()
     got = d.select(cleaning.snippets(F.col("a"), [r"number [02]$"], 2, 40).alias("s")).collect()
     assert [r.s for r in got] == [["line number 1", "line number 3"]] * 3 and time.monotonic() - began < 15
+
+
+
+def test_latest_bars_are_told_by_one_sort(spark):
+    import datetime
+
+    day = lambda k: datetime.date(2024, 1, 1) + datetime.timedelta(days=k)
+    bars = spark.createDataFrame([(s, day(k), 1.0 + k, 2.0 + k, 0.5 + k, 1.5 + k, 100.0) for s, n in (("a", 4), ("b", 5), ("c", 70)) for k in range(n)], "symbol string, ts date, open double, high double, low double, close double, volume double")
+    for made, want in ((ind.snapshot, {("b", day(4)), ("c", day(69))}), (ind.screen, {("a", day(3)), ("b", day(4)), ("c", day(69))})):
+        df = made(bars)
+        assert {(r.symbol, r.ts) for r in df.collect()} == want
+        assert plan_of(made(bars)).count("Sort [") == 1
+    assert {(r.symbol, r.bars) for r in ind.snapshot_4h(bars).collect()} == {("a", 4), ("b", 5), ("c", 70)}

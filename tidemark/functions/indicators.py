@@ -169,25 +169,29 @@ def macro_change(bars: DataFrame, rates: list) -> DataFrame:
     return bars.withColumn("change", F.when(F.col("symbol").isin(rates), (F.col("close") - prev) * 100).when(prev != 0, (F.col("close") / prev - 1) * 100))
 
 
+def latest(bars: DataFrame, need: int = 1) -> DataFrame:
+    """The latest bar of each symbol and ``bars``, how many it has, where there are ``need``: told in
+    the order that the indicators stand in, so that their wide rows aren't sorted again."""
+    d = bars.withColumn("bars", F.row_number().over(by_time())).withColumn("_more", F.lead(F.lit(1)).over(by_time()))
+    return d.where(F.col("_more").isNull() & (F.col("bars") >= need)).drop("_more")
+
+
 def snapshot(bars: DataFrame, need: int = 5) -> DataFrame:
     """The latest bar of each symbol that has ``need`` bars, with all daily indicators."""
     d = trends(candles(support_resistance(volume_ratios(bollinger(obv_trends(pct_change(pct_change(pct_change(atr(rsi(bars)), 1), 5), 20)))))))
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).withColumn("_all", F.count("*").over(Window.partitionBy("symbol")))
-    return d.where((F.col("_n") == 1) & (F.col("_all") >= need)).drop("_n", "_all")
+    return latest(d, need).drop("bars")
 
 
 def screen(bars: DataFrame) -> DataFrame:
     d = turnover(bollinger(volume_ratios(obv_trends(pct_change(atr(rsi(bars)), 1))), population=False))
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("_n = 1")
-    return d.select("symbol", "ts", "close", "rsi", "obv_screen", "bb_pct", F.col("vr_prev20").alias("volume_ratio"), "pct1", "atr", "turnover")
+    return latest(d).select("symbol", "ts", "close", "rsi", "obv_screen", "bb_pct", F.col("vr_prev20").alias("volume_ratio"), "pct1", "atr", "turnover")
 
 
 def snapshot_4h(bars: DataFrame) -> DataFrame:
     """The latest 4-hour bar of each symbol with its indicators; with under 6 bars only the count's
     label, with under 20 what can be told, and a label that says so."""
-    w = Window.partitionBy("symbol")
-    d = trends(candles(support_resistance(volume_ratios(bollinger(obv_trends(rsi(bars)), population=False)))))
-    d = d.withColumn("_n", F.row_number().over(w.orderBy(F.desc("ts")))).withColumn("bars", F.count("*").over(w)).where("_n = 1")
+    d = latest(trends(candles(support_resistance(volume_ratios(bollinger(obv_trends(rsi(bars)), population=False))))))
+    d = d.withColumn("bars", F.col("bars").cast("long"))
     enough = F.col("bars") >= 6
     known = lambda c: F.when(enough, F.col(c)).alias(c)
     body = F.try_divide(F.abs(F.col("close") - F.col("open")), F.col("high") - F.col("low"))
