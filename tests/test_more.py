@@ -458,3 +458,19 @@ def test_latest_bars_are_told_by_one_sort(spark):
         assert {(r.symbol, r.ts) for r in df.collect()} == want
         assert plan_of(made(bars)).count("Sort [") == 1
     assert {(r.symbol, r.bars) for r in ind.snapshot_4h(bars).collect()} == {("a", 4), ("b", 5), ("c", 70)}
+
+
+
+def test_ranges_are_doubled(spark):
+    import datetime
+
+    lows = [5.0, None, 3.0, 8.0, 1.0, 9.0, 9.0, None, 9.0, 9.0, 9.0, 9.0, 2.0]
+    bars = spark.createDataFrame([(s, datetime.date(2024, 1, 1 + k), None if x is None else x + 4.0 + s, x, 7.0) for s in (1, 2) for k, x in enumerate(lows)], "symbol int, ts date, high double, low double, close double")
+    for n in (1, 2, 5, 7, 8, 30):
+        got = {(r.symbol, r.ts.day - 1): r.pos_52w for r in ind.position_52w(bars, n).collect()}
+        for s in (1, 2):
+            for k in range(len(lows)):
+                seen = [x for x in lows[max(0, k - n + 1) : k + 1] if x is not None]
+                want = (7.0 - min(seen)) / (max(seen) + 4.0 + s - min(seen)) * 100 if seen else None
+                assert got[s, k] == (want if want is None else pytest.approx(want))
+    assert "-251" not in plan_of(ind.position_52w(bars))

@@ -148,8 +148,15 @@ def turnover(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def position_52w(bars: DataFrame, n: int = 252) -> DataFrame:
-    low, high = F.min("low").over(rows(1 - n)), F.max("high").over(rows(1 - n))
-    return bars.withColumn("pos_52w", F.when(high > low, (F.col("close") - low) / (high - low) * 100))
+    """The close within the range of n bars.  Ranges are doubled by looking back at those before,
+    so a bar takes as many steps as n has binary places, not n of them."""
+    d, wide = bars.withColumn("_l", F.col("low")).withColumn("_h", F.col("high")), 1
+    while wide < n:
+        back = min(wide, n - wide)  # the last step's two ranges overlap
+        d = d.withColumns({"_lb": F.lag("_l", back).over(by_time()), "_hb": F.lag("_h", back).over(by_time())})
+        d, wide = d.withColumns({"_l": F.least("_l", "_lb"), "_h": F.greatest("_h", "_hb")}), wide + back
+    low, high = F.col("_l"), F.col("_h")
+    return d.withColumn("pos_52w", F.when(high > low, (F.col("close") - low) / (high - low) * 100)).drop("_l", "_h", "_lb", "_hb")
 
 
 def returns_snapshot(bars: DataFrame) -> DataFrame:
