@@ -631,3 +631,27 @@ def test_ids_may_be_strings(spark, docs):
 def test_a_row_without_id_is_in_no_fold(spark):
     df = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long")
     assert {r.doc_id: r.held for r in df.withColumn("held", ~toxicity.in_fold()).collect()} == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in (None, 1, 2)}
+
+
+def test_bigrams_of_a_run_stay_narrow():
+    """The same pairs as by dictionary, in at most seven times 8 bytes a token at one time."""
+    import tracemalloc
+
+    from tidemark.llm import lm_score
+
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(0, 50, n).astype(np.uint32) for n in (0, 3, 0, 400, 1, 90, 0)]
+    want = {}
+    for k, x in enumerate(lists):
+        for v, w in zip([lm_score.START, *x.tolist()], x.tolist()):
+            key = ((v << 16 | w) * lm_score.MIX & 0xFFFFFFFF) << 32 | k
+            want[key] = want.get(key, 0) + 1
+    packed, times = lm_score.bigrams_by_hash(lists)
+    assert dict(zip(packed.tolist(), times.tolist())) == want and packed.tolist() == sorted(want)
+    assert [len(x) for x in lm_score.bigrams_by_hash([])] == [0, 0]
+    lists = [rng.integers(0, 40_000, 1000).astype(np.uint32) for _ in range(700)]
+    tracemalloc.start()
+    lm_score.bigrams_by_hash(lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 7 * 8 * 700_000

@@ -98,14 +98,14 @@ def materialise(df: DataFrame, name: str, block_mb: int = 128) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive runs of texts of about SLICE_CHARS, with the first one's place."""
+def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive runs of texts of about ``most`` characters, with the first one's place."""
     start, run, size = 0, [], 0
     for i, text in enumerate(texts):
         text = text or ""
         run.append(text)
         size += len(text)
-        if size >= SLICE_CHARS:
+        if size >= most:
             yield start, run
             start, run, size = i + 1, [], 0
     if run:

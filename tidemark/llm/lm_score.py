@@ -39,6 +39,8 @@ START = 65535
 RANGE_CHARS = 15_000_000
 #: Tokens and documents of a run: what one row of a hash range gathers.
 RUN_TOKENS, RUN_DOCS = 700_000, 60_000
+#: Rows and characters of text that a task holds as Python strings and encodes at one time.
+TEXT_ROWS, TEXT_CHARS = 512, 400_000
 #: Pairs of a range that are joined at once.
 STRETCH = 300_000
 #: An odd number and its inverse modulo 2^32: multiplying scrambles bigrams, and back.
@@ -68,13 +70,32 @@ def unplanes(b: bytes, kind: str) -> np.ndarray:
 def _token_lists(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[list, list[np.ndarray]]]:
     coder = word_level(vocabulary)
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            keys = batch.column(0).slice(at, 4096).to_pylist()
-            for first, texts in slices(batch.column(1).slice(at, 4096).to_pylist()):
+        for at in range(0, batch.num_rows, TEXT_ROWS):
+            keys = batch.column(0).slice(at, TEXT_ROWS).to_pylist()
+            for first, texts in slices(batch.column(1).slice(at, TEXT_ROWS).to_pylist(), TEXT_CHARS):
                 ids, counts = coder.encode_many(texts)
                 yield keys[first : first + len(texts)], np.split(ids, np.cumsum(counts)[:-1])
 
 
+def bigrams_by_hash(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a bigram's hash (high 32 bits) and its document's number (low ones), sorted, and how often each is.
+    A bigram is 32 bits, and so is its hash: products of that width wrap by themselves."""
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    token = np.concatenate([*lists, np.zeros(0, dtype=np.uint32)]).astype(np.uint32, copy=False)
+    hashed = np.empty_like(token)
+    hashed[1:] = token[:-1]
+    hashed[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    hashed <<= np.uint32(16)
+    hashed |= token
+    hashed *= np.uint32(MIX)
+    packed = hashed.astype(np.uint64)
+    packed <<= np.uint64(32)
+    packed |= np.repeat(np.arange(len(lists), dtype=np.uint32), sizes)
+    packed.sort()
+    first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.zeros(0, dtype=np.int64)
+    return packed[first], np.diff(first, append=len(packed))
+
+
 def explode_bigrams(docs: DataFrame, vocabulary: str, parts: int) -> DataFrame:
     """(document, bigram, times) triples by hash range, packed: a row has what
     one run of documents has in one range, sorted by the bigram's hash, and a row of range
@@ -84,11 +105,7 @@ def explode_bigrams(docs: DataFrame, vocabulary: str, parts: int) -> DataFrame:
     target = to_arrow_schema(schema)
 
     def pack(run: int, keys: list, lists: list[np.ndarray]) -> pa.RecordBatch:
-        before = np.concatenate([np.concatenate([[START], x[:-1]]) for x in lists if len(x)] or [np.zeros(0)]).astype(np.uint64)
-        token = np.concatenate([*lists, np.zeros(0, dtype=np.uint32)]).astype(np.uint64)
-        row = np.repeat(np.arange(len(lists), dtype=np.uint64), list(map(len, lists)))
-        hashed = ((before << np.uint64(16) | token) * np.uint64(MIX)) & np.uint64(0xFFFFFFFF)
-        packed, times = np.unique(hashed << np.uint64(32) | row, return_counts=True)
+        packed, times = bigrams_by_hash(lists)
         hashed = packed >> np.uint64(32)
         part = (hashed * np.uint64(parts)) >> np.uint64(32)  # ranges of the hash, so they stand in order
         names, starts = np.unique(part, return_index=True)
