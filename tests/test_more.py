@@ -213,6 +213,14 @@ def test_fuzzy_links_by_kind(spark):
         assert all((fuzzy.ratio_of(texts[i], texts[j], least) >= least) == ((i, j) in want) for j in range(len(texts)) for i in range(j))
 
 
+def test_fuzzy_candidates_share_more_than_a_word(spark):
+    """Any two items share one rare word and nothing else: no pair has its texts compared."""
+    texts = [" ".join(f"word{min(i, j)}x{max(i, j)}" for j in range(40) if j != i) for i in range(40)]
+    items = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, at int, norm string")
+    for least in (85.0, 92.0):
+        assert fuzzy.candidate_pairs(items, least).count() == 0
+
+
 def test_semantic_recall_and_candidates(spark, sf, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
