@@ -58,3 +58,29 @@ def test_bins_start_at_local_midnight(spark):
     t = spark.createDataFrame([("A", datetime.datetime(2024, 1, 1, 15, 30), 1, 2.0), ("A", datetime.datetime(2024, 1, 1, 14, 30), 2, 3.0)], "symbol string, ts timestamp, id long, price double")
     got = sorted(r.ts for r in bars.resample(t, 4, "Asia/Seoul").collect())
     assert [x.hour for x in got] == [20, 0]
+
+
+def test_closes_are_those_of_the_bars(spark, tmp_path):
+    """Lines of equal keys, days and symbols that are null, and prices that are."""
+    from tidemark.plans.tables import daily_bars, daily_closes
+
+    day = [datetime.datetime(2024, 1, d) for d in (1, 2)]
+    rows = [(s, t, o, n, p, x, 2.0 if x != 7.0 else 0.0) for s in (1, None) for t in (*day, None) for o in (1, 1, 2) for n in (1, None) for p in (3, 4) for x in (5.0, 6.0, 7.0, None)]
+    names = "l_suppkey long, l_shipdate timestamp, l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(rows[: len(rows) // 2 + 40], names).where("l_quantity > 0").write.parquet(f"{tmp_path}/lineitem.parquet")
+    key = lambda r: (r.symbol or 0, str(r.ts), r.close)
+    got, want = (sorted(map(key, f(spark, str(tmp_path)).collect())) for f in (daily_closes, daily_bars))
+    assert got == want and len(got) > 3
+
+
+def test_lags_come_with_the_bar(spark):
+    """A bar without a close counts as a place, one after the last bar doesn't, and events aren't shuffled again for each lag."""
+    start = datetime.date(2024, 1, 1)
+    at = lambda n: start + datetime.timedelta(days=n)
+    bars = spark.createDataFrame([(1, at(k), c) for k, c in enumerate([1.0, 2.0, None, 4.0])], "symbol int, ts date, close double")
+    events = spark.createDataFrame([(1, at(0), "a"), (1, at(1), "b"), (1, at(2), "c"), (2, at(0), "d")], "symbol int, ts date, id string")
+    d = asof.event_forward(events, bars, [1, 2])
+    assert {(r.id, r.lag, r.base, r.forward) for r in d.collect()} == {("a", 1, 1.0, 2.0), ("a", 2, 1.0, None), ("b", 1, 2.0, None), ("b", 2, 2.0, 4.0)}
+    assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
+    back = asof.asof_backward(events, bars.withColumn("more", bars["close"] + 1), ["more"])
+    assert {(r.id, r.price, r.more) for r in back.collect()} == {("a", 1.0, 2.0), ("b", 2.0, 3.0), ("c", 2.0, 3.0), ("d", None, None)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.operators.asof import event_forward
+from tidemark.sources.shared import checkpointed
 
 
 def movers(bars: DataFrame, symbols: DataFrame, us: float = 4.0, kr: float = 5.0) -> DataFrame:
@@ -51,7 +52,7 @@ def leadlag(
     target's 1-bar returns that would (0.01 at least), lift their ratio.  The best lag
     and direction of each (source, target, move) stays."""
     by_market = lambda pair: F.when(F.col("market") == "KR", pair[1]).otherwise(pair[0])
-    m = symbols.select("symbol", "market")
+    m, bars = symbols.select("symbol", "market"), checkpointed(bars.select("symbol", "ts", "close"))  # read by returns, bases and ends
     r = ind.pct_change(bars, 1).where("pct1 is not null").select("symbol", "ts", "pct1").join(m, "symbol")
     shocks = r.where(F.abs("pct1") >= by_market(event)).select(F.col("symbol").alias("source"), "ts", F.when(F.col("pct1") > 0, "UP").otherwise("DOWN").alias("move"))
     asked = shocks.join(edges.select("source", F.col("target").alias("symbol")), "source")

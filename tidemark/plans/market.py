@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as ind
 from tidemark.operators import asof, relations
 from tidemark.operators import bars as bar_ops
-from tidemark.plans.tables import daily_bars, neighbours, symbols, ticks, with_tables
+from tidemark.plans.tables import daily_bars, daily_closes, neighbours, symbols, ticks, with_tables
 
 BARS = with_tables("daily_bars")
 O = "OVER (PARTITION BY symbol ORDER BY ts)"  # noqa: E741
@@ -252,7 +252,7 @@ CORR = f"""{with_tables('symbols', 'daily_bars', 'neighbours')}, r AS (SELECT sy
 
 @query(f"{CORR} SELECT source, target, round(correlation, 4) AS correlation, n FROM corrs")
 def peer_correlation(spark, d):
-    return relations.correlations(daily_bars(spark, d), neighbours(spark, d)).withColumn("correlation", F.round("correlation", 4))
+    return relations.correlations(daily_closes(spark, d), neighbours(spark, d)).withColumn("correlation", F.round("correlation", 4))
 
 
 @query(f"""{with_tables('symbols', 'daily_bars', 'neighbours')}, p AS (SELECT symbol, ts, close, row_number() {O} AS pos, (close - lag(close) {O}) / lag(close) {O} * 100 AS r FROM daily_bars),
@@ -271,7 +271,7 @@ def peer_correlation(spark, d):
     SELECT source, target, move || '_LEADS_' || direction AS relation, lag, events, round(cond_prob, 6) AS cond_prob, round(base_prob, 6) AS base_prob, round(lift, 6) AS lift, round(mean_forward, 4) AS mean_forward,
     CASE WHEN events >= 20 AND cond_prob >= 0.6 AND lift >= 1.3 THEN 'high' WHEN events >= 10 AND cond_prob >= 0.55 AND lift >= 1.15 THEN 'medium' ELSE 'low' END AS confidence FROM best WHERE n = 1""")
 def leadlag_event_study(spark, d):
-    r = relations.leadlag(daily_bars(spark, d), symbols(spark, d), neighbours(spark, d))
+    r = relations.leadlag(daily_closes(spark, d), symbols(spark, d), neighbours(spark, d))
     return r.select("source", "target", "relation", "lag", "events", F.round("cond_prob", 6).alias("cond_prob"), F.round("base_prob", 6).alias("base_prob"), F.round("lift", 6).alias("lift"), F.round("mean_forward", 4).alias("mean_forward"), "confidence")
 
 
