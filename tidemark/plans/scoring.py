@@ -11,7 +11,8 @@ from tidemark.operators import evidence, pairs, ranking, relations, review, scor
 from tidemark.plans.market import CORR, O, full, over
 from tidemark.plans.signals import HASHED, ITEMS, QUALITY, any_of, quality
 from tidemark.plans.signals import BAD, GOOD
-from tidemark.plans.tables import daily_bars, fundamentals, neighbours, raw_items, signals, symbols, ticks, with_tables
+from tidemark.plans.tables import daily_bars, daily_closes, fundamentals, neighbours, raw_items, signals, symbols, ticks, with_tables
+from tidemark.sources.shared import checkpointed
 
 QUERIES, SQL = {}, {}
 
@@ -238,7 +239,7 @@ def both_ways(spark, d) -> DataFrame:
 
 @query(f"{STUDY} SELECT source, target, direction, events, round(cond_prob, 6) AS cond_prob, round(base_prob, 6) AS base_prob, round(lift, 6) AS lift FROM study")
 def pair_study(spark, d):
-    return rounded(pairs.pair_study(daily_bars(spark, d), symbols(spark, d), both_ways(spark, d)), "source", "target", "direction", "events", "cond_prob", "base_prob", "lift")
+    return rounded(pairs.pair_study(daily_closes(spark, d), symbols(spark, d), both_ways(spark, d)), "source", "target", "direction", "events", "cond_prob", "base_prob", "lift")
 
 
 @query(f"""{STUDY}, lx AS (SELECT symbol, (close - lag(close) {O}) / lag(close) {O} * 100 AS m, CASE WHEN count(volume) {over(-20, -1)} = 20 THEN volume / avg(volume) {over(-20, -1)} END AS v, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM daily_bars),
@@ -251,8 +252,8 @@ def pair_study(spark, d):
       FROM gp LEFT JOIN study s ON s.source = gp.source AND s.target = gp.target AND s.direction = gp.direction LEFT JOIN corrs c ON c.source = gp.source AND c.target = gp.target WHERE gap_class <> 'ALREADY'),
     so AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source) AS n FROM sg) SELECT source, target, direction, gap_class, confidence, events, round(score, 5) AS score FROM so WHERE n = 1 ORDER BY so.score DESC, target LIMIT 40""")
 def pair_signals(spark, d):
-    bars = daily_bars(spark, d)
-    latest = ind.snapshot(bars, need=1).select("symbol", F.col("pct1").alias("return_pct"), F.col("vr_prev20").alias("volume_ratio")).join(symbols(spark, d).select("symbol", "sector"), "symbol")
+    bars = checkpointed(daily_closes(spark, d))  # read by the study and the correlations
+    latest = ind.snapshot(ind.last_bars(daily_bars(spark, d), 22), need=1).select("symbol", F.col("pct1").alias("return_pct"), F.col("vr_prev20").alias("volume_ratio")).join(symbols(spark, d).select("symbol", "sector"), "symbol")
     stats = pairs.pair_study(bars, symbols(spark, d), both_ways(spark, d))
     out = pairs.pair_signals(latest, neighbours(spark, d), stats, relations.correlations(bars, neighbours(spark, d)))
     return out.select("source", "target", "direction", "gap_class", "confidence", "events", F.round("score", 5).alias("score"))
