@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import lint, ranking, review, text
-from tidemark.plans.tables import daily_bars, fundamentals, raw_items, signals, symbols, with_tables
+from tidemark.plans.tables import daily_bars, daily_closes, fundamentals, raw_items, signals, symbols, with_tables
 
 QUERIES, SQL = {}, {}
 SIG = with_tables("signals")
@@ -103,10 +103,15 @@ def position_exit(spark, d):
     w AS (SELECT id, symbol, side, CASE WHEN side = 'LONG' AND price <= stop OR side = 'SHORT' AND price >= stop THEN 'STOP' WHEN side = 'LONG' AND price >= target OR side = 'SHORT' AND price <= target THEN 'TARGET' END AS alert FROM z)
     SELECT * FROM w WHERE alert IS NOT NULL""")
 def price_alerts(spark, d):
+    from tidemark.operators.asof import asof_backward
+    from tidemark.sources.shared import checkpointed
+
     long = F.col("side") == "LONG"
-    o = outcomes(spark, d).where("side <> 'WATCH'").withColumn("stop", F.when(long, F.col("entry") * 0.9).otherwise(F.col("entry") * 1.1))
+    bars = checkpointed(daily_closes(spark, d))  # read by entries and latest prices
+    events = signals(spark, d).where("side <> 'WATCH'").select("symbol", F.col("created_at").alias("ts"), "id", "side")
+    o = asof_backward(events, bars).withColumnRenamed("price", "entry").withColumn("stop", F.when(long, F.col("entry") * 0.9).otherwise(F.col("entry") * 1.1))
     o = o.withColumn("target", F.when(long, F.col("entry") * 1.15).otherwise(F.col("entry") * 0.85)).select("id", "symbol", "side", "stop", "target")
-    return review.price_alerts(o, review.latest_price(daily_bars(spark, d))).select("id", "symbol", "side", F.col("exit").alias("alert"))
+    return review.price_alerts(o, review.latest_price(bars)).select("id", "symbol", "side", F.col("exit").alias("alert"))
 
 
 @query(f"""{with_tables('symbols', 'signals')}, g AS (SELECT signals.*, sector FROM signals JOIN symbols ON symbols.symbol = signals.symbol), op AS (SELECT DISTINCT sector, symbol FROM g WHERE side = 'WATCH' AND score >= 75 AND (SELECT max(created_at) FROM signals) - created_at < 30),
