@@ -72,7 +72,7 @@ def first_distinct(rows: DataFrame, keys: list[str], value: str, order: list[str
 def cluster_lists(items: DataFrame, hash_: Column, columns: dict[str, int]) -> DataFrame:
     """hash and, for each array column of ``items``, the first of its distinct values in the cluster: of the newest
     items first, in order within an item, as many as ``columns`` says."""
-    own = items.select(hash_.alias("hash"), (-F.unix_micros("published_at")).alias("_age"), "external_id", *columns)
+    own = checkpointed(items.select(hash_.alias("hash"), (-F.unix_micros("published_at")).alias("_age"), "external_id", *columns))  # texts are read once
     out = own.select("hash").distinct()
     for name, most in columns.items():
         each = own.select("hash", "_age", "external_id", F.posexplode(name).alias("_i", name))
