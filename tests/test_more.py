@@ -247,6 +247,30 @@ def test_semantic_recall_and_candidates(spark, sf, monkeypatch):
     assert fuzzy.dedupe_semantic(df.limit(0)).count() == 0
 
 
+def test_semantic_writes_only_shared_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, rng.standard_normal(64).tolist()) for k in range(60)] + [(60, [1.0] * 64), (61, [1.0] * 63 + [1.1]), (62, [1.0] * 63 + [0.9])], "id long, embedding array<double>")
+    written, real = [], fuzzy.checkpointed
+    monkeypatch.setattr(fuzzy, "checkpointed", lambda d: (lambda out: written.append(out.count()) or out)(real(d)))
+    pairs = {(r.x, r.y) for r in fuzzy.semantic_pairs(df, 0.88).collect()}
+    assert pairs >= {(60, 61), (60, 62), (61, 62)} and sum(written) < 10 * 63  # a row a vector and table
+
+
+def test_cluster_lists_read_texts_once(spark):
+    rows = [(1, datetime(2024, 1, 1), "x", ["b", "a"], ["s"]), (2, datetime(2024, 1, 2), "x", ["c", "b"], []), (3, datetime(2024, 1, 1), "y", [], ["t"])]
+    items = spark.createDataFrame(rows, "external_id long, published_at timestamp, text string, tickers array<string>, themes array<string>")
+    d = evidence.cluster_lists(items, F.sha2("text", 256), {"tickers": 2, "themes": 8})
+    assert sorted((r.tickers, r.themes) for r in d.collect()) == [([], ["t"]), (["c", "b"], ["s"])]
+    assert "sha2" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_text_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(text, "TEXTS", 2)
+    texts = ["a &amp; b", None, "ﬁ", "", "plain", "&lt;", "Ａ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    assert [r.p for r in df.select("id", text.plain_text("t").alias("p")).orderBy("id").collect()] == ["a & b", None, "fi", "", "plain", "<", "A"]
+
+
 def test_first_independent_is_greedy(spark):
     rng = random.Random(11)
     links = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(90)) if a < b} | {(k, k + 1) for k in range(60, 80)}
