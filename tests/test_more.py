@@ -403,6 +403,15 @@ def test_report_lint_by_hand(spark):
     assert got == {(1, "HIGH"), (2, "HIGH"), (3, "HIGH"), (4, "HIGH"), (7, "MEDIUM"), (12, "HIGH"), (13, "HIGH"), (15, "HIGH"), (16, "LOW")}
 
 
+def test_report_lint_looks_at_whole_lines(spark):
+    """What a rule asks may stand thousands of characters from its phrase; rules of a name have each their own conditions."""
+    far = "x" * 5000
+    text = "\n".join([f"leau {far} und", f"und {far} leau", f"-4.8% {far} up", f"-4.8% {far} +1% up", f"{far} up -3%", "n: 60", "n" + "0" * 3000 + "60", "n" + "9" * 3000])
+    rules = [lint.rule("both", "LOW", "leau", then="u n d"), lint.rule("up", "HIGH", "up", sign=-1), lint.rule("n", "LOW", "n", low=50.0, high=70.0), lint.rule("both", "LOW", "n:", low=1.0, high=2.0)]
+    got = lint.lint(spark.createDataFrame([(1, text)], "external_id long, text string"), rules).collect()
+    assert sorted((r.rule, r.k) for r in got) == [("both", 1), ("n", 6), ("n", 7), ("up", 3)]
+
+
 def test_medians_of_a_hot_group(spark):
     rng = random.Random(6)
     rows = [("hot" if rng.random() < 0.9 else rng.choice("abc"), rng.choice([1.0, 2.5, rng.uniform(1, 50)])) for _ in range(2001)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), (None, 3.0)]

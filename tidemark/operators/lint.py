@@ -1,15 +1,24 @@
 """Findings in written reports by a table of rules.
 
 A rule begins with a phrase.  Which lines hold one is found by one automaton for all
-rules; what else a rule asks is then checked on those lines alone.  White space doesn't count.
+rules; what else a rule asks is checked there and then on the whole line.  White space doesn't count.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.operators.terms import term_places
+from tidemark.operators.terms import HELD_CHARS, ROW_CHARS, automaton, dealt
+from tidemark.sources.shared import checkpointed
 
 #: What a rule may ask: ``then`` has to follow the phrase; ``sign`` of a percentage before it; the line stands in ``section``; the number
 #: that follows lies from ``low`` to below ``high``; so many lines of the report have it (``least``, of which that one is reported).
@@ -48,30 +57,81 @@ def numbered_lines(reports: DataFrame, sections: dict[str, list[str]]) -> DataFr
     return lines.withColumn("section", F.last(opened, ignorenulls=True).over(within))
 
 
+PERCENT = re.compile(r"([+-]?)(?<![0-9])[0-9]+(?:\.[0-9]+)?%")
+NUMBER = re.compile(r":?(-?[0-9]+(?:\.[0-9]+)?)")
+
+
+def rules_met(text: str, section: str | None, book: ahocorasick.Automaton) -> list[tuple[str, str, int]]:
+    """rule, severity and least of the rules that a line without white space meets, each rule of the table once.
+
+    What follows a phrase may stand anywhere behind it, and the percentage is the last one anywhere before it."""
+    met, last, ends, signs = {}, {}, None, []
+    for end, rules in book.iter(text):
+        for row in rules:
+            name, phrase, severity, then, sign, wanted, low, high, least = row
+            if row in met or wanted is not None and (section or "") != wanted:
+                continue
+            if then is not None:
+                if then not in last:
+                    last[then] = text.rfind(then)
+                if last[then] <= end:
+                    continue
+            if sign is not None:
+                if ends is None:
+                    found = [(m.end(), -1 if m[1] == "-" else 1) for m in PERCENT.finditer(text)]
+                    ends, signs = [e for e, _ in found], [v for _, v in found]
+                before = bisect_right(ends, end + 1 - len(phrase))
+                if not before or signs[before - 1] != sign:
+                    continue
+            if low is not None or high is not None:
+                number = NUMBER.match(text, end + 1)
+                value = float(number[1]) if number else None
+                if value is None or low is not None and not value >= low or high is not None and value >= high:
+                    continue
+            met[row] = name, severity, least
+    return list(met.values())
+
+
 def lint(reports: DataFrame, rules: DataFrame | list[tuple] | None = None, sections: dict[str, list[str]] | None = None) -> DataFrame:
     """external_id, rule, severity, k and excerpt: what the rules find in reports (external_id, text).
 
     A line is reported once a rule; a rule of several lines once a report.  Null texts have no
     findings.  The headings that come later in ``sections`` win where a line has several.
 
-    Hits meet their rules and are checked where they are found: only findings are shuffled."""
+    Hits are checked where they are found: only findings are shuffled."""
     spark = reports.sparkSession
     rules = RULES if rules is None else rules
-    table = rules if isinstance(rules, DataFrame) else F.broadcast(spark.createDataFrame(rules, SCHEMA))
-    table = table.withColumn("bare", F.regexp_replace("phrase", r"\s+", "")).withColumn("then_bare", F.regexp_replace("then", r"\s+", "")).withColumnRenamed("section", "wanted")
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, SCHEMA)
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    table = table.select("rule", bare("phrase").alias("alias"), "severity", bare("then").alias("then"), "sign", "section", "low", "high", "least").where("alias <> '' and rule is not null")
     lines = numbered_lines(reports, SECTIONS if sections is None else sections)
-    named = lines.select(F.struct("external_id", "k", "excerpt", "section").alias("external_id"), "text")
-    hits = term_places(named, table.select(F.col("rule").alias("symbol"), F.col("bare").alias("alias"), F.lit(False).alias("needs")), around=2000)
-    hits = hits.select(F.col("symbol").alias("rule"), "external_id.*", "before", "after").join(table, "rule")
-    percent = F.regexp_extract_all("before", F.lit(r"([+-]?)\d+(?:\.\d+)?%"), 1)
-    sign = F.element_at(percent, -1)
-    number = F.regexp_extract("after", r"^:?(-?\d+(?:\.\d+)?)", 1).try_cast("double")
-    fits = (
-        (F.col("then").isNull() | F.contains("after", "then_bare"))
-        & (F.col("sign").isNull() | ((F.size(percent) > 0) & (F.when(sign == "-", -1).otherwise(1) == F.col("sign"))))
-        & (F.col("wanted").isNull() | (F.coalesce("section", F.lit("")) == F.col("wanted")))
-        & (F.col("low").isNull() | (number >= F.col("low"))) & (F.col("high").isNull() | (number < F.col("high")))
-    )
-    found = hits.where(F.coalesce(fits, F.lit(False))).select("external_id", "rule", "severity", "least", "k", "excerpt").distinct()
+    keys = ["external_id", "k", "excerpt"]
+    schema = T.StructType([*(lines.schema[c] for c in keys), T.StructField("rule", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("least", T.IntegerType())])
+    target, found = to_arrow_schema(schema), None
+    for shipped in dealt(checkpointed(table)):
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, number=shipped._jbroadcast.id()) -> Iterator[pa.RecordBatch]:
+            book = automaton(shipped, number)
+            for batch in batches:
+                at, rows = [], []
+
+                def made(batch=batch, at=at, rows=rows) -> pa.RecordBatch:
+                    own = [batch.column(c).take(pa.array(at, pa.int64())) for c in keys]
+                    return pa.RecordBatch.from_arrays([*own, *(pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, list(target)[len(keys) :]))], schema=target)
+
+                for i, (value, section) in enumerate(zip(batch.column("text"), batch.column("section"))):
+                    text = value.as_py()
+                    if not text or not len(book):
+                        continue
+                    new = rules_met(text, section.as_py(), book)
+                    at.extend([i] * len(new)), rows.extend(new)
+                    if len(rows) >= HELD_CHARS // ROW_CHARS:
+                        yield made()
+                        at.clear(), rows.clear()
+                yield made()
+
+        more = lines.mapInArrow(run, schema)
+        found = more if found is None else found.unionByName(more)
+    found = found.select("external_id", "rule", "severity", "least", "k", "excerpt").distinct()
     place = F.row_number().over(Window.partitionBy("external_id", "rule").orderBy("k"))
     return found.withColumn("place", place).where((F.col("least") <= 1) | (F.col("place") == F.col("least"))).select("external_id", "rule", "severity", "k", "excerpt")

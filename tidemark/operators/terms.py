@@ -33,7 +33,7 @@ _built: dict[int, ahocorasick.Automaton] = {}
 
 
 def automaton(table: Broadcast, number: int) -> ahocorasick.Automaton:
-    """The automaton of a broadcast table of (symbol, alias, needs, rank); a process keeps the last few."""
+    """The automaton of a broadcast table of (symbol, alias, ...); a process keeps the last few."""
     if number not in _built:
         while len(_built) > 3:
             _built.pop(next(iter(_built)))
@@ -57,6 +57,14 @@ def terms_table(spark, terms: DataFrame | list[tuple]) -> DataFrame:
     return own.groupBy("symbol", "alias").agg(F.bool_or(F.coalesce("needs", F.lit(False))).alias("needs"), F.min("rank").alias("rank"))
 
 
+def dealt(table: DataFrame, most_chars: int = MOST_CHARS) -> list[Broadcast]:
+    """The rows of a written table, of which ``alias`` is the second column, in parts of about so many characters of it, each shipped on its own."""
+    chars = table.agg(F.coalesce(F.sum(F.length("alias")), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(chars / most_chars))
+    own = [table.where(F.pmod(F.xxhash64("alias"), F.lit(parts)) == part) if parts > 1 else table for part in range(parts)]
+    return [table.sparkSession.sparkContext.broadcast([tuple(r) for r in part.orderBy(*table.columns[:2]).collect()]) for part in own]
+
+
 def resolve(rows: list[tuple], length: int) -> list[tuple]:
     """Of (symbol, alias, place, rank, ...) those that count: longest first, then by rank, alias and symbol, each character used once."""
     used, out = bytearray(length), []
@@ -110,10 +118,8 @@ def term_places(items: DataFrame, terms: DataFrame | list[tuple], stock_words: s
     ``terms`` are symbol, alias, needs, in a list or a table (its rank, if there is one, settles ties).  One that needs context counts only where a stock word,
     $alias or (alias) stands within ``window`` characters.  With ``single`` the longest terms come first and
     use up their characters; what doesn't count uses up nothing.  A null text has no places."""
-    spark = items.sparkSession
-    table = checkpointed(terms_table(spark, terms))
-    chars = table.agg(F.coalesce(F.sum(F.length("alias")), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(chars / most_chars))
+    books = dealt(checkpointed(terms_table(items.sparkSession, terms)), most_chars)
+    parts = len(books)
     here = single and parts == 1
     source = items.select("external_id", "text")
     if single and parts > 1:  # a text's places come from several parts and meet again by its number
@@ -123,9 +129,7 @@ def term_places(items: DataFrame, terms: DataFrame | list[tuple], stock_words: s
     target = to_arrow_schema(schema)
     place = source.columns.index("text")
     found = None
-    for part in range(parts):
-        own = table.where(F.pmod(F.xxhash64("alias"), F.lit(parts)) == part) if parts > 1 else table
-        shipped = spark.sparkContext.broadcast([tuple(r) for r in own.orderBy("symbol", "alias").collect()])
+    for shipped in books:
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, number=shipped._jbroadcast.id()) -> Iterator[pa.RecordBatch]:
             stock = re.compile(stock_words) if stock_words else None
