@@ -221,6 +221,27 @@ def test_fuzzy_candidates_share_more_than_a_word(spark):
         assert fuzzy.candidate_pairs(items, least).count() == 0
 
 
+def test_fuzzy_links_of_misspelt_texts(spark, monkeypatch):
+    """Long items in which most words are misspelt, joined or parted share few words; in one block and in many, and where many have the same weight."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9)))
+    spoil = lambda w: (lambda k: w[:k] + rng.choice(["", w[k] + "r"]) + w[k + 1 :])(rng.randrange(1, len(w)))
+    long = [[word() for _ in range(rng.randint(20, 60))] for _ in range(8)]
+    texts = [" ".join(t) for t in long] + [" ".join(spoil(w) if rng.random() < share else w for w in t) for t in long for share in (0.4, 0.7, 1.0)]
+    texts += [" ".join(t).replace(" ", "", len(t) // 2) for t in long] + [" ".join(t[:5]).replace(" ", "\u00a0") for t in long] + [" ".join(t[:5]) + " x" for t in long]
+    texts += [" ".join("".join(rng.choice("ab") for _ in range(4)) for _ in range(6)) for _ in range(60)]
+    texts = sorted(set(texts))
+    items = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, at int, norm string")
+    for least in (85.0, 92.0):
+        want = {(i, j) for j in range(len(texts)) for i in range(j) if brute_ratio(texts[i], texts[j]) >= least}
+        few = {p for p in want if len(set(texts[p[0]].split()) & set(texts[p[1]].split())) < 3 and min(len(texts[k]) for k in p) > 100}
+        assert few and {(r.a, r.b) for r in fuzzy.fuzzy_links(items, least).collect()} == want
+        with monkeypatch.context() as m:
+            m.setattr(fuzzy, "BLOCK", 300)
+            m.setattr(fuzzy, "CELLS", 30)
+            assert {(r.a, r.b) for r in fuzzy.fuzzy_links(items, least).collect()} == want
+
+
 def test_semantic_recall_and_candidates(spark, sf, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
